@@ -65,3 +65,25 @@ def number_in_groups(
         .withColumn(name, (F.col("_overall") - F.col("_start") + 1).cast("int"))
         .drop("_overall", "_start")
     )
+
+
+def with_previous(
+    df: DataFrame,
+    keys: list[str],
+    seq: str,
+    columns: list[str],
+    limit: int = GROUP_ROWS,
+) -> DataFrame:
+    """Each row with ``prev_<column>`` of the row before it in its group.
+
+    ``seq`` counts a group's rows from 0 without gaps, so a group above ``limit`` rows
+    shows in its numbers; predecessors are then found by an equi-join on the number,
+    which spreads a big group, instead of a window over it.
+    """
+    if df.filter(F.col(seq) >= limit).isEmpty():
+        inside = W.partitionBy(*keys).orderBy(seq)
+        return df.select("*", *[F.lag(c).over(inside).alias(f"prev_{c}") for c in columns])
+    before = df.select(
+        *keys, (F.col(seq) + 1).alias(seq), *[F.col(c).alias(f"prev_{c}") for c in columns]
+    )
+    return df.join(before, [*keys, seq], "left")

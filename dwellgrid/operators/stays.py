@@ -23,9 +23,10 @@ STAY_SCHEMA = (
 TRAJECTORY = ["uid", "traj_id"]
 
 
-def seconds_of(ts: pa.ChunkedArray) -> np.ndarray:
-    """Whole seconds of a microsecond timestamp column, rounded down."""
-    return ts.cast(pa.int64()).to_numpy() // 1_000_000
+def clock(ts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole seconds (rounded down) of a microsecond column, and where they are known."""
+    known = ts.is_valid().to_numpy()
+    return ts.cast(pa.int64()).fill_null(0).to_numpy() // 1_000_000, known
 
 
 def _changes(table: pa.Table) -> np.ndarray:
@@ -68,7 +69,7 @@ def _stays_of(table: pa.Table, reach: float, dwell: float, exact: bool) -> pa.Re
     lat = table.column("lat").to_numpy()
     lon = table.column("lon").to_numpy()
     firsts = np.append(0, _changes(table))
-    track = Track(lat, lon, seconds_of(table.column("ts")), reach, dwell, exact)
+    track = Track(lat, lon, *clock(table.column("ts")), reach, dwell, exact)
     starts, ends = track.stays(firsts)
     owner = np.searchsorted(firsts, starts, side="right")
     order = np.arange(len(starts)) - np.searchsorted(owner, owner, side="left")

@@ -15,11 +15,12 @@ _PROBES = (1.0, 0.5, 0.25, 0.75)
 class Track:
     """Rows of whole trajectories laid end to end, ready for distance tests."""
 
-    def __init__(self, lat, lon, seconds, reach: float, dwell: float, exact: bool):
+    def __init__(self, lat, lon, seconds, known, reach: float, dwell: float, exact: bool):
         self.lat = np.radians(lat)
         self.lon = np.radians(lon)
         self.cos = np.cos(self.lat)
         self.seconds = seconds
+        self.known = known
         self.reach = reach
         self.dwell = dwell
         self.exact = exact
@@ -46,8 +47,10 @@ class Track:
         return stop
 
     def lasts(self, anchor: int, stop: int) -> bool:
-        """Whether the window [anchor, stop) is a stay."""
-        gap = abs(int(self.seconds[stop - 1]) - int(self.seconds[anchor]))
+        """Whether the window [anchor, stop) is a stay; an unknown time gives no gap."""
+        gap = 0
+        if self.known[anchor] and self.known[stop - 1]:
+            gap = abs(int(self.seconds[stop - 1]) - int(self.seconds[anchor]))
         return stop - anchor > 1 and gap >= self.dwell
 
     def stays(self, firsts) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +64,7 @@ class Track:
         back = np.zeros(n, dtype=bool)
         back[1:] = (np.diff(self.seconds) < 0) & (track[1:] == track[:-1])
         unordered = np.zeros(len(firsts), dtype=bool)
-        unordered[track[back]] = True
+        unordered[track[back | ~self.known]] = True
 
         # A window is a stay only if it still holds the first row that is `dwell` later,
         # so that row (and some between) is tested for all anchors at once.
@@ -97,7 +100,7 @@ class Track:
         return starts, ends
 
     def _walk(self, row: int, stop: int):
-        """Anchor by anchor, for trajectories whose clock runs backwards somewhere."""
+        """Anchor by anchor, where the clock runs backwards or is unknown somewhere."""
         while row < stop - 1:
             left = self.leaves_at(row, row + 1, stop)
             if self.lasts(row, left):

@@ -54,3 +54,12 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr(
         "uid", "traj_id", "CAST(seq - 1 AS INT) AS seq", "lat", "lon", "sec", "ts"
     )
+
+
+def micro_mean(column: str) -> str:
+    """SQL for a stay's mean position rounded half up to whole micro-degrees.
+
+    The sum of a stay's micro-degrees is a whole number, so the rounding is exact.
+    """
+    total = f"CAST(round({column} * n_points * 1e6) AS BIGINT)"
+    return f"((2 * {total} + n_points) DIV (2 * n_points))"

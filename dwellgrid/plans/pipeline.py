@@ -1,0 +1,132 @@
+"""The whole job: points, stays, clusters, visits, regions, similar users, recommendations."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dwellgrid.lineage import cut
+from dwellgrid.operators import itemsets, recommend, regions, visits
+from dwellgrid.operators.dbscan import STAY_KEY, dbscan
+from dwellgrid.operators.stays import stay_points
+from dwellgrid.sources import stages
+from dwellgrid.sources.tracks import prepare_points
+
+
+@dataclass(frozen=True)
+class Params:
+    """Thresholds of all stages, with their usual values."""
+
+    distance: float = 200.0  # metres a stay may spread around its first point
+    dwell: float = 1200  # seconds a stay must last
+    eps: float = 100.0  # planar radius of a neighbourhood
+    min_pts: int = 4  # points that make a neighbourhood dense
+    min_support: int = 3  # regions two similar users share
+    top_n: int = 6  # regions recommended to a user
+    exclude: str = "region"  # or "region_and_count"
+    exact: bool = False  # True: no rounding to whole metres
+
+
+class TrajectoryPipeline:
+    """Stages as lazy DataFrames; those used more than once are evaluated once.
+
+    With ``out`` every stage is written there and the next one reads the table; without
+    it, reused stages go to the session's checkpoint folder.
+    """
+
+    def __init__(
+        self,
+        points: DataFrame,
+        params: Params = Params(),
+        order: Sequence[str] = ("seq",),
+        out: str | None = None,
+    ):
+        self.points = points
+        self.params = params
+        self.order = order
+        self.out = out
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return stages.write_stage(df, f"{self.out}/{name}") if self.out else cut(df)
+
+    def _passed(self, df: DataFrame, name: str) -> DataFrame:
+        return stages.write_stage(df, f"{self.out}/{name}") if self.out else df
+
+    @cached_property
+    def stays(self) -> DataFrame:
+        p = self.params
+        return self._kept(stay_points(self.points, p.distance, p.dwell, self.order, p.exact), "stays")
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        p = self.params
+        return self._passed(dbscan(self.stays, p.eps, p.min_pts, evaluated=True), "labels")
+
+    @cached_property
+    def labelled_stays(self) -> DataFrame:
+        """Stays with their coordinates, cluster and flag."""
+        return self.stays.join(self.labels.select(*STAY_KEY, "cluster_id", "flag"), STAY_KEY)
+
+    @cached_property
+    def visits(self) -> DataFrame:
+        return self._passed(visits.location_visits(self.stays, self.labels), "visits")
+
+    @cached_property
+    def user_region(self) -> DataFrame:
+        return self._kept(regions.user_region(self.visits), "user_region")
+
+    @cached_property
+    def region_user(self) -> DataFrame:
+        return self._passed(regions.region_user(self.user_region), "region_user")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return itemsets.frequent_pairs(self.region_user, self.params.min_support)
+
+    @cached_property
+    def similar(self) -> DataFrame:
+        return self._kept(itemsets.similar_users(self.pairs), "similar")
+
+    @cached_property
+    def recommended(self) -> DataFrame:
+        p = self.params
+        return self._passed(
+            recommend.recommend_regions(self.similar, self.user_region, p.top_n, p.exclude), "recommended"
+        )
+
+    @property
+    def recommendation_lines(self) -> DataFrame:
+        return recommend.recommendation_lines(self.similar, self.recommended)
+
+    def write_text(self, out: str) -> None:
+        """Text forms of all stages under ``out``."""
+        stages.write_lines(stages.stay_lines(self.stays), f"{out}/stays")
+        stages.write_lines(stages.labelled_lines(self.labelled_stays), f"{out}/labels")
+        stages.write_lines(visits.location_lines(self.visits), f"{out}/visits")
+        stages.write_lines(regions.user_region_lines(self.user_region), f"{out}/user_region", ["uid"])
+        stages.write_lines(
+            regions.region_user_lines(self.region_user), f"{out}/region_user", ["cluster_id"]
+        )
+        # Two files for the similar users, as the text layout has it.
+        stages.write_lines(itemsets.similar_user_lines(self.similar), f"{out}/similar", ["uid"], files=2)
+        stages.write_lines(self.recommendation_lines, f"{out}/recommended", ["uid"])
+
+
+def run(
+    spark: SparkSession,
+    tracks: str,
+    points: str,
+    out: str,
+    params: Params = Params(),
+    text: bool = False,
+) -> DataFrame:
+    """Track files to recommendations; stage tables (and text forms) go under ``out``."""
+    pipeline = TrajectoryPipeline(prepare_points(spark, tracks, points), params, out=out)
+    result = pipeline.recommended
+    if text:
+        pipeline.write_text(f"{out}/text")
+    return result
