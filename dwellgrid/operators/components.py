@@ -26,21 +26,19 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(ends))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, root) for every node of ``edges``; root is the component's smallest node.
+def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, root) for every node that is not itself its component's smallest node.
 
     Large-star and small-star steps (Kiveris et al., 2014) alternate until only
-    stars are left: each hangs neighbours on the least node around them. A logarithmic number
-    of rounds suffices in practice, also for long chains. Every round ends in a reliable
-    checkpoint.
+    stars are left: each hangs neighbours on the least node around them. A logarithmic
+    number of rounds suffices in practice, also for long chains. Every round ends in a
+    reliable checkpoint.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-    nodes = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    # Directed down: u > v.
-    down = pairs.filter(F.col("u") != F.col("v")).select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
+    state = cut(
+        edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
+        .filter(F.col("u") != F.col("v"))
+        .distinct()
     )
-    state = cut(down.distinct())
     while not _settled(state):
         # Large star: every larger neighbour of u moves to u's least neighbour.
         spread = _with_least_neighbour(_both_ways(state))
@@ -57,9 +55,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .distinct()
         )
         state = cut(small)
-    return nodes.join(
-        state.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left"
-    ).select("node", F.coalesce("root", "node").alias("root"))
+    return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, root) for every node of ``edges``; root is the component's smallest node."""
+    nodes = edges.select(F.explode(F.array(src, dst)).alias("node")).distinct()
+    return nodes.join(component_roots(edges, src, dst), "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root")
+    )
 
 
 def _settled(edges: DataFrame) -> bool:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from dwellgrid.functions.geo import grid_index, planar_distance_sq
 from dwellgrid.lineage import cut
 from dwellgrid.operators.cells import to_plane
-from dwellgrid.operators.components import connected_components
+from dwellgrid.operators.components import component_roots
 from dwellgrid.operators.numbering import number_all
 
 STAY_KEY = ["uid", "traj_id", "stay_seq"]
@@ -80,24 +80,22 @@ def _prefixed(df: DataFrame, end: str) -> DataFrame:
 
 def _coordinates(points: DataFrame, key: list[str], side: float, min_pts: int):
     """Distinct coordinates with weights, and the cells they fall in."""
-    coords = cut(
-        to_plane(
-            points.groupBy("lat", "lon").agg(
-                F.count(F.lit(1)).alias("w"), F.min(F.struct(*key)).alias("first_key")
-            )
-        ).withColumn("cell", _cell_id("x", "y", side))
-    )
+    coords = to_plane(
+        points.groupBy("lat", "lon").agg(
+            F.count(F.lit(1)).alias("w"), F.min(F.struct(*key)).alias("first_key")
+        )
+    ).withColumn("cell", _cell_id("x", "y", side))
+    weights = coords.groupBy("cell").agg((F.sum("w") >= min_pts).alias("dense"))
+    coords = cut(coords.join(weights, "cell"))
     cells = cut(
-        coords.groupBy("cell")
-        .agg(
+        coords.groupBy("cell", "dense").agg(
             F.sum("w").alias("w"),
             F.count(F.lit(1)).alias("n"),
             F.min("first_key").alias("cell_key"),
             *_box(),
         )
-        .withColumn("dense", F.col("w") >= min_pts)
     )
-    return cut(coords.join(cells.select("cell", "dense"), "cell")), cells
+    return coords, cells
 
 
 def _as_nodes(cells: DataFrame) -> DataFrame:
@@ -267,7 +265,7 @@ def dbscan(
     cores = cut(_sparse_cores(pairs, reach, min_pts))
     spot = ["a_lat", "a_lon"]
     ends = cores.select(F.col("a_lat").alias("b_lat"), F.col("a_lon").alias("b_lon"))
-    to_core = cut(pairs.join(ends, ["b_lat", "b_lon"], "left_semi"))
+    to_core = pairs.join(ends, ["b_lat", "b_lon"], "left_semi")
 
     links = (
         reach.select(*spot, "a_cell", "b_cell")
@@ -276,7 +274,7 @@ def dbscan(
         .select("a_cell", "b_cell")
         .unionByName(_dense_links(coords, cells, eps, side))
     )
-    roots = connected_components(links.filter("a_cell <> b_cell").distinct(), "a_cell", "b_cell")
+    roots = component_roots(links, "a_cell", "b_cell")
 
     # Cells with core points and each one's smallest core key.
     sparse_keys = (
@@ -294,7 +292,7 @@ def dbscan(
     )
     heads = core_cells.groupBy("root").agg(F.min("cell_key").alias("head"))
     ids = number_all(heads, ["head"], "cluster_id")
-    cell_ids = cut(core_cells.join(ids, "root").select("cell", F.col("cluster_id").cast("int")))
+    cell_ids = core_cells.join(ids, "root").select("cell", F.col("cluster_id").cast("int"))
 
     # Sparse-cell points that are not core, with the clusters they reach.
     reached = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import math
 
 import numpy as np
@@ -25,6 +26,13 @@ class Track:
         self.dwell = dwell
         self.exact = exact
 
+    def part(self, start: int, stop: int) -> Track:
+        """The same track, rows [start, stop) only."""
+        sub = copy.copy(self)
+        for name in ("lat", "lon", "cos", "seconds", "known"):
+            setattr(sub, name, getattr(self, name)[start:stop])
+        return sub
+
     def near(self, i, j):
         """Whether rows i and j lie within reach (index arrays or slices)."""
         u = np.sin((self.lat[i] - self.lat[j]) / 2)
@@ -108,3 +116,41 @@ class Track:
                 row = left
             else:
                 row += 1
+
+
+class Run:
+    """The search over rows [start, stop) of one trajectory that may go on behind them.
+
+    ``starts`` and ``ends`` are its stays before ``open``, the first anchor whose window
+    still holds the last row. With ``final`` the trajectory ends here and nothing is open.
+    """
+
+    def __init__(self, track: Track, start: int, stop: int, final: bool):
+        sub = track.part(start, stop)
+        starts, ends = sub.stays([0])
+        self.open = stop if final else start + self._first_open(sub, starts, ends)
+        sure = starts + start < self.open
+        self.start, self.stop = start, stop
+        self.starts, self.ends = starts[sure] + start, ends[sure] + start
+
+    @staticmethod
+    def _first_open(sub: Track, starts, ends) -> int:
+        n = len(sub.lat)
+        maybe = np.nonzero(sub.near(slice(0, n), n - 1))[0]
+        middle = maybe + (n - 1 - maybe) // 2
+        maybe = maybe[sub.near(maybe, middle)]
+        for row in maybe:
+            held = np.searchsorted(starts, row, side="left") - 1
+            if held >= 0 and row < ends[held]:
+                continue  # inside an earlier stay, so never an anchor
+            if sub.leaves_at(int(row), int(row) + 1, n) == n:
+                return int(row)
+        return n - 1
+
+    def anchors(self) -> np.ndarray:
+        """Whether each row of [start, stop) is an anchor of this search, up to ``open``."""
+        is_anchor = np.ones(self.stop - self.start, dtype=bool)
+        for a, b in zip(self.starts - self.start, self.ends - self.start):
+            is_anchor[a + 1 : b] = False
+        is_anchor[self.open - self.start + 1 :] = False
+        return is_anchor

@@ -38,8 +38,26 @@ def query(fn):
     return fn
 
 
+# Pipelines by session, folder and parameters, if ``share_stages(True)`` was called.
+_shared: dict[tuple, TrajectoryPipeline] | None = None
+
+
+def share_stages(on: bool) -> None:
+    """Let queries of one session reuse each other's stages; off unless asked for."""
+    global _shared
+    _shared = {} if on else None
+
+
 def _pipeline(spark: SparkSession, sf_dir: str, **params) -> TrajectoryPipeline:
-    return TrajectoryPipeline(event_positions(spark, sf_dir), Params(**params), EVENT_ORDER)
+    def build():
+        return TrajectoryPipeline(event_positions(spark, sf_dir), Params(**params), EVENT_ORDER)
+
+    if _shared is None:
+        return build()
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(params.items())))
+    if key not in _shared:
+        _shared[key] = build()
+    return _shared[key]
 
 
 def _in_micro_degrees(stays: DataFrame) -> DataFrame:
@@ -238,7 +256,7 @@ def similar_users_text(spark, sf_dir):
 
 @query
 def similar_user_components(spark, sf_dir):
-    return connected_components(_pipeline(spark, sf_dir).pairs, "uid", "other_uid")
+    return connected_components(_pipeline(spark, sf_dir).similar, "uid", "other_uid")
 
 
 @query
