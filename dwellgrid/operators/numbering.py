@@ -49,14 +49,17 @@ def number_in_groups(
     order: list[Column | str],
     name: str,
     limit: int = GROUP_ROWS,
+    fits: bool | None = None,
 ) -> DataFrame:
     """1-based row number inside each group.
 
-    Group sizes are counted first. While all groups fit ``limit``, a window does it in
+    Group sizes are counted first, unless the caller knows whether all fit. While all groups fit ``limit``, a window does it in
     one shuffle; otherwise rows are numbered over range partitions, which split big
     groups, and each group's first number is subtracted.
     """
-    if oversized_groups(df, keys, limit).isEmpty():
+    if fits is None:
+        fits = oversized_groups(df, keys, limit).isEmpty()
+    if fits:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     numbered = cut(number_all(df, [*keys, *order], "_overall"))
     starts = numbered.groupBy(*keys).agg(F.min("_overall").alias("_start"))
@@ -67,20 +70,26 @@ def number_in_groups(
     )
 
 
+def runs_short(df: DataFrame, seq: str, limit: int = GROUP_ROWS) -> bool:
+    """Whether no group is above ``limit`` rows, seen from gap-free numbers from 0."""
+    return df.filter(F.col(seq) >= limit).isEmpty()
+
+
 def with_previous(
     df: DataFrame,
     keys: list[str],
     seq: str,
     columns: list[str],
     limit: int = GROUP_ROWS,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Each row with ``prev_<column>`` of the row before it in its group.
 
-    ``seq`` counts a group's rows from 0 without gaps, so a group above ``limit`` rows
-    shows in its numbers; predecessors are then found by an equi-join on the number,
-    which spreads a big group, instead of a window over it.
+    ``seq`` counts a group's rows from 0 without gaps. If some group is above ``limit``
+    rows, predecessors are found by an equi-join on the number, which spreads a big
+    group, instead of a window over it.
     """
-    if df.filter(F.col(seq) >= limit).isEmpty():
+    if runs_short(df, seq, limit) if fits is None else fits:
         inside = W.partitionBy(*keys).orderBy(seq)
         return df.select("*", *[F.lag(c).over(inside).alias(f"prev_{c}") for c in columns])
     before = df.select(

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from dwellgrid.functions.text import KEY_SEP, STEP_SEP, joined_lines
 from dwellgrid.operators.dbscan import STAY_KEY
-from dwellgrid.operators.numbering import GROUP_ROWS, number_in_groups, with_previous
+from dwellgrid.operators.numbering import (
+    GROUP_ROWS,
+    number_in_groups,
+    runs_short,
+    with_previous,
+)
 
 TRAJECTORY = ["uid", "traj_id"]
 
@@ -15,10 +20,14 @@ TRAJECTORY = ["uid", "traj_id"]
 def label_lookup(stays: DataFrame, labels: DataFrame, by: str = "key") -> DataFrame:
     """Stay key and cluster_id; stays without a label get 0.
 
-    ``by="coordinate"`` looks labels up by (lat, lon) instead of the stay key.
+    ``by="coordinate"`` looks labels up by (lat, lon) instead of the stay key, which is
+    unique; coordinates are made so first.
     """
     on = {"key": STAY_KEY, "coordinate": ["lat", "lon"]}[by]
-    found = labels.groupBy(*on).agg(F.min("cluster_id").alias("found"))
+    if by == "key":
+        found = labels.select(*on, F.col("cluster_id").alias("found"))
+    else:
+        found = labels.groupBy(*on).agg(F.min("cluster_id").alias("found"))
     return stays.join(found, on, "left").select(
         *STAY_KEY, F.coalesce("found", F.lit(0)).alias("cluster_id")
     )
@@ -29,9 +38,11 @@ def collapse_runs(labelled: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
 
     Noise takes part in runs, so A,A is one visit of A and A,0,A is two.
     """
-    after = with_previous(labelled, TRAJECTORY, "stay_seq", ["cluster_id"], limit)
+    fits = runs_short(labelled, "stay_seq", limit)
+    after = with_previous(labelled, TRAJECTORY, "stay_seq", ["cluster_id"], limit, fits)
     begins = after.filter(~F.col("cluster_id").eqNullSafe(F.col("prev_cluster_id")))
-    return number_in_groups(begins, TRAJECTORY, ["stay_seq"], "nth", limit).select(
+    # Visits are no more than stays, so they fit whenever the stays do.
+    return number_in_groups(begins, TRAJECTORY, ["stay_seq"], "nth", limit, fits or None).select(
         *TRAJECTORY, (F.col("nth") - 1).cast("int").alias("visit_seq"), "cluster_id"
     )
 

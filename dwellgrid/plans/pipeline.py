@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from dwellgrid.lineage import cut
 from dwellgrid.operators import itemsets, recommend, regions, visits
@@ -73,7 +72,9 @@ class TrajectoryPipeline:
 
     @cached_property
     def visits(self) -> DataFrame:
-        return self._passed(visits.location_visits(self.stays, self.labels), "visits")
+        # Every stay has its label row, so no lookup is needed.
+        labelled = self.labels.select(*STAY_KEY, "cluster_id")
+        return self._kept(visits.collapse_runs(labelled), "visits")
 
     @cached_property
     def user_region(self) -> DataFrame:

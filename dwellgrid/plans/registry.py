@@ -190,7 +190,8 @@ def cluster_markers(spark, sf_dir):
 
 @query
 def location_visits(spark, sf_dir):
-    return _pipeline(spark, sf_dir).visits
+    run = _pipeline(spark, sf_dir)
+    return visits.location_visits(run.stays, run.labels)
 
 
 @query

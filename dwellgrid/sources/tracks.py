@@ -65,9 +65,12 @@ def read_tracks(spark: SparkSession, root: str, max_rows: int | None = None) ->
 
 
 def write_points(points: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Compact table: sorted by trajectory, few large files, big trajectories split."""
+    """Compact table: rows sorted by trajectory in files of even size.
+
+    Rebalancing gathers small partitions and splits those a big trajectory makes.
+    """
     (
-        points.repartitionByRange("uid", "traj_id", "seq")
+        points.hint("rebalance", "uid", "traj_id")
         .sortWithinPartitions("uid", "traj_id", "seq")
         .write.option("maxRecordsPerFile", FILE_ROWS)
         .mode(mode)
@@ -93,7 +96,7 @@ def write_trajectory_text(points: DataFrame, path: str, mode: str = "overwrite")
     """One text line per trajectory, users kept together."""
     (
         trajectory_lines(points)
-        .repartitionByRange("uid", "traj_id", "part")
+        .hint("rebalance", "uid")
         .sortWithinPartitions("uid", "traj_id", "part")
         .select("line")
         .write.mode(mode)
