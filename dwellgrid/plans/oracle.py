@@ -208,8 +208,8 @@ def oracle_statements() -> dict[str, str]:
             f" x > {x1 + m} AND x < {x2 - m} AND y > {y1 + m} AND y < {y2 - m} AS inside_inset FROM xy"
             f" WHERE x BETWEEN {x1 - m} AND {x2 + m} AND y BETWEEN {y1 - m} AND {y2 + m}",
         ),
-        "cell_counts": _with(cells, "SELECT cx, cy, n_points FROM cells"),
-        "cells_bounding_box": _with(
+        "cell_histogram": _with(cells, "SELECT cx, cy, n_points FROM cells"),
+        "bounding_box": _with(
             cells,
             f"SELECT min(cx) * {side} AS x, min(cy) * {side} AS y, (max(cx) + 1) * {side} AS x2,"
             f" (max(cy) + 1) * {side} AS y2 FROM cells",
@@ -221,6 +221,7 @@ def oracle_statements() -> dict[str, str]:
             f" AND cy * {side} >= {y1} AND (cy + 1) * {side} <= {y2}",
         ),
         "stay_points": _with(stays, f"SELECT {_COLUMNS} FROM stays"),
+        "stay_points_in_pieces": _with(stays, f"SELECT {_COLUMNS} FROM stays"),
         "stay_points_exact": _with(
             [_POINTS, _stays(_metres, 350.5, 7200)], f"SELECT {_COLUMNS} FROM stays"
         ),
@@ -300,7 +301,7 @@ def oracle_statements() -> dict[str, str]:
             sim,
             f"SELECT uid, {_ONE_PART}, string_agg(other_uid, ',' ORDER BY other_uid) AS line FROM sim GROUP BY uid",
         ),
-        "similar_user_components": _with(
+        "connected_components": _with(
             [
                 *sim,
                 "reach AS (SELECT uid AS node, uid AS other FROM sim UNION"

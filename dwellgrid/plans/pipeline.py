@@ -103,6 +103,11 @@ class TrajectoryPipeline:
     def recommendation_lines(self) -> DataFrame:
         return recommend.recommendation_lines(self.similar, self.recommended)
 
+    def create_views(self, prefix: str = "") -> None:
+        """Temporary views of the stages, for SQL."""
+        for name in ("stays", "labels", "visits", "user_region", "region_user", "similar", "recommended"):
+            getattr(self, name).createOrReplaceTempView(prefix + name)
+
     def write_text(self, out: str) -> None:
         """Text forms of all stages under ``out``."""
         stages.write_lines(stages.stay_lines(self.stays), f"{out}/stays")

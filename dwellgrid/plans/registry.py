@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellgrid.functions.geo import Rect
-from dwellgrid.operators import dbscan, itemsets, recommend, regions, steps, visits
+from dwellgrid.operators import dbscan, itemsets, recommend, regions, stays, steps, visits
 from dwellgrid.operators.cells import (
     bounding_box,
     cell_bounds,
@@ -29,12 +29,13 @@ RECT = (32985000.0, 6812500.0, 32988500.0, 6814900.0)
 RECT_MARGIN = 100.0
 CELL_SIDE = 200.0
 MARKER_CLUSTER = 4
+PIECE_ROWS = 12
 
 _STAY = ["uid", "traj_id", "stay_seq"]
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.removesuffix("_query")] = fn
     return fn
 
 
@@ -60,8 +61,8 @@ def _pipeline(spark: SparkSession, sf_dir: str, **params) -> TrajectoryPipeline:
     return _shared[key]
 
 
-def _in_micro_degrees(stays: DataFrame) -> DataFrame:
-    return stays.withColumn("lat", F.expr(f"{micro_mean('lat')} / 1e6")).withColumn(
+def _in_micro_degrees(found: DataFrame) -> DataFrame:
+    return found.withColumn("lat", F.expr(f"{micro_mean('lat')} / 1e6")).withColumn(
         "lon", F.expr(f"{micro_mean('lon')} / 1e6")
     )
 
@@ -110,12 +111,12 @@ def points_in_rect(spark, sf_dir):
 
 
 @query
-def cell_counts(spark, sf_dir):
+def cell_histogram_query(spark, sf_dir):
     return cell_histogram(to_plane(event_positions(spark, sf_dir)), CELL_SIDE)
 
 
 @query
-def cells_bounding_box(spark, sf_dir):
+def bounding_box_query(spark, sf_dir):
     cells = cell_histogram(to_plane(event_positions(spark, sf_dir)), CELL_SIDE)
     return bounding_box(cell_bounds(cells, CELL_SIDE))
 
@@ -134,14 +135,20 @@ def stay_points(spark, sf_dir):
 @query
 def stay_points_exact(spark, sf_dir):
     """Without whole-metre rounding, and with thresholds of its own."""
-    stays = _pipeline(spark, sf_dir, exact=True, distance=350.5, dwell=7200).stays
-    return _in_micro_degrees(stays)
+    return _in_micro_degrees(_pipeline(spark, sf_dir, exact=True, distance=350.5, dwell=7200).stays)
+
+
+@query
+def stay_points_in_pieces(spark, sf_dir):
+    """The way of trajectories too long for one task, with a limit most exceed."""
+    points = event_positions(spark, sf_dir)
+    return _in_micro_degrees(stays.stay_points(points, order=EVENT_ORDER, max_rows=PIECE_ROWS))
 
 
 @query
 def stay_points_text(spark, sf_dir):
-    stays = _in_micro_degrees(_pipeline(spark, sf_dir).stays)
-    return stages.stay_lines(stays).select("uid", "traj_id", "part", "line")
+    found = _in_micro_degrees(_pipeline(spark, sf_dir).stays)
+    return stages.stay_lines(found).select("uid", "traj_id", "part", "line")
 
 
 @query
@@ -256,7 +263,7 @@ def similar_users_text(spark, sf_dir):
 
 
 @query
-def similar_user_components(spark, sf_dir):
+def connected_components_query(spark, sf_dir):
     return connected_components(_pipeline(spark, sf_dir).similar, "uid", "other_uid")
 
 

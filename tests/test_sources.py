@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dwellgrid.functions import geo
+from dwellgrid.functions.text import natural_key, natural_sorted, numeric_sorted
 from dwellgrid.plans.pipeline import Params, TrajectoryPipeline, run
 from dwellgrid.sources import stages, tracks
 
@@ -80,6 +81,10 @@ def test_whole_job(spark, tree, tmp_path):
     coordinates = stages.stay_coordinates(spark.read.text(f"{out}/text/stays").withColumnRenamed("value", "line"))
     assert coordinates.count() == 42
     # A second run replaces the stages.
+    again = TrajectoryPipeline(spark.read.parquet(str(tmp_path / "points")))
+    again.create_views("job_")
+    top = spark.sql("SELECT uid, cluster_id FROM job_user_region WHERE uid = '000' AND rank = 1").collect()
+    assert [tuple(r) for r in top] == [("000", 1)]
     TrajectoryPipeline(spark.read.parquet(str(tmp_path / "points")), Params(dwell=10**6), out=out).stays
     assert spark.read.parquet(f"{out}/stays").isEmpty()
 
@@ -89,6 +94,14 @@ def test_markers(spark):
     assert [r.marker for r in stages.map_markers(df, 4).collect()] == ['{"position":[116.3,39.9]}']
 
 
+def test_text_orders(spark):
+    words = spark.createDataFrame([(["10", "9", "2", "100"],)], "a array<string>")
+    row = words.select(natural_sorted(F.col("a")).alias("n"), numeric_sorted(F.col("a")).alias("i")).first()
+    assert row.n == row.i == ["2", "9", "10", "100"]
+    ordered = words.select(F.explode("a").alias("v")).orderBy(*natural_key(F.col("v"))).collect()
+    assert [r.v for r in ordered] == row.n
+
+
 def test_scalar_functions(spark):
     one = spark.range(1)
     row = one.select(
