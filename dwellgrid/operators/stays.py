@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from dwellgrid.operators.numbering import oversized_groups
+from dwellgrid.operators.numbering import oversized_groups, runs_short
 from dwellgrid.operators.windows import Track
 
 # Longest trajectory that one task scans in memory.
@@ -116,9 +116,12 @@ def stay_points(
     search goes on behind it; otherwise the next row becomes the anchor. ``order`` names
     the columns that order a trajectory's rows.
 
-    Trajectories are counted first. Those above ``max_rows`` are cut into pieces that
-    are scanned in parallel and joined up exactly.
+    Trajectories are counted first, or recognised by ``seq`` where that is the order: it
+    counts rows from 0, so the filter can skip whole files. Trajectories above
+    ``max_rows`` are cut into pieces that are scanned in parallel and joined up exactly.
     """
+    if tuple(order) == ("seq",) and runs_short(points, "seq", max_rows):
+        return scan_whole(points, distance, dwell, order, exact)
     long_ones = oversized_groups(points, TRAJECTORY, max_rows)
     if long_ones.isEmpty():
         return scan_whole(points, distance, dwell, order, exact)

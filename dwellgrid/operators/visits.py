@@ -33,12 +33,16 @@ def label_lookup(stays: DataFrame, labels: DataFrame, by: str = "key") -> DataFr
     )
 
 
-def collapse_runs(labelled: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
+def collapse_runs(
+    labelled: DataFrame, limit: int = GROUP_ROWS, fits: bool | None = None
+) -> DataFrame:
     """One visit per run of equal labels in a trajectory: visit_seq counts from 0.
 
-    Noise takes part in runs, so A,A is one visit of A and A,0,A is two.
+    Noise takes part in runs, so A,A is one visit of A and A,0,A is two. ``fits`` says
+    whether every trajectory is within ``limit`` stays, if the caller knows.
     """
-    fits = runs_short(labelled, "stay_seq", limit)
+    if fits is None:
+        fits = runs_short(labelled, "stay_seq", limit)
     after = with_previous(labelled, TRAJECTORY, "stay_seq", ["cluster_id"], limit, fits)
     begins = after.filter(~F.col("cluster_id").eqNullSafe(F.col("prev_cluster_id")))
     # Visits are no more than stays, so they fit whenever the stays do.
@@ -49,7 +53,8 @@ def collapse_runs(labelled: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
 
 def location_visits(stays: DataFrame, labels: DataFrame, by: str = "key") -> DataFrame:
     """uid, traj_id, visit_seq, cluster_id of every visit, noise (0) included."""
-    return collapse_runs(label_lookup(stays, labels, by))
+    fits = runs_short(stays, "stay_seq")
+    return collapse_runs(label_lookup(stays, labels, by), fits=fits)
 
 
 def location_lines(visits: DataFrame) -> DataFrame:

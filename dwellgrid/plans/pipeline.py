@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dwellgrid.lineage import cut
 from dwellgrid.operators import itemsets, recommend, regions, visits
 from dwellgrid.operators.dbscan import STAY_KEY, dbscan
+from dwellgrid.operators.numbering import runs_short
 from dwellgrid.operators.stays import stay_points
 from dwellgrid.sources import stages
 from dwellgrid.sources.tracks import prepare_points
@@ -74,7 +75,8 @@ class TrajectoryPipeline:
     def visits(self) -> DataFrame:
         # Every stay has its label row, so no lookup is needed.
         labelled = self.labels.select(*STAY_KEY, "cluster_id")
-        return self._kept(visits.collapse_runs(labelled), "visits")
+        fits = runs_short(self.stays, "stay_seq")
+        return self._kept(visits.collapse_runs(labelled, fits=fits), "visits")
 
     @cached_property
     def user_region(self) -> DataFrame:

@@ -13,6 +13,9 @@ from dwellgrid.operators.numbering import number_in_groups
 HEADER_LINES = 6
 LAT_FIELD, LON_FIELD, DATE_FIELD, TIME_FIELD = 0, 1, 5, 6
 
+# Largest track file whose lines one task numbers.
+TRACK_BYTES = 64 << 20
+
 # Rows per output file; a row takes some 50 bytes of text.
 FILE_ROWS = 1_000_000
 
@@ -38,16 +41,17 @@ def _ordered_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_tracks(spark: SparkSession, root: str, max_rows: int | None = None) -> DataFrame:
+def read_tracks(spark: SparkSession, root: str, max_bytes: int = TRACK_BYTES) -> DataFrame:
     """Points of all ``root/<uid>/<folder>/<file>`` track files; seq counts from 0.
 
     Files at other depths are ignored, as are a file's header lines and blank lines.
+    Lines are numbered per file by a window while every file is within ``max_bytes``,
+    which the file listing tells; else over range partitions.
     """
-    from dwellgrid.operators.numbering import GROUP_ROWS
-
-    lines = _ordered_lines(spark.read.text(f"{root.rstrip('/')}/*/*/*"))
+    files = f"{root.rstrip('/')}/*/*/*"
+    fits = spark.read.format("binaryFile").load(files).filter(F.col("length") > max_bytes).isEmpty()
     numbered = number_in_groups(
-        lines, ["path"], ["split_start", "running"], "line_no", max_rows or GROUP_ROWS
+        _ordered_lines(spark.read.text(files)), ["path"], ["split_start", "running"], "line_no", fits=fits
     )
     fields = F.split("value", FIELD_SEP)
     return (

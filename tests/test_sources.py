@@ -45,7 +45,7 @@ def test_track_reader(spark, tree):
     assert [r.seq for r in first] == list(range(15))
     assert first[0].ts == dt.datetime(2008, 10, 24, 2, 0, 0)
     assert (first[1].lat, first[1].lon) == (39.90001, 116.30001)
-    big_files = tracks.read_tracks(spark, str(tree), max_rows=5)
+    big_files = tracks.read_tracks(spark, str(tree), max_bytes=100)
     assert sorted(map(tuple, big_files.collect())) == sorted(map(tuple, points.collect()))
 
 
