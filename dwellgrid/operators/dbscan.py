@@ -49,10 +49,10 @@ def _cell_stripes(cell: str) -> tuple[Column, Column]:
     return gx, F.col(cell) - gx * _ROW
 
 
-def _nearby(cell: str, later_only: bool = False) -> Column:
-    """Explode the cells that may hold points within eps of a cell's points."""
+def _later_cells(cell: str) -> Column:
+    """Explode those cells around a cell, with larger ids, that eps can reach."""
     steps = [dx * _ROW + dy for dx in _REACH for dy in _REACH]
-    return F.explode(F.array(*[F.col(cell) + s for s in steps if s > 0 or not later_only]))
+    return F.explode(F.array(*[F.col(cell) + s for s in steps if s > 0]))
 
 
 def _box() -> list[Column]:
@@ -101,7 +101,24 @@ def _coordinates(points: DataFrame, key: list[str], side: float, min_pts: int):
 def _as_nodes(cells: DataFrame) -> DataFrame:
     """Whole cells as the first level of boxes."""
     zero = F.lit(0).cast("bigint")
-    return cells.select("cell", zero.alias("sx"), zero.alias("sy"), "n", "w", *_BOX)
+    return cells.select("cell", zero.alias("sx"), zero.alias("sy"), "n", "w", *_BOX, "dense")
+
+
+def _near_cells(cells: DataFrame, eps: float) -> DataFrame:
+    """Occupied cells a and b, a's id smaller, whose boxes are within eps.
+
+    Points find their neighbours through this table, so that only cells, not points, are
+    multiplied by the places around them, and most of those turn out empty here.
+    """
+    nodes = _as_nodes(cells)
+    around = _prefixed(nodes, "a").withColumn("b_cell", _later_cells("a_cell"))
+    return cut(around.join(_prefixed(nodes, "b"), "b_cell").filter(_gap_sq() <= eps * eps))
+
+
+def _both_ways(near: DataFrame) -> DataFrame:
+    other = {"a": "b", "b": "a"}
+    swapped = near.select(*[F.col(c).alias(other[c[0]] + c[1:]) for c in near.columns])
+    return near.unionByName(swapped)
 
 
 def _quarters(coords: DataFrame, side: float, level: int) -> DataFrame:
@@ -186,7 +203,7 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def _around_sparse(coords: DataFrame, cells: DataFrame, eps: float, side: float):
+def _around_sparse(coords: DataFrame, cells: DataFrame, near: DataFrame, eps: float, side: float):
     """Neighbours of the points in sparse cells.
 
     Returns (pairs, reach): neighbour pairs of sparse-cell points, each cell holding
@@ -199,32 +216,34 @@ def _around_sparse(coords: DataFrame, cells: DataFrame, eps: float, side: float)
         F.lit(1).alias("a_n"),
         F.col("x").alias("a_x1"), F.col("x").alias("a_x2"),
         F.col("y").alias("a_y1"), F.col("y").alias("a_y2"),
-        _nearby("cell").alias("b_cell"),
     )
+    around = _both_ways(near).filter(~F.col("a_dense"))
+    itself = cells.filter(~F.col("dense")).select(
+        F.col("cell").alias("a_cell"), F.col("cell").alias("b_cell")
+    )
+    meet = around.filter(~F.col("b_dense")).select("a_cell", "b_cell").unionByName(itself)
     pairs = (
-        own.join(_prefixed(sparse.select("cell", "lat", "lon", "x", "y", "w"), "b"), "b_cell")
+        own.join(meet, "a_cell")
+        .join(_prefixed(sparse.select("cell", "lat", "lon", "x", "y", "w"), "b"), "b_cell")
         .filter(planar_distance_sq("a_x1", "a_y1", "b_x", "b_y") <= eps * eps)
         .select("a_lat", "a_lon", "a_cell", "b_lat", "b_lon", "b_cell", F.col("b_w").alias("w"))
     )
-    dense = _prefixed(_as_nodes(cells.filter("dense")), "b")
+    dense = around.filter("b_dense").select(
+        "a_cell", *[c for c in around.columns if c.startswith("b_") and c != "b_dense"]
+    )
     columns = ["a_lat", "a_lon", "a_cell", "b_cell", F.col("b_w").alias("w")]
     found = []
     for _, whole, points in _meetings(
-        own.join(dense, "b_cell"), coords.filter("dense"), eps, side, points_a=True, once=False
+        own.join(dense, "a_cell"), coords.filter("dense"), eps, side, points_a=True, once=False
     ):
         found += [whole.select(*columns), points.select(*columns)]
     reach = _all(found).groupBy("a_lat", "a_lon", "a_cell", "b_cell").agg(F.sum("w").alias("w"))
     return cut(pairs), cut(reach)
 
 
-def _dense_links(coords: DataFrame, cells: DataFrame, eps: float, side: float) -> DataFrame:
+def _dense_links(coords: DataFrame, near: DataFrame, eps: float, side: float) -> DataFrame:
     """(a_cell, b_cell) for dense cells with points within eps of each other."""
-    nodes = _as_nodes(cells.filter("dense"))
-    pairs = (
-        _prefixed(nodes, "a")
-        .withColumn("b_cell", _nearby("a_cell", later_only=True))
-        .join(_prefixed(nodes, "b"), "b_cell")
-    )
+    pairs = near.filter("a_dense AND b_dense").drop("a_dense", "b_dense")
     found = []
     for _, whole, points in _meetings(
         pairs, coords.filter("dense"), eps, side, points_a=False, once=True
@@ -260,7 +279,8 @@ def dbscan(
     side = _cell_side(eps)
     points = cut(stays.select(*key, "lat", "lon"))
     coords, cells = _coordinates(points, key, side, min_pts)
-    pairs, reach = _around_sparse(coords, cells, eps, side)
+    near = _near_cells(cells, eps)
+    pairs, reach = _around_sparse(coords, cells, near, eps, side)
 
     cores = cut(_sparse_cores(pairs, reach, min_pts))
     spot = ["a_lat", "a_lon"]
@@ -272,7 +292,7 @@ def dbscan(
         .unionByName(to_core.select(*spot, "a_cell", "b_cell"))
         .join(cores.select(*spot), spot, "left_semi")
         .select("a_cell", "b_cell")
-        .unionByName(_dense_links(coords, cells, eps, side))
+        .unionByName(_dense_links(coords, near, eps, side))
     )
     roots = component_roots(links, "a_cell", "b_cell")
 
@@ -338,12 +358,9 @@ def neighbour_counts(stays: DataFrame, eps: float = 100.0, key: list[str] | None
     side = _cell_side(eps)
     points = cut(stays.select(*key, "lat", "lon"))
     coords, cells = _coordinates(points, key, side, 1)
-    nodes = _as_nodes(cells)
-    pairs = (
-        _prefixed(nodes, "a")
-        .withColumn("b_cell", _nearby("a_cell"))
-        .join(_prefixed(nodes, "b"), "b_cell")
-    )
+    itself = _prefixed(_as_nodes(cells), "a")
+    itself = itself.select("*", *[F.col(c).alias("b" + c[1:]) for c in itself.columns])
+    pairs = _both_ways(_near_cells(cells, eps)).unionByName(itself).drop("a_dense", "b_dense")
     found = []
     for level, whole, met in _meetings(pairs, coords, eps, side, points_a=False, once=False):
         # What a whole box reaches is added up per box before its points share it.
@@ -369,7 +386,8 @@ def core_points(
     side = _cell_side(eps)
     points = cut(stays.select(*key, "lat", "lon"))
     coords, cells = _coordinates(points, key, side, min_pts)
-    pairs, reach = _around_sparse(coords, cells, eps, side)
+    near = _near_cells(cells, eps)
+    pairs, reach = _around_sparse(coords, cells, near, eps, side)
     cores = _sparse_cores(pairs, reach, min_pts).select(
         F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")
     )

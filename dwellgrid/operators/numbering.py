@@ -71,7 +71,7 @@ def number_in_groups(
 
 
 def runs_short(df: DataFrame, seq: str, limit: int = GROUP_ROWS) -> bool:
-    """Whether no group is above ``limit`` rows, seen from gap-free numbers from 0."""
+    """Whether no group is above ``limit`` rows, seen from numbers that count from 0."""
     return df.filter(F.col(seq) >= limit).isEmpty()
 
 
@@ -85,14 +85,15 @@ def with_previous(
 ) -> DataFrame:
     """Each row with ``prev_<column>`` of the row before it in its group.
 
-    ``seq`` counts a group's rows from 0 without gaps. If some group is above ``limit``
-    rows, predecessors are found by an equi-join on the number, which spreads a big
+    ``seq`` counts a group's rows from 0, gaps allowed. If some group is above ``limit``
+    rows, predecessors are found by an equi-join on the row number, which spreads a big
     group, instead of a window over it.
     """
     if runs_short(df, seq, limit) if fits is None else fits:
         inside = W.partitionBy(*keys).orderBy(seq)
         return df.select("*", *[F.lag(c).over(inside).alias(f"prev_{c}") for c in columns])
-    before = df.select(
-        *keys, (F.col(seq) + 1).alias(seq), *[F.col(c).alias(f"prev_{c}") for c in columns]
+    rows = cut(number_in_groups(df, keys, [seq], "_nth", limit, fits=False))
+    before = rows.select(
+        *keys, (F.col("_nth") + 1).alias("_nth"), *[F.col(c).alias(f"prev_{c}") for c in columns]
     )
-    return df.join(before, [*keys, seq], "left")
+    return rows.join(before, [*keys, "_nth"], "left").drop("_nth")
