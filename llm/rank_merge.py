@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import regex
+from tokenizers import Tokenizer
 
 _NEVER = np.iinfo(np.int64).max
 
@@ -68,6 +69,7 @@ class RankMerger:
     """A byte-level word vocabulary (a ``tokenizers`` JSON file), applied to many pieces at once."""
 
     def __init__(self, path: str):
+        self._path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -90,6 +92,9 @@ class RankMerger:
         joined = "\n".join(new)
         if self._marks and self._marks.search(joined):
             return self._encode_with_added(new)
+        strange = {c for c in set(joined) if unicodedata.category(c) == "Cn"}
+        if strange:
+            return self._encode_strange(new, strange)
         joined = unicodedata.normalize("NFC", joined)
         # Letter by letter where the lower case of a string depends on a letter's neighbours.
         low = joined.lower() if "\u03a3" not in joined else "".join(c.lower() for c in joined)
@@ -115,6 +120,18 @@ class RankMerger:
         owner = np.repeat(np.arange(len(new)), [len(s) for s in split])
         return ids, np.bincount(owner, counts, len(new)).astype(np.int64)
 
+    def _encode_strange(self, new: list[str], strange: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of code points without a category here, only the vocabulary's own library knows where they split."""
+        odd = {i for i, piece in enumerate(new) if not strange.isdisjoint(piece)}
+        ids, counts = self.encode(["" if i in odd else piece for i, piece in enumerate(new)])
+        library = Tokenizer.from_file(self._path)
+        found = {i: library.encode(new[i], add_special_tokens=False).ids for i in sorted(odd)}
+        ends = np.cumsum(counts)
+        ids = np.insert(ids, [ends[i] for i, own in found.items() for _ in own], [x for own in found.values() for x in own])
+        for i, own in found.items():
+            counts[i] = len(own)
+        return ids.astype(np.int64), counts
+
     def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols left of all words, number of each) when no pair can be merged any more."""
         lengths = np.array([len(w) for w in words], np.int64)
