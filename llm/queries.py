@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import (
+    chat_format,
     decontamination,
     language_id,
     line_dedup,
+    line_quality,
     packing,
+    pseudo_likelihood,
     simhash,
     token_counts,
+    toxicity,
 )
 from llm.tables import held_out, table
 
@@ -25,6 +29,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_quality.judged(docs, line_quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.conversations(table(spark, sf_dir, "conversations"))
+    return chat_format.preference_pairs(chat_format.stale_reply_pairs(turns))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.marked_lines(table(spark, sf_dir, "documents"))
 
@@ -33,6 +51,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -54,12 +78,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op2_pseudo_likelihood,
+        op3_line_quality,
+        op4_preference_format,
         op5_line_dedup,
         op6_decontamination,
+        op7_toxicity,
         op8_best_fit_packing,
         op9_simhash,
         op10_language_id,
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_preference_format": chat_format.ORACLE_SQL}
