@@ -220,14 +220,17 @@ def _marked(docs: DataFrame, threshold: float) -> DataFrame:
         )
     )
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "line_no")
-    firsts = lines.groupBy("component_id").agg(F.min(place).alias("first"))
-    return lines.join(firsts, "component_id").select(
+    firsts = lines.groupBy("component_id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    # Cut, so that the join below is free to split what a frequent line brings; lines that occur once need none.
+    firsts = cut(firsts.filter("n > 1").select("component_id", "first"))
+    is_first = (F.col("key") == F.col("first.key")) & (F.col("line_no") == F.col("first.line_no"))
+    return lines.join(firsts, "component_id", "left").select(
         "key",
         "doc_id",
         "line_no",
         "line_id",
         "component_id",
-        ((F.col("key") == F.col("first.key")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
+        F.coalesce(is_first, F.lit(True)).alias("kept"),
     )
 
 
