@@ -11,7 +11,8 @@ STEP_SEP = "->"
 FIELD_SEP = ","
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
-# Most items one text line carries before the next ``part`` goes on.
+# Most items one text line carries before the next ``part`` goes on. A line that is full or goes on another one
+# says in a last field which key's and from which place, so that any reader can put the parts together.
 LINE_ITEMS = 1_000_000
 
 
@@ -44,7 +45,8 @@ def joined_lines(
     """One text per key holding its items in ``position`` order (0-based, gap-free).
 
     A key with more than ``line_items`` items gets several rows, numbered by ``part``,
-    so that no task ever holds an unbounded group.
+    so that no task ever holds an unbounded group. ``place`` is NULL on the only line of
+    a key; on lines that are full or go on another one it is the position of the first item.
     """
     pieces = df.select(
         *keys,
@@ -58,5 +60,15 @@ def joined_lines(
             *keys,
             "part",
             F.array_join(F.transform("pieces", lambda p: p["v"]), sep).alias("line"),
+            F.when(
+                (F.col("part") > 0) | (F.size("pieces") == int(line_items)),
+                F.col("part").cast("bigint") * int(line_items),
+            ).alias("place"),
         )
     )
+
+
+def keyed_lines(lines: DataFrame) -> DataFrame:
+    """uid, traj_id, part, line with the user ahead of the line; of a key with several lines each names its place."""
+    goes_on = F.when(F.col("place").isNotNull(), F.concat_ws(FIELD_SEP, "place", "traj_id"))
+    return lines.withColumn("line", F.concat_ws(KEY_SEP, "uid", "line", goes_on)).drop("place")

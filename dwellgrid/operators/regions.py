@@ -44,7 +44,7 @@ def region_user_lines(pairs: DataFrame, line_items: int = LINE_ITEMS) -> DataFra
 
 
 def transaction_counts(pairs: DataFrame, line_items: int = LINE_ITEMS) -> DataFrame:
-    """Regions with exactly the same users, counted: part, users, freq.
+    """Regions with exactly the same users, counted: set_id (their least region), part, users, freq.
 
     Equal user sets are recognised by the digests of their lines, so that big sets need
     not be compared or shuffled as a whole.
@@ -55,4 +55,6 @@ def transaction_counts(pairs: DataFrame, line_items: int = LINE_ITEMS) -> DataFr
     same = signed.groupBy("signature").agg(
         F.min("cluster_id").alias("cluster_id"), F.count(F.lit(1)).alias("freq")
     )
-    return lines.join(same, "cluster_id").select("part", F.col("line").alias("users"), "freq")
+    return lines.join(same, "cluster_id").select(
+        F.col("cluster_id").alias("set_id"), "part", F.col("line").alias("users"), "freq"
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.functions.text import KEY_SEP, STEP_SEP, joined_lines
+from dwellgrid.functions.text import LINE_ITEMS, STEP_SEP, joined_lines, keyed_lines
 from dwellgrid.operators.dbscan import STAY_KEY
 from dwellgrid.operators.numbering import (
     GROUP_ROWS,
@@ -57,7 +57,6 @@ def location_visits(stays: DataFrame, labels: DataFrame, by: str = "key") -> Dat
     return collapse_runs(label_lookup(stays, labels, by), fits=fits)
 
 
-def location_lines(visits: DataFrame) -> DataFrame:
+def location_lines(visits: DataFrame, line_items: int = LINE_ITEMS) -> DataFrame:
     """uid, traj_id, part, line: ``uid<TAB>c1->c2->...``."""
-    lines = joined_lines(visits, TRAJECTORY, "visit_seq", F.col("cluster_id"), STEP_SEP)
-    return lines.withColumn("line", F.concat_ws(KEY_SEP, "uid", "line"))
+    return keyed_lines(joined_lines(visits, TRAJECTORY, "visit_seq", F.col("cluster_id"), STEP_SEP, line_items))

@@ -190,6 +190,16 @@ def oracle_statements() -> dict[str, str]:
             " CAST(lon AS VARCHAR) || ',' || strftime(ts, '%Y-%m-%d %H:%M:%S'), '->' ORDER BY seq) AS line"
             " FROM pts GROUP BY uid, traj_id",
         ),
+        "trajectory_text_parsed": _with(points, "SELECT uid, traj_id, seq, lat, lon, ts FROM pts"),
+        "track_lines_parsed": _with(points, "SELECT uid, traj_id, seq, lat, lon, ts FROM pts"),
+        "stay_text_parsed": _with(
+            stays, "SELECT mlat / 1e6 AS lat, mlon / 1e6 AS lon, count(*) AS n_stays FROM stays GROUP BY 1, 2"
+        ),
+        "labelled_text_parsed": _with(
+            labels,
+            "SELECT mlat / 1e6 AS lat, mlon / 1e6 AS lon, cluster_id, flag, count(*) AS n_lines"
+            " FROM labelled GROUP BY 1, 2, 3, 4",
+        ),
         "step_distance": _with(
             points,
             "SELECT p.uid, p.traj_id, p.seq, " + _whole_metres("q.", "p.") + " AS metres FROM pts p"
@@ -282,7 +292,7 @@ def oracle_statements() -> dict[str, str]:
         ),
         "transaction_counts": _with(
             ur,
-            f"SELECT {_ONE_PART}, users, count(*) AS freq FROM"
+            f"SELECT min(cluster_id) AS set_id, {_ONE_PART}, users, count(*) AS freq FROM"
             f" (SELECT cluster_id, {users} AS users FROM ur GROUP BY cluster_id) GROUP BY users",
         ),
         "frequent_items": _with(

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dwellgrid.lineage import cut
 from dwellgrid.operators import itemsets, recommend, regions, visits
@@ -14,7 +15,7 @@ from dwellgrid.operators.dbscan import STAY_KEY, dbscan
 from dwellgrid.operators.numbering import runs_short
 from dwellgrid.operators.stays import stay_points
 from dwellgrid.sources import stages
-from dwellgrid.sources.tracks import prepare_points
+from dwellgrid.sources.tracks import path_exists, prepare_points, read_trajectory_text, remove_path, write_points
 
 
 @dataclass(frozen=True)
@@ -22,7 +23,7 @@ class Params:
     """Thresholds of all stages, with their usual values."""
 
     distance: float = 200.0  # metres a stay may spread around its first point
-    dwell: float = 1200  # seconds a stay must last
+    dwell: float = 1200.0  # seconds a stay must last
     eps: float = 100.0  # planar radius of a neighbourhood
     min_pts: int = 4  # points that make a neighbourhood dense
     min_support: int = 3  # regions two similar users share
@@ -131,10 +132,24 @@ def run(
     out: str,
     params: Params = Params(),
     text: bool = False,
+    trajectories: str | None = None,
+    markers: int | None = None,
 ) -> DataFrame:
-    """Track files to recommendations; stage tables (and text forms) go under ``out``."""
+    """Track files (or trajectory text) to recommendations; all results go under ``out``.
+
+    ``out`` is replaced as a whole, so nothing of an earlier run stays. With ``trajectories`` the points come
+    from that text; with ``markers`` the map markers of a cluster are written as well.
+    """
+    if f"{points.rstrip('/')}/".startswith(f"{out.rstrip('/')}/"):
+        raise ValueError("the points table may not lie in the folder that is replaced")
+    if trajectories and not path_exists(spark, f"{points}/_SUCCESS"):
+        write_points(read_trajectory_text(spark, trajectories), points)
+    remove_path(spark, out)
     pipeline = TrajectoryPipeline(prepare_points(spark, tracks, points), params, out=out)
     result = pipeline.recommended
     if text:
         pipeline.write_text(f"{out}/text")
+    if markers is not None:
+        found = stages.map_markers(pipeline.labelled_stays, markers)
+        found.select(F.col("marker").alias("value")).write.text(f"{out}/markers")
     return result

@@ -20,7 +20,7 @@ from dwellgrid.operators.components import connected_components
 from dwellgrid.plans.event_view import EVENT_ORDER, event_points, event_positions, micro_mean
 from dwellgrid.plans.pipeline import Params, TrajectoryPipeline
 from dwellgrid.sources import stages
-from dwellgrid.sources.tracks import trajectory_lines
+from dwellgrid.sources.tracks import parse_track_lines, parse_trajectory_lines, trajectory_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,6 +30,7 @@ RECT_MARGIN = 100.0
 CELL_SIDE = 200.0
 MARKER_CLUSTER = 4
 PIECE_ROWS = 12
+PARSED_LINE_ITEMS = 16
 
 _STAY = ["uid", "traj_id", "stay_seq"]
 
@@ -77,6 +78,42 @@ def trajectory_text(spark, sf_dir):
     return trajectory_lines(event_points(spark, sf_dir)).select("uid", "traj_id", "part", "line")
 
 
+@query
+def trajectory_text_parsed(spark, sf_dir):
+    """Points read back from their text, with parts of a few items where trajectories are long."""
+    lines = trajectory_lines(event_points(spark, sf_dir), line_items=PARSED_LINE_ITEMS)
+    return parse_trajectory_lines(lines.select("traj_id", F.col("line").alias("value")))
+
+
+@query
+def track_lines_parsed(spark, sf_dir):
+    """Points as lines of track files under six header lines, read back."""
+    points = event_points(spark, sf_dir)
+    line = F.concat_ws(
+        ",", "lat", "lon", F.lit("0,492,39744.1"), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss")
+    )
+    body = points.select("uid", "traj_id", (F.col("seq") + 7).alias("line_no"), line.alias("value"))
+    head = points.select("uid", "traj_id").distinct().select(
+        "uid", "traj_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("line_no"), F.lit("1,2,3,4,5,6,7").alias("value")
+    )
+    return parse_track_lines(head.unionByName(body))
+
+
+@query
+def stay_text_parsed(spark, sf_dir):
+    found = _in_micro_degrees(_pipeline(spark, sf_dir).stays)
+    return stages.stay_coordinates(stages.stay_lines(found)).groupBy("lat", "lon").agg(F.count("*").alias("n_stays"))
+
+
+@query
+def labelled_text_parsed(spark, sf_dir):
+    run = _pipeline(spark, sf_dir)
+    labels = run.labels.select(*_STAY, "cluster_id", "flag")
+    lines = stages.labelled_lines(_in_micro_degrees(run.stays).join(labels, _STAY))
+    parsed = stages.parse_labelled(lines.withColumnRenamed("line", "value"))
+    return parsed.groupBy("lat", "lon", "cluster_id", "flag").agg(F.count("*").alias("n_lines"))
+
+
 @query
 def step_distance(spark, sf_dir):
     return steps.step_distances(event_points(spark, sf_dir))
@@ -219,12 +256,12 @@ def user_region_ranked(spark, sf_dir):
 
 @query
 def user_region_text(spark, sf_dir):
-    return regions.user_region_lines(_pipeline(spark, sf_dir).user_region)
+    return regions.user_region_lines(_pipeline(spark, sf_dir).user_region).drop("place")
 
 
 @query
 def region_user_text(spark, sf_dir):
-    return regions.region_user_lines(_pipeline(spark, sf_dir).region_user)
+    return regions.region_user_lines(_pipeline(spark, sf_dir).region_user).drop("place")
 
 
 @query
@@ -259,7 +296,7 @@ def similar_users(spark, sf_dir):
 
 @query
 def similar_users_text(spark, sf_dir):
-    return itemsets.similar_user_lines(_pipeline(spark, sf_dir).similar)
+    return itemsets.similar_user_lines(_pipeline(spark, sf_dir).similar).drop("place")
 
 
 @query

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellgrid.functions.geo import parse_ts
-from dwellgrid.functions.text import FIELD_SEP, KEY_SEP, STEP_SEP, TS_FORMAT, joined_lines
+from dwellgrid.functions.text import FIELD_SEP, KEY_SEP, LINE_ITEMS, STEP_SEP, TS_FORMAT, joined_lines, keyed_lines
 from dwellgrid.operators.numbering import number_in_groups
 
 # Header lines of a track file and the fields that are kept.
@@ -19,12 +19,29 @@ TRACK_BYTES = 64 << 20
 # Rows per output file; a row takes some 50 bytes of text.
 FILE_ROWS = 1_000_000
 
-_IN_TREE = r"([^/]+)/[^/]+/([^/]+)$"
+_IN_TREE = r"/([^/]+)/[^/]+/([^/]+)$"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) in the session's Hadoop configuration."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _file_system(spark, path)
+    return fs.exists(target)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all it holds, if it exists."""
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
+
+
+def _plain_path(path: Column) -> Column:
+    """The path of a file as it is named: Spark gives it URL-encoded, with ``+`` left as it is."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def _ordered_lines(lines: DataFrame) -> DataFrame:
@@ -44,22 +61,41 @@ def _ordered_lines(lines: DataFrame) -> DataFrame:
 def read_tracks(spark: SparkSession, root: str, max_bytes: int = TRACK_BYTES) -> DataFrame:
     """Points of all ``root/<uid>/<folder>/<file>`` track files; seq counts from 0.
 
-    Files at other depths are ignored, as are a file's header lines and blank lines.
+    Files at other depths are ignored, as are a file's header lines and blank lines. Spark's readers
+    skip files whose names begin with ``_`` or ``.``; a track file named so is an error.
     Lines are numbered per file by a window while every file is within ``max_bytes``,
     which the file listing tells; else over range partitions.
     """
+    fs, top = _file_system(spark, root)
+    hidden = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/*/[_.]*"))
+    tracks = [str(f.getPath()) for f in hidden or () if f.isFile() and not f.getPath().getName().endswith(".crc")]
+    if tracks:
+        raise ValueError(f"Spark does not read files named like {tracks[0]}; rename them")
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/")
     files = f"{root.rstrip('/')}/*/*/*"
     fits = spark.read.format("binaryFile").load(files).filter(F.col("length") > max_bytes).isEmpty()
     numbered = number_in_groups(
         _ordered_lines(spark.read.text(files)), ["path"], ["split_start", "running"], "line_no", fits=fits
     )
+    inside = r"\Q" + base + r"\E" + _IN_TREE
+    named = numbered.withColumn("path", _plain_path(F.col("path"))).select(
+        F.regexp_extract("path", inside, 1).alias("uid"),
+        F.regexp_extract("path", inside, 2).alias("traj_id"),
+        "line_no",
+        "value",
+    )
+    return parse_track_lines(named.filter("uid != ''"))
+
+
+def parse_track_lines(lines: DataFrame) -> DataFrame:
+    """Points of the lines (uid, traj_id, line_no from 1, value) of track files."""
     fields = F.split("value", FIELD_SEP)
     return (
-        numbered.filter((F.col("line_no") > HEADER_LINES) & (F.trim("value") != ""))
+        lines.filter((F.col("line_no") > HEADER_LINES) & (F.trim("value") != ""))
         .withColumn("fields", fields)
         .select(
-            F.regexp_extract("path", _IN_TREE, 1).alias("uid"),
-            F.regexp_extract("path", _IN_TREE, 2).alias("traj_id"),
+            "uid",
+            "traj_id",
             (F.col("line_no") - HEADER_LINES - 1).cast("int").alias("seq"),
             F.col("fields")[LAT_FIELD].cast("double").alias("lat"),
             F.col("fields")[LON_FIELD].cast("double").alias("lon"),
@@ -83,23 +119,27 @@ def write_points(points: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def prepare_points(spark: SparkSession, root: str, path: str) -> DataFrame:
-    """Points table at ``path``; track files are only read if it does not exist yet."""
-    if not path_exists(spark, path):
-        write_points(read_tracks(spark, root), path, mode="ignore")
+    """Points table at ``path``; track files are only read if no finished table is there yet."""
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        write_points(read_tracks(spark, root), path)
     return spark.read.parquet(path)
 
 
-def trajectory_lines(points: DataFrame) -> DataFrame:
-    """uid, traj_id, part, line: ``uid<TAB>lat,lon,time->...``; seq must have no gaps."""
+def trajectory_lines(points: DataFrame, line_items: int = LINE_ITEMS) -> DataFrame:
+    """uid, traj_id, part, line: ``uid<TAB>lat,lon,time->...``; seq must have no gaps.
+
+    Lines of a trajectory that takes more than one end in ``<TAB>place,traj_id``.
+    """
     step = F.concat_ws(FIELD_SEP, F.col("lat"), F.col("lon"), F.date_format("ts", TS_FORMAT))
-    lines = joined_lines(points, ["uid", "traj_id"], "seq", step, STEP_SEP)
-    return lines.withColumn("line", F.concat_ws(KEY_SEP, "uid", "line"))
+    return keyed_lines(joined_lines(points, ["uid", "traj_id"], "seq", step, STEP_SEP, line_items))
 
 
-def write_trajectory_text(points: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One text line per trajectory, users kept together."""
+def write_trajectory_text(
+    points: DataFrame, path: str, mode: str = "overwrite", line_items: int = LINE_ITEMS
+) -> None:
+    """One text line per trajectory (or part of a very long one), users kept together."""
     (
-        trajectory_lines(points)
+        trajectory_lines(points, line_items)
         .hint("rebalance", "uid")
         .sortWithinPartitions("uid", "traj_id", "part")
         .select("line")
@@ -108,27 +148,33 @@ def write_trajectory_text(points: DataFrame, path: str, mode: str = "overwrite")
     )
 
 
-def read_trajectory_text(spark: SparkSession, path: str) -> DataFrame:
-    """Points of trajectory text; a line is a trajectory, named by file and place."""
+def parse_trajectory_lines(lines: DataFrame) -> DataFrame:
+    """Points of the lines (traj_id, value) of trajectory text; lines that go on others name their trajectory."""
     parts = F.split("value", KEY_SEP)
-    place = F.concat_ws(
-        "-", F.element_at(F.split("path", "/"), -1), F.col("split_start"), F.col("running")
-    )
+    more = F.split(F.get(parts, F.lit(2)), FIELD_SEP, 2)
     step = F.split("step", FIELD_SEP)
     return (
-        _ordered_lines(spark.read.text(path))
-        .filter(F.trim("value") != "")
+        lines.filter(F.trim("value") != "")
         .select(
             parts[0].alias("uid"),
-            place.alias("traj_id"),
-            F.posexplode(F.split(parts[1], STEP_SEP)).alias("seq", "step"),
+            F.coalesce(F.get(more, F.lit(1)), F.col("traj_id")).alias("traj_id"),
+            F.coalesce(F.get(more, F.lit(0)).cast("int"), F.lit(0)).alias("first"),
+            F.posexplode(F.split(parts[1], STEP_SEP)).alias("at", "step"),
         )
         .select(
             "uid",
             "traj_id",
-            "seq",
+            (F.col("first") + F.col("at")).alias("seq"),
             step[0].cast("double").alias("lat"),
             step[1].cast("double").alias("lon"),
-            parse_ts(step[2]).alias("ts"),
+            parse_ts(F.get(step, F.lit(2))).alias("ts"),
         )
     )
+
+
+def read_trajectory_text(spark: SparkSession, path: str) -> DataFrame:
+    """Points of trajectory text; a line is a trajectory, named by file and place, unless it names one itself."""
+    place = F.concat_ws(
+        "-", F.element_at(F.split("path", "/"), -1), F.col("split_start"), F.col("running")
+    )
+    return parse_trajectory_lines(_ordered_lines(spark.read.text(path)).select(place.alias("traj_id"), "value"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.functions import geo
 from dwellgrid.functions.text import natural_key, natural_sorted, numeric_sorted
+from dwellgrid.operators import regions
 from dwellgrid.plans.pipeline import Params, TrajectoryPipeline, run
 from dwellgrid.sources import stages, tracks
 
@@ -89,6 +90,61 @@ def test_whole_job(spark, tree, tmp_path):
     assert spark.read.parquet(f"{out}/stays").isEmpty()
 
 
+def test_texts_in_parts_are_read_back(spark, tree, tmp_path):
+    points = tracks.read_tracks(spark, str(tree))
+    path = str(tmp_path / "text")
+    tracks.write_trajectory_text(points, path, line_items=4)
+    assert spark.read.text(path).count() > 12
+    back = tracks.read_trajectory_text(spark, path)
+    columns = ["uid", "traj_id", "seq", "lat", "lon", "ts"]
+    assert sorted(map(tuple, back.select(columns).collect())) == sorted(map(tuple, points.select(columns).collect()))
+    pairs = spark.createDataFrame([(f"{u}", r) for u in range(5) for r in range(7)], "uid string, cluster_id int")
+    listed = str(tmp_path / "listed")
+    stages.write_lines(regions.region_user_lines(pairs, 2), listed, ["cluster_id"])
+    got = stages.read_listed(spark.read.text(listed), "region", "uid").collect()
+    assert sorted(map(tuple, got)) == [(str(r), u, f"{u}") for r in range(7) for u in range(5)]
+
+
+def test_odd_track_trees(spark, tree, tmp_path):
+    spaced = tree / "user 1+%" / "Trajectory"
+    spaced.mkdir(parents=True)
+    line = track_line(39.9, 116.3, dt.datetime(2008, 10, 23))
+    (spaced / "a b.plt").write_text(HEADER + line + "\n")
+    deep = tree / "000" / "Trajectory" / "deep" / "er"
+    deep.mkdir(parents=True)
+    (deep / "x.plt").write_text(HEADER + line + "\n")
+    (deep.parent / "y.plt").write_text(HEADER + line + "\n")
+    points = tracks.read_tracks(spark, str(tree))
+    assert points.count() == 211
+    odd = points.filter("uid = 'user 1+%'").collect()
+    assert [(r.traj_id, r.seq) for r in odd] == [("a b.plt", 0)]
+    (spaced / "_hidden.plt").write_text(HEADER + line + "\n")
+    with pytest.raises(ValueError, match="_hidden"):
+        tracks.read_tracks(spark, str(tree))
+
+
+def test_unfinished_points_table_is_written_anew(spark, tree, tmp_path):
+    path = tmp_path / "points"
+    (path / "_temporary").mkdir(parents=True)
+    assert tracks.prepare_points(spark, str(tree), str(path)).count() == 210
+
+
+def test_command(spark, tree, tmp_path, monkeypatch):
+    from dwellgrid import __main__ as command
+
+    out = tmp_path / "out"
+    (out / "text" / "old").mkdir(parents=True)
+    text = str(tmp_path / "text")
+    tracks.write_trajectory_text(tracks.read_tracks(spark, str(tree)), text)
+    command.main(["/nowhere", str(tmp_path / "points"), str(out), "--trajectories", text, "--dwell", "1200.5", "--markers", "1"])
+    assert not (out / "text").exists() and not (tmp_path / "out-checkpoints").exists()
+    assert spark.read.parquet(str(out / "stays")).count() == 42
+    markers = [r.value for r in spark.read.text(str(out / "markers")).collect()]
+    assert markers and all(m.startswith('{"position":[116.3') for m in markers)
+    with pytest.raises(ValueError, match="replaced"):
+        run(spark, str(tree), str(out / "points"), str(out))
+
+
 def test_markers(spark):
     df = spark.createDataFrame([(39.9, 116.3, 4), (39.8, 116.2, 5)], "lat double, lon double, cluster_id int")
     assert [r.marker for r in stages.map_markers(df, 4).collect()] == ['{"position":[116.3,39.9]}']
