@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.functions.geo import between_seconds, distance_m
+from dwellgrid.functions.geo import EARTH_RADIUS, between_seconds, distance_m
 from dwellgrid.lineage import cut
 from dwellgrid.operators.numbering import number_in_groups
 from dwellgrid.operators.stays import TRAJECTORY, clock
-from dwellgrid.operators.windows import Run, Track
+from dwellgrid.operators.windows import _SURELY, PICO, Run, Track, mean_degrees
 
 # kind: "stay" (start to stop), "open" (undecided at anchor start) or
 # "met" (goes on with the search of piece ``piece`` at row start; NULL piece: ended).
@@ -40,7 +40,8 @@ def _found(table: pa.Table, run: Run, base: int, marks: list[tuple]) -> pa.Table
     times = None
     for a, b, sure in run:
         times = times or ts()
-        mean = float(lat[a:b].mean()), float(lon[a:b].mean())
+        span = np.array([a]), np.array([b])
+        mean = mean_degrees(lat, *span)[0], mean_degrees(lon, *span)[0]
         rows.append(("stay", None, a + base, b + base, *mean, times[a], times[b - 1], b - a, sure))
     for kind, piece, row, sure in marks:
         rows.append((kind, piece, row + base, None, None, None, None, None, None, sure))
@@ -220,25 +221,45 @@ def _past_long_windows(rows, anchors, follow, reach, dwell, exact, max_rows):
         ends = after.groupBy(*TRAJECTORY, "anchor", "a_lat", "a_lon", "a_ts").agg(
             F.min(F.when(out_of_reach(), F.struct("pos", "lat", "lon"))).alias("left"),
             (F.max("pos") + 1).alias("n"),
+            F.max(F.struct("pos", "lat", "lon", "ts")).alias("tail"),
         )
         ends = cut(
             ends.select(
                 *TRAJECTORY, "anchor", "a_ts", "n",
                 F.coalesce("left.pos", "n").alias("stop"),
-                F.col("left.lat").alias("l_lat"),
-                F.col("left.lon").alias("l_lon"),
+                # The row that closes the window; at the end of the trajectory its last row.
+                F.coalesce("left.lat", "tail.lat").alias("l_lat"),
+                F.coalesce("left.lon", "tail.lon").alias("l_lon"),
+                F.col("tail.ts").alias("t_ts"),
             )
         )
         within = rows.join(ends, TRAJECTORY).filter(
             (F.col("pos") >= F.col("anchor")) & (F.col("pos") < F.col("stop"))
         )
-        windows = within.groupBy(*TRAJECTORY, "anchor", "a_ts", "stop", "n").agg(
-            F.avg("lat").alias("lat"),
-            F.avg("lon").alias("lon"),
+        windows = within.groupBy(*TRAJECTORY, "anchor", "a_ts", "stop", "n", "t_ts").agg(
+            *(
+                (F.sum(F.rint(F.col(c) * PICO).cast("decimal(20,0)")).cast("double") / F.count("*") / PICO).alias(c)
+                for c in ("lat", "lon")
+            ),
             F.max(F.struct("pos", "ts")).alias("final"),
             F.count(F.lit(1)).cast("int").alias("n_points"),
-            # First later anchor that also holds the row which closed this window; all
-            # before it see a shorter time and cannot be stays.
+            # Whether any two rows are a dwell apart; rows that all lie together and the first of
+            # them that is a dwell from the last row.
+            (between_seconds(F.max("ts"), F.min("ts")) >= F.lit(float(dwell))).alias("hope"),
+            (
+                F.lit(EARTH_RADIUS)
+                * (F.radians(F.max("lat") - F.min("lat")) + F.radians(F.max("lon") - F.min("lon")))
+                <= F.lit(float(reach) - _SURELY)
+            ).alias("together"),
+            F.min(
+                F.when(
+                    (F.col("pos") > F.col("anchor"))
+                    & (F.col("pos") < F.col("n") - 1)
+                    & (between_seconds("ts", "t_ts") >= F.lit(float(dwell))),
+                    F.col("pos"),
+                )
+            ).alias("late"),
+            # First later anchor that also holds the row which closed this window.
             F.min(
                 F.when(
                     (F.col("pos") > F.col("anchor"))
@@ -266,8 +287,13 @@ def _past_long_windows(rows, anchors, follow, reach, dwell, exact, max_rows):
             )
         )
         following = F.when(F.col("stay"), F.col("stop")).otherwise(F.coalesce("retry", "stop"))
+        # At the end of the trajectory the search goes on only if a later window may last long enough;
+        # where all rows lie together, every such window runs to the end, so it is known which one.
+        at_end = (F.col("stop") == F.col("n")) & ~F.col("stay") & F.coalesce("hope", F.lit(False))
         jobs = (
-            windows.filter(F.col("stop") < F.col("n"))
+            windows.filter(
+                (F.col("stop") < F.col("n")) | (at_end & ~F.col("together") & (F.col("retry") < F.col("n") - 1))
+            )
             .withColumn("begin", following)
             .withColumn("job", F.expr(f"begin DIV {size}"))
             .select(*TRAJECTORY, "job", "begin", F.col("job").alias("meet_from"))
@@ -280,7 +306,13 @@ def _past_long_windows(rows, anchors, follow, reach, dwell, exact, max_rows):
             )
         )
         anchors = cut(
-            found.filter("kind = 'open'").select(*TRAJECTORY, F.col("start").alias("anchor"))
+            found.filter("kind = 'open'")
+            .select(*TRAJECTORY, F.col("start").alias("anchor"))
+            .unionByName(
+                windows.filter(at_end & F.col("together") & F.col("late").isNotNull()).select(
+                    *TRAJECTORY, F.col("late").alias("anchor")
+                )
+            )
         )
         if anchors.isEmpty():
             break

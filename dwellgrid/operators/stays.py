@@ -9,8 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from dwellgrid.lineage import cut
 from dwellgrid.operators.numbering import oversized_groups, runs_short
-from dwellgrid.operators.windows import Track
+from dwellgrid.operators.windows import Track, mean_degrees
 
 # Longest trajectory that one task scans in memory.
 TRAJECTORY_ROWS = 1_000_000
@@ -77,8 +78,8 @@ def _stays_of(table: pa.Table, reach: float, dwell: float, exact: bool) -> pa.Re
         "uid": table.column("uid").take(starts),
         "traj_id": table.column("traj_id").take(starts),
         "stay_seq": pa.array(order, pa.int32()),
-        "lat": pa.array([lat[a:b].mean() for a, b in zip(starts, ends)], pa.float64()),
-        "lon": pa.array([lon[a:b].mean() for a, b in zip(starts, ends)], pa.float64()),
+        "lat": pa.array(mean_degrees(lat, starts, ends), pa.float64()),
+        "lon": pa.array(mean_degrees(lon, starts, ends), pa.float64()),
         "arrive": table.column("ts").take(starts),
         "leave": table.column("ts").take(ends - 1),
         "n_points": pa.array(ends - starts, pa.int32()),
@@ -113,8 +114,9 @@ def stay_points(
 
     From an anchor row the window grows while rows stay within reach of it. A window of
     two or more rows that lasts long enough is a stay at its mean position, and the
-    search goes on behind it; otherwise the next row becomes the anchor. ``order`` names
-    the columns that order a trajectory's rows.
+    search goes on behind it; otherwise the next row within reach of the one that closed
+    the window becomes the anchor (while time rises, that finds what trying every row
+    would). Means are exact sums of whole pico-degrees. ``order`` names the columns that order a trajectory's rows.
 
     Trajectories are counted first, or recognised by ``seq`` where that is the order: it
     counts rows from 0, so the filter can skip whole files. Trajectories above
@@ -122,7 +124,7 @@ def stay_points(
     """
     if tuple(order) == ("seq",) and runs_short(points, "seq", max_rows):
         return scan_whole(points, distance, dwell, order, exact)
-    long_ones = oversized_groups(points, TRAJECTORY, max_rows)
+    long_ones = cut(oversized_groups(points, TRAJECTORY, max_rows))
     if long_ones.isEmpty():
         return scan_whole(points, distance, dwell, order, exact)
     from dwellgrid.operators.long_stays import scan_pieces

@@ -9,6 +9,13 @@ import numpy as np
 
 from dwellgrid.functions.geo import DISTANCE_TICKS, EARTH_RADIUS
 
+# Rows of a box; a distance bound this far below the reach is surely within it, rounding included.
+_BOX_ROWS = 1024
+_SURELY = 0.01
+
+# Means are taken of whole pico-degrees.
+PICO = 1e12
+
 # Fractions of a candidate window that are probed before it is walked in full.
 _PROBES = (1.0, 0.5, 0.25, 0.75)
 
@@ -25,14 +32,33 @@ class Track:
         self.reach = reach
         self.dwell = dwell
         self.exact = exact
+        self._boxes = None
 
     def part(self, start: int, stop: int) -> Track:
         """The same track, rows [start, stop) only."""
         sub = copy.copy(self)
         for name in ("lat", "lon", "cos", "seconds", "known"):
             setattr(sub, name, getattr(self, name)[start:stop])
+        sub._boxes = None
         return sub
 
+    def unordered(self) -> bool:
+        """Whether a time is unknown or runs backwards."""
+        return bool((~self.known).any() or (np.diff(self.seconds) < 0).any())
+
+    def _surely_near(self, anchor: int, first: int, last: int) -> np.ndarray:
+        """Whether all rows of each box [first, last) lie within reach of the anchor.
+
+        Along the anchor's parallel and then a meridian is never shorter than the great circle.
+        """
+        if self._boxes is None:
+            edges = np.arange(0, len(self.lat), _BOX_ROWS)
+            self._boxes = [f.reduceat(v, edges) for v in (self.lat, self.lon) for f in (np.minimum, np.maximum)]
+        south, north, west, east = (b[first:last] for b in self._boxes)
+        up = np.maximum(north - self.lat[anchor], self.lat[anchor] - south)
+        over = np.maximum(east - self.lon[anchor], self.lon[anchor] - west)
+        return EARTH_RADIUS * (up + self.cos[anchor] * over) <= self.reach - _SURELY
+
     def near(self, i, j):
         """Whether rows i and j lie within reach (index arrays or slices)."""
         u = np.sin((self.lat[i] - self.lat[j]) / 2)
@@ -44,7 +70,24 @@ class Track:
         return d <= self.reach
 
     def leaves_at(self, anchor: int, start: int, stop: int) -> int:
-        """First row in [start, stop) out of the anchor's reach, else ``stop``."""
+        """First row in [start, stop) out of the anchor's reach, else ``stop``.
+
+        In long windows, boxes of rows that surely lie within reach are passed over.
+        """
+        first, last = -(-start // _BOX_ROWS), stop // _BOX_ROWS
+        if last - first > 4:
+            left = self._walk_to(anchor, start, first * _BOX_ROWS)
+            if left < first * _BOX_ROWS:
+                return left
+            for box in np.flatnonzero(~self._surely_near(anchor, first, last)) + first:
+                upto = int(box + 1) * _BOX_ROWS
+                left = self._walk_to(anchor, int(box) * _BOX_ROWS, upto)
+                if left < upto:
+                    return left
+            start = last * _BOX_ROWS
+        return self._walk_to(anchor, start, stop)
+
+    def _walk_to(self, anchor: int, start: int, stop: int) -> int:
         step = 64
         while start < stop:
             upto = min(start + step, stop)
@@ -100,22 +143,71 @@ class Track:
                 k += 1
 
         for g in np.nonzero(unordered)[0]:
-            found.extend(self._walk(int(firsts[g]), int(firsts[g] + sizes[g])))
+            found.extend(self.walk(int(firsts[g]), int(firsts[g] + sizes[g]))[0])
         if not found:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         found.sort()
         starts, ends = np.array(found, dtype=np.int64).T
         return starts, ends
 
-    def _walk(self, row: int, stop: int):
-        """Anchor by anchor, where the clock runs backwards or is unknown somewhere."""
+    def walk(self, row: int, stop: int) -> tuple[list[tuple[int, int]], list[int], int]:
+        """Anchor by anchor, where the clock runs backwards or is unknown somewhere.
+
+        Behind a window that is no stay the search goes on at the next row that lies within reach of the row
+        that closed the window (at the end: of the last row). Returns the stays, the anchors, and the first
+        anchor whose window holds the last row.
+        """
+        found, anchors, holding = [], [], stop - 1
+        together = self._together_from(row, stop)
         while row < stop - 1:
+            if row >= together:
+                # All rows that are left lie within reach of each other, so every window runs to the end.
+                holding = min(holding, row)
+                long = self._long_to_end(row, stop)
+                anchors.extend(range(row, long + 1))
+                if long < stop - 1:
+                    found.append((long, stop))
+                return found, anchors, holding
+            anchors.append(row)
             left = self.leaves_at(row, row + 1, stop)
+            if left == stop:
+                holding = min(holding, row)
             if self.lasts(row, left):
-                yield row, left
+                found.append((row, left))
                 row = left
             else:
-                row += 1
+                row = self._next_near(min(left, stop - 1), row + 1, left)
+        if row == stop - 1:
+            anchors.append(row)
+        return found, anchors, holding
+
+    def _next_near(self, closing: int, start: int, stop: int) -> int:
+        """First row in [start, stop) within reach of ``closing``, else ``stop``."""
+        step = 64
+        while start < stop:
+            upto = min(start + step, stop)
+            inside = self.near(slice(start, upto), closing)
+            if inside.any():
+                return start + int(inside.argmax())
+            start, step = upto, step * 2
+        return stop
+
+    def _together_from(self, row: int, stop: int) -> int:
+        """The first row from which all up to ``stop`` surely lie within reach of each other."""
+
+        def spread(v):
+            back = v[row:stop][::-1]
+            return (np.maximum.accumulate(back) - np.minimum.accumulate(back))[::-1]
+
+        wide = EARTH_RADIUS * (spread(self.lat[:stop]) + spread(self.lon[:stop])) > self.reach - _SURELY
+        return row + (int(np.flatnonzero(wide)[-1]) + 1 if wide.any() else 0)
+
+    def _long_to_end(self, row: int, stop: int) -> int:
+        """First row from which a window up to ``stop`` is a stay, else the last row."""
+        known = self.known[row : stop - 1] & self.known[stop - 1]
+        gap = np.where(known, np.abs(self.seconds[stop - 1] - self.seconds[row : stop - 1]), 0)
+        long = np.flatnonzero(gap >= self.dwell)
+        return row + int(long[0]) if len(long) else stop - 1
 
 
 class Run:
@@ -127,8 +219,14 @@ class Run:
 
     def __init__(self, track: Track, start: int, stop: int, final: bool):
         sub = track.part(start, stop)
-        starts, ends = sub.stays([0])
-        self.open = stop if final else start + self._first_open(sub, starts, ends)
+        self._visited = None
+        if sub.unordered():
+            found, self._visited, first_open = sub.walk(0, stop - start)
+            starts, ends = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        else:
+            starts, ends = sub.stays([0])
+            first_open = None if final else self._first_open(sub, starts, ends)
+        self.open = stop if final else start + first_open
         sure = starts + start < self.open
         self.start, self.stop = start, stop
         self.starts, self.ends = starts[sure] + start, ends[sure] + start
@@ -148,9 +246,27 @@ class Run:
         return n - 1
 
     def anchors(self) -> np.ndarray:
-        """Whether each row of [start, stop) is an anchor of this search, up to ``open``."""
+        """Whether each row of [start, stop) is an anchor of this search, up to ``open``.
+
+        While time rises, the rows that the search passes over could not begin a stay: they count as anchors.
+        """
         is_anchor = np.ones(self.stop - self.start, dtype=bool)
+        if self._visited is not None:
+            is_anchor[:] = False
+            is_anchor[self._visited] = True
         for a, b in zip(self.starts - self.start, self.ends - self.start):
             is_anchor[a + 1 : b] = False
         is_anchor[self.open - self.start + 1 :] = False
         return is_anchor
+
+
+def mean_degrees(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[float]:
+    """Means of spans from exact sums of whole pico-degrees: the same however rows are grouped."""
+    whole = np.rint(values * PICO).astype(np.int64)
+    # Two sums, as one of a million rows would not fit 64 bits.
+    sums = np.zeros((2, len(values) + 1), dtype=np.int64)
+    np.cumsum(whole // 1_000_000, out=sums[0, 1:])
+    np.cumsum(whole % 1_000_000, out=sums[1, 1:])
+    high, low = (sums[:, ends] - sums[:, starts]).tolist()
+    counts = (ends - starts).tolist()
+    return [float(h * 1_000_000 + m) / n / PICO for h, m, n in zip(high, low, counts)]

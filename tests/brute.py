@@ -21,11 +21,16 @@ def stays(track, reach=200.0, dwell=1200, exact=False):
         j = i + 1
         while j < n and metres(track[i], track[j], exact) <= reach:
             j += 1
-        if j - i > 1 and abs(track[j - 1][2] - track[i][2]) >= dwell:
+        ends = track[i][2], track[j - 1][2]
+        gap = 0 if None in ends else abs(ends[1] - ends[0])
+        if j - i > 1 and gap >= dwell:
             found.append((i, j))
             i = j
         else:
+            closing = track[min(j, n - 1)]
             i += 1
+            while i < j and metres(track[i], closing, exact) > reach:
+                i += 1
     return found
 
 

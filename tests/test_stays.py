@@ -1,8 +1,12 @@
 import datetime as dt
 import random
+import time
 
 import brute
+import numpy as np
+import pytest
 from dwellgrid.operators.stays import stay_points
+from dwellgrid.operators.windows import Track
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "uid string, traj_id string, seq int, lat double, lon double, ts timestamp_ntz"
@@ -113,5 +117,60 @@ def test_clock_running_backwards_or_missing(spark):
     assert [r[6] for r in found(stay_points(frame(spark, {"a": holes})))] == [2]
 
 
+def bad_clocks(seed, n):
+    """Tracks whose clocks step back or are missing here and there."""
+    rng = random.Random(seed)
+    tracks = {}
+    for name, track in many_tracks(seed, n).items():
+        shift, out = 0, []
+        for lat, lon, s in track:
+            if rng.random() < 0.05:
+                shift -= rng.randint(1, 3000)
+            out.append((lat, lon, None if rng.random() < 0.04 else s + shift))
+        tracks[name] = out
+    last = [(lat, lon, s) for lat, lon, s in many_tracks(seed, n)["still"]]
+    tracks["no end"] = [*last[:-1], (*last[-1][:2], None)]
+    tracks["falling"] = [(lat, lon, -s) for lat, lon, s in many_tracks(seed, n)["creep"]]
+    return tracks
+
+
+def whens(tracks):
+    out = []
+    for uid, track in tracks.items():
+        for k, (a, b) in enumerate(brute.stays(track)):
+            when = [None if track[i][2] is None else T0 + dt.timedelta(seconds=track[i][2]) for i in (a, b - 1)]
+            out.append((uid, k, b - a, *when))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed, max_rows", [(1, 10**6), (2, 2), (3, 5), (4, 13), (5, 50)])
+def test_bad_clocks_give_one_result_whole_and_in_pieces(spark, seed, max_rows):
+    tracks = bad_clocks(seed, 60)
+    whole = sorted(map(tuple, stay_points(frame(spark, tracks)).collect()), key=str)
+    pieces = sorted(map(tuple, stay_points(frame(spark, tracks), max_rows=max_rows).collect()), key=str)
+    assert whole == pieces
+    assert sorted(((r[0], r[2], r[7], r[5], r[6]) for r in whole), key=str) == whens(tracks)
+
+
+def test_walk_equals_brute_force_over_many_seeds():
+    for seed in range(10, 40):
+        for track in bad_clocks(seed, 50).values():
+            lat, lon, s = zip(*track)
+            known = np.array([x is not None for x in s])
+            rows = Track(np.array(lat), np.array(lon), np.array([x or 0 for x in s]), known, 200.0, 1200, False)
+            assert rows.walk(0, len(track))[0] == brute.stays(track)
+
+
+def test_standing_track_without_a_last_time_is_not_quadratic():
+    n = 1_000_000
+    rng = np.random.default_rng(4)
+    known = np.ones(n, bool)
+    known[-1] = False
+    rows = Track(39.9 + rng.normal(0, 3, n) * METRE, 116.3 + rng.normal(0, 3, n) * METRE, np.arange(n), known, 200.0, 1200, False)
+    began = time.monotonic()
+    assert len(rows.stays([0])[0]) == 0
+    assert time.monotonic() - began < 60
+
+
 def test_empty_input(spark):
     assert found(stay_points(spark.createDataFrame([], SCHEMA))) == []
