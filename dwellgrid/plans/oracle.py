@@ -83,6 +83,39 @@ stays AS MATERIALIZED (
 """
 
 
+_SLOW = "(CASE WHEN event_id % 11 = 0 THEN 7200 ELSE 0 END)"
+
+
+def _bad_clock_points() -> str:
+    """Points in their true order, with a clock that is slow at some events."""
+    return _POINTS.replace(
+        "sec, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(sec) AS ts",
+        f"g.sec - {_SLOW} AS sec, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(g.sec - {_SLOW}) AS ts",
+    ).replace("ORDER BY sec, event_id", "ORDER BY g.sec, event_id")
+
+
+def _stays_with_jump(metres, reach: float, dwell: int) -> str:
+    """Behind a window that is no stay: the next row near the row that closed it, or near the last row."""
+    return (
+        _stays(metres, reach, dwell)
+        .replace("z.sec - a.sec", "abs(z.sec - a.sec)")
+        .replace("SELECT w.uid, w.traj_id, w.seq, w.stop,", "SELECT w.uid, w.traj_id, w.seq, w.stop, w.n,")
+        .replace(
+            "chain AS (",
+            "nexts AS MATERIALIZED (\n"
+            f"  SELECT m.uid, m.traj_id, m.seq, coalesce(min(b.seq) FILTER (WHERE {metres('b.', 'c.')} <= {reach}), m.stop) AS nxt\n"
+            "  FROM moves m JOIN pts c ON c.uid = m.uid AND c.traj_id = m.traj_id AND c.seq = least(m.stop, m.n - 1)\n"
+            "  LEFT JOIN pts b ON b.uid = m.uid AND b.traj_id = m.traj_id AND b.seq > m.seq AND b.seq < m.stop\n"
+            "  GROUP BY m.uid, m.traj_id, m.seq, m.stop),\nchain AS (",
+        )
+        .replace(
+            "ELSE m.seq + 1 END\n  FROM chain c JOIN moves m USING (uid, traj_id, seq)",
+            "ELSE x.nxt END\n  FROM chain c JOIN moves m USING (uid, traj_id, seq) JOIN nexts x USING (uid, traj_id, seq)",
+        )
+        .replace("min(p.ts) AS arrive, max(p.ts) AS leave", "arg_min(p.ts, p.seq) AS arrive, arg_max(p.ts, p.seq) AS leave")
+    )
+
+
 _LABELS = """
 near AS MATERIALIZED (
   SELECT a.k AS a, b.k AS b FROM stays a JOIN stays b
@@ -232,6 +265,12 @@ def oracle_statements() -> dict[str, str]:
         ),
         "stay_points": _with(stays, f"SELECT {_COLUMNS} FROM stays"),
         "stay_points_in_pieces": _with(stays, f"SELECT {_COLUMNS} FROM stays"),
+        **dict.fromkeys(
+            ("stay_points_bad_clock", "stay_points_bad_clock_in_pieces"),
+            _with(
+                [_bad_clock_points(), _stays_with_jump(_whole_metres, 200, 1200)], f"SELECT {_COLUMNS} FROM stays"
+            ),
+        ),
         "stay_points_exact": _with(
             [_POINTS, _stays(_metres, 350.5, 7200)], f"SELECT {_COLUMNS} FROM stays"
         ),

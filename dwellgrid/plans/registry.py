@@ -182,6 +182,23 @@ def stay_points_in_pieces(spark, sf_dir):
     return _in_micro_degrees(stays.stay_points(points, order=EVENT_ORDER, max_rows=PIECE_ROWS))
 
 
+def _bad_clock(spark, sf_dir):
+    """Points whose clock is two hours slow at every eleventh event."""
+    slow = "timestampadd(SECOND, CASE WHEN event_id % 11 = 0 THEN -7200 ELSE 0 END, ts)"
+    return event_positions(spark, sf_dir).withColumn("ts", F.expr(slow))
+
+
+@query
+def stay_points_bad_clock(spark, sf_dir):
+    return _in_micro_degrees(stays.stay_points(_bad_clock(spark, sf_dir), order=EVENT_ORDER))
+
+
+@query
+def stay_points_bad_clock_in_pieces(spark, sf_dir):
+    points = _bad_clock(spark, sf_dir)
+    return _in_micro_degrees(stays.stay_points(points, order=EVENT_ORDER, max_rows=PIECE_ROWS))
+
+
 @query
 def stay_points_text(spark, sf_dir):
     found = _in_micro_degrees(_pipeline(spark, sf_dir).stays)
