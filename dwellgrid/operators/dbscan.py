@@ -78,6 +78,14 @@ def _prefixed(df: DataFrame, end: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{end}_{c}") for c in df.columns])
 
 
+def _placed(stays: DataFrame, key: list[str], evaluated: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows with coordinates, and those that lack one: they have no neighbours, not even themselves."""
+    points = stays.select(*key, "lat", "lon")
+    points = points if evaluated else cut(points)
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    return points.filter(known), points.filter(~known)
+
+
 def _coordinates(points: DataFrame, key: list[str], side: float, min_pts: int):
     """Distinct coordinates with weights, and the cells they fall in."""
     coords = to_plane(
@@ -271,13 +279,13 @@ def dbscan(
     A point is core if at least ``min_pts`` rows, itself included, lie within ``eps``
     of it in the projected plane. Clusters are connected core points, numbered from 1
     by their smallest core key; a border point takes the smallest cluster in reach;
-    noise has cluster 0. The result depends neither on row order nor on partitions.
+    noise has cluster 0. A row without a coordinate is noise with NULL x and y. The result depends neither on row order nor on partitions.
     ``evaluated`` says that ``stays`` is a table or checkpoint, which need not be
     evaluated into one here.
     """
     key = list(key or STAY_KEY)
     side = _cell_side(eps)
-    points = cut(stays.select(*key, "lat", "lon"))
+    points, unplaced = _placed(stays, key, evaluated)
     coords, cells = _coordinates(points, key, side, min_pts)
     near = _near_cells(cells, eps)
     pairs, reach = _around_sparse(coords, cells, near, eps, side)
@@ -349,14 +357,28 @@ def dbscan(
             .alias("flag"),
         )
     )
-    return points.join(labelled, ["lat", "lon"]).select(*key, "x", "y", "cluster_id", "flag")
+    nowhere = F.lit(None).cast("double")
+    return (
+        points.join(labelled, ["lat", "lon"])
+        .select(*key, "x", "y", "cluster_id", "flag")
+        .unionByName(
+            unplaced.select(
+                *key, nowhere.alias("x"), nowhere.alias("y"), F.lit(0).alias("cluster_id"), F.lit("Noise").alias("flag")
+            )
+        )
+    )
+
 
+def neighbour_counts(
+    stays: DataFrame, eps: float = 100.0, key: list[str] | None = None, evaluated: bool = False
+) -> DataFrame:
+    """Rows within eps of each row, itself included: key columns and ``n_neighbours``.
 
-def neighbour_counts(stays: DataFrame, eps: float = 100.0, key: list[str] | None = None) -> DataFrame:
-    """Rows within eps of each row, itself included: key columns and ``n_neighbours``."""
+    A row without a coordinate has none.
+    """
     key = list(key or STAY_KEY)
     side = _cell_side(eps)
-    points = cut(stays.select(*key, "lat", "lon"))
+    points, unplaced = _placed(stays, key, evaluated)
     coords, cells = _coordinates(points, key, side, 1)
     itself = _prefixed(_as_nodes(cells), "a")
     itself = itself.select("*", *[F.col(c).alias("b" + c[1:]) for c in itself.columns])
@@ -375,16 +397,24 @@ def neighbour_counts(stays: DataFrame, eps: float = 100.0, key: list[str] | None
             )
         )
     counts = _all(found).groupBy("lat", "lon").agg(F.sum("reached").alias("n_neighbours"))
-    return points.join(counts, ["lat", "lon"]).select(*key, "n_neighbours")
+    return (
+        points.join(counts, ["lat", "lon"])
+        .select(*key, "n_neighbours")
+        .unionByName(unplaced.select(*key, F.lit(0).cast("bigint").alias("n_neighbours")))
+    )
 
 
 def core_points(
-    stays: DataFrame, eps: float = 100.0, min_pts: int = 4, key: list[str] | None = None
+    stays: DataFrame,
+    eps: float = 100.0,
+    min_pts: int = 4,
+    key: list[str] | None = None,
+    evaluated: bool = False,
 ) -> DataFrame:
     """Key columns of the rows with at least ``min_pts`` rows within eps."""
     key = list(key or STAY_KEY)
     side = _cell_side(eps)
-    points = cut(stays.select(*key, "lat", "lon"))
+    points, _ = _placed(stays, key, evaluated)
     coords, cells = _coordinates(points, key, side, min_pts)
     near = _near_cells(cells, eps)
     pairs, reach = _around_sparse(coords, cells, near, eps, side)

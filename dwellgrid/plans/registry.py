@@ -207,12 +207,12 @@ def stay_points_text(spark, sf_dir):
 
 @query
 def eps_neighbour_counts(spark, sf_dir):
-    return dbscan.neighbour_counts(_pipeline(spark, sf_dir).stays, Params.eps)
+    return dbscan.neighbour_counts(_pipeline(spark, sf_dir).stays, Params.eps, evaluated=True)
 
 
 @query
 def core_points(spark, sf_dir):
-    return dbscan.core_points(_pipeline(spark, sf_dir).stays, Params.eps, Params.min_pts)
+    return dbscan.core_points(_pipeline(spark, sf_dir).stays, Params.eps, Params.min_pts, evaluated=True)
 
 
 @query

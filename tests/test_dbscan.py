@@ -85,3 +85,14 @@ def test_components_of_chain_hub_and_pairs(spark):
     got = {r.node: r.root for r in connected_components(df).collect()}
     want = {i: 0 for i in range(65)} | {i: 1000 for i in range(1000, 1050)}
     assert got == want | {2000: 2000, 2001: 2000, 3000: 3000}
+
+
+def test_rows_without_coordinates_stay_as_noise(spark):
+    points = [(39.9, 116.3)] * 4 + [(None, 116.3), (39.9, None), (None, None)]
+    df = frame(spark, points)
+    want = [(1, "Core")] * 4 + [(0, "Noise")] * 3
+    assert labels(db.dbscan(df, 100, 4)) == want
+    assert labels(db.dbscan(df.checkpoint(), 100, 4, evaluated=True)) == want
+    counts = {r.stay_seq: r.n_neighbours for r in db.neighbour_counts(df).collect()}
+    assert counts == {0: 4, 1: 4, 2: 4, 3: 4, 4: 0, 5: 0, 6: 0}
+    assert db.core_points(df).count() == 4
