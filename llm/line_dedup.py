@@ -1,11 +1,13 @@
 """Fuzzy line deduplication: MinHash signatures, banding, exact Jaccard verification, distributed union-find.
 
 A line's signature is the least hash of its character shingles in each of ``BANDS * ROWS`` bins (one permutation;
-an empty bin borrows from the next full one). Lines with an equal band are candidates: within a band's value, in
-the order of ids, each line is paired with the one before it and with the first. So a value that very many lines
-share gives a linear number of pairs, and every task first joins its own lines to one of them. Candidates are
-compared by the exact Jaccard similarity of their shingle sets, and those at or above the threshold are
-joined to components. Of each component the first line (least document id, then least line number) stays.
+an empty bin borrows from the next full one). Lines with an equal band are candidates: within a band's value each
+line is paired with the first and with the ``NEAREST`` before it. So all lines that share a value meet each other
+unless there are more of them than that; then they are ordered by one more bin's hash first, which brings similar lines
+together, in another order for each band. A value that very many lines share gives a linear number of pairs, and
+where a task has many of its lines, those similar to one of them are joined to it at once and shuffled no further.
+Candidates are compared by the exact Jaccard similarity of their shingle sets, and those at or above the threshold
+are joined to components. Of each component the first line (least document id, then least line number) stays.
 
 A pair at the threshold of 0.8 shares a band with a probability of 0.998.
 
@@ -34,6 +36,10 @@ from llm.tables import cut, texts
 SHINGLE = 7
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
+#: Lines before it in a band's value that a line is paired with, besides the first.
+NEAREST = 64
+#: Low bits of a band's key that order the lines of its value.
+ORDER_BITS = 16
 _EMPTY = np.iinfo(np.uint64).max
 #: Lines a task remembers having signed; at the limit it starts anew and may sign some again.
 REMEMBERED = 500_000
@@ -97,39 +103,63 @@ def _filled(table: np.ndarray) -> np.ndarray:
 
 
 def band_keys(table: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """(lines, bands) hashes of each band's values."""
+    """(lines, bands) hashes of each band's values; the low ``ORDER_BITS`` are those of the next band's first bin."""
     n, bins = table.shape
     keys = np.zeros((n, bins // rows), np.uint64)
     for r in range(rows):
         keys = mixed(keys * np.uint64(0xD6E8FEB86659FD93) + table[:, r::rows])
-    return keys ^ mixed(np.arange(1, bins // rows + 1, dtype=np.uint64))
+    keys ^= mixed(np.arange(1, bins // rows + 1, dtype=np.uint64))
+    low = np.uint64((1 << ORDER_BITS) - 1)
+    return (keys & ~low) | (mixed(np.roll(table[:, ::rows], -1, axis=1)) & low)
 
 
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, near): one row for each band's value and line, or a pair of lines met in this task."""
-    seen: set[int] = set()
-    for chunk in chunks(batches, "text"):
-        fresh: dict[int, str] = {}
-        for text in chunk.column(0).to_pylist():
-            for line in lines_of(text):
-                if line:
-                    number = line_id(line)
-                    if number not in seen:
-                        fresh[number] = line
-        if not fresh:
-            continue
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        seen.update(fresh)
-        ids = np.array(list(fresh), np.int64)
-        keys = band_keys(signatures(list(fresh.values())))
-        owner = np.repeat(ids, keys.shape[1])
-        values, first, member = np.unique(keys.ravel(), return_index=True, return_inverse=True)
-        other = first[member] != np.arange(len(member))
-        pairs = np.unique(np.stack([owner[other], owner[first][member][other]], axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        yield _keyed_batch(values.view(np.int64), owner[first], None)
-        yield _keyed_batch(mixed(pairs[:, 0].view(np.uint64)).view(np.int64), pairs[:, 0], pairs[:, 1])
+def _sign(threshold: float):
+    """(key, id, near): one row for each band's value and line, or a pair of similar lines met in this task."""
+
+    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for chunk in chunks(batches, "text"):
+            fresh: dict[int, str] = {}
+            for text in chunk.column(0).to_pylist():
+                for line in lines_of(text):
+                    if line:
+                        number = line_id(line)
+                        if number not in seen:
+                            fresh[number] = line
+            if not fresh:
+                continue
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen.update(fresh)
+            ids = np.array(list(fresh), np.int64)
+            keys = band_keys(signatures(list(fresh.values())))
+            owner = np.repeat(ids, keys.shape[1])
+            keep, pairs = _joined_to_first(keys.ravel(), owner, fresh, threshold)
+            yield _keyed_batch(keys.ravel()[keep].view(np.int64), owner[keep], None)
+            yield _keyed_batch(mixed(pairs[:, 0].view(np.uint64)).view(np.int64), pairs[:, 0], pairs[:, 1])
+
+    return sign
+
+
+def _joined_to_first(keys: np.ndarray, owner: np.ndarray, lines: dict[int, str], threshold: float):
+    """(rows to hand on, pairs): in values with over ``NEAREST`` lines, those similar to the one of least id become pairs."""
+    order = np.lexsort((owner, keys))
+    values = keys[order] >> np.uint64(ORDER_BITS)
+    _, begins, sizes = np.unique(values, return_index=True, return_counts=True)
+    keep = np.ones(len(keys), bool)
+    similar: dict[tuple[int, int], bool] = {}
+    for begin, size in zip(begins[sizes > NEAREST], sizes[sizes > NEAREST], strict=True):
+        group = order[begin : begin + size]
+        first = int(owner[group].min())
+        of_first = shingles(lines[first])
+        for row, other in zip(group.tolist(), owner[group].tolist(), strict=True):
+            if other == first:
+                continue
+            if (first, other) not in similar:
+                similar[first, other] = jaccard(of_first, shingles(lines[other])) >= threshold
+            keep[row] = not similar[first, other]
+    pairs = [pair for pair, is_similar in similar.items() if is_similar]
+    return keep, np.array(pairs, np.int64).reshape(-1, 2)
 
 
 def _keyed_batch(keys: np.ndarray, ids: np.ndarray, near: np.ndarray | None) -> pa.RecordBatch:
@@ -137,19 +167,23 @@ def _keyed_batch(keys: np.ndarray, ids: np.ndarray, near: np.ndarray | None) ->
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.ascontiguousarray(ids)), other], ["key", "id", "near"])
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(src, dst) ids of lines that may be similar, each pair once."""
-    signed = docs.select("text").mapInArrow(_sign, "key long, id long, near long")
-    same = Window.partitionBy("key", F.col("near").isNotNull()).orderBy("id")
-    met = signed.select(
-        "id",
-        F.array(
-            F.when(F.col("near").isNull(), F.first("id").over(same)),
-            F.when(F.col("near").isNull(), F.lag("id").over(same)),
-            "near",
-        ).alias("others"),
+    signed = docs.select("text").mapInArrow(_sign(threshold), "key long, id long, near long")
+    value = F.shiftrightunsigned("key", ORDER_BITS)
+    same = Window.partitionBy("value", F.col("near").isNotNull()).orderBy("key", "id")
+    # Tasks that have the same line hand on the same rows, which stand together; both windows share shuffle and sort.
+    once = (
+        signed.withColumn("value", value)
+        .withColumn("last", F.lag("id").over(same))
+        .filter("near IS NOT NULL OR last IS NULL OR last != id")
+    )
+    before = F.collect_list("id").over(same.rowsBetween(-NEAREST, -1))
+    first = F.first("id").over(same.rowsBetween(Window.unboundedPreceding, 0))
+    met = once.withColumn("before", before).withColumn("first", first).select(
+        "id", F.when(F.col("near").isNull(), F.array_append("before", F.col("first"))).otherwise(F.array("near")).alias("others")
     )
-    pairs = met.select("id", F.explode("others").alias("other")).filter("other IS NOT NULL AND other != id")
+    pairs = met.select("id", F.explode("others").alias("other")).filter("other != id")
     return pairs.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
 
 
@@ -182,7 +216,7 @@ def _similar(threshold: float):
 
 def similar_lines(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(src, dst) ids of different lines with a Jaccard similarity of at least ``threshold``."""
-    pairs = cut(candidates(docs))
+    pairs = cut(candidates(docs, threshold))
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("id"))
     # The texts of candidates only: the bitmap drops nearly all others inside the scan.
     lines = docs.select("text").mapInArrow(_texts_in(bitmap_of(ends, "id")), "id long, line string")

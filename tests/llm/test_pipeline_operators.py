@@ -199,6 +199,45 @@ def test_hot_lines_stay_linear(spark):
     assert line_dedup.marked_lines(docs).filter("kept").count() == 1
 
 
+def test_lines_of_a_value_all_meet(spark):
+    """450 lines of one template: whoever shares a band's value with no more lines than are paired is a candidate."""
+    rng = np.random.default_rng(5)
+    base, other = words(prose(8, 40)), words(prose(9, 400))
+    lines = sorted(
+        {
+            " ".join(other[rng.integers(400)] if rng.random() < rate else w for w in base)
+            for rate in (0.02, 0.06, 0.1)
+            for _ in range(150)
+        }
+    )
+    ids = [line_dedup.line_id(line) for line in lines]
+    keys = line_dedup.band_keys(line_dedup.signatures(lines)) >> np.uint64(line_dedup.ORDER_BITS)
+    by_value = defaultdict(list)
+    for i, row in zip(ids, keys.tolist(), strict=True):
+        for value in row:
+            by_value[value].append(i)
+    want = {
+        (min(a, b), max(a, b))
+        for group in by_value.values()
+        if len(group) <= line_dedup.NEAREST + 1
+        for a in group
+        for b in group
+        if a != b
+    }
+    texts = ["\n".join(lines[k::7]) for k in range(7)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = set(rows(line_dedup.candidates(docs)))
+    assert len(want) > 300 and want <= got
+    # All lines: the same components as all pairs with their exact similarity.
+    _, root = brute_lines([(0, "\n".join(lines))])
+    found = dict(rows(line_dedup.marked_lines(docs).select("line_id", "component_id").distinct()))
+    by_root, by_found = defaultdict(set), defaultdict(set)
+    for i, line in zip(ids, lines, strict=True):
+        by_root[root[line]].add(i)
+        by_found[found[i]].add(i)
+    assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, by_found.values()))
+
+
 def planted(spark):
     item = prose(41, 40)
     w = words(item)
