@@ -170,18 +170,15 @@ def _keyed_batch(keys: np.ndarray, ids: np.ndarray, near: np.ndarray | None) ->
 def candidates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(src, dst) ids of lines that may be similar, each pair once."""
     signed = docs.select("text").mapInArrow(_sign(threshold), "key long, id long, near long")
-    value = F.shiftrightunsigned("key", ORDER_BITS)
-    same = Window.partitionBy("value", F.col("near").isNotNull()).orderBy("key", "id")
-    # Tasks that have the same line hand on the same rows, which stand together; both windows share shuffle and sort.
-    once = (
-        signed.withColumn("value", value)
-        .withColumn("last", F.lag("id").over(same))
-        .filter("near IS NOT NULL OR last IS NULL OR last != id")
-    )
+    # Columns, not expressions: so both windows share one shuffle and sort.
+    valued = signed.withColumns({"value": F.shiftrightunsigned("key", ORDER_BITS), "met": F.col("near").isNotNull()})
+    same = Window.partitionBy("value", "met").orderBy("key", "id")
+    # Tasks that have the same line hand on the same rows, which stand together.
+    once = valued.withColumn("last", F.lag("id").over(same)).filter("met OR last IS NULL OR last != id")
     before = F.collect_list("id").over(same.rowsBetween(-NEAREST, -1))
     first = F.first("id").over(same.rowsBetween(Window.unboundedPreceding, 0))
-    met = once.withColumn("before", before).withColumn("first", first).select(
-        "id", F.when(F.col("near").isNull(), F.array_append("before", F.col("first"))).otherwise(F.array("near")).alias("others")
+    met = once.withColumns({"before": before, "first": first}).select(
+        "id", F.when(F.col("met"), F.array("near")).otherwise(F.array_append("before", F.col("first"))).alias("others")
     )
     pairs = met.select("id", F.explode("others").alias("other")).filter("other != id")
     return pairs.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
