@@ -21,6 +21,7 @@ A pair at the threshold of 0.8 shares a band with a probability of 0.998.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +57,15 @@ def lines_of(text: str) -> list[str]:
     return [line.strip(_BLANKS) for line in text.split("\n")]
 
 
+#: The places of the first shingles; taking these from a line is faster than cutting each anew.
+_PLACES = [slice(i, i + SHINGLE) for i in range(1024)]
+
+
 def shingles(line: str, width: int = SHINGLE) -> set[str]:
-    return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
+    n = max(1, len(line) - width + 1)
+    if width == SHINGLE and n <= len(_PLACES):
+        return set(map(line.__getitem__, islice(_PLACES, n)))
+    return {line[i : i + width] for i in range(n)}
 
 
 def jaccard(a: set, b: set) -> float:
@@ -196,14 +204,43 @@ def _texts_in(bits: bytes):
     return find
 
 
+class Groups:
+    """Union-find over the ids one task has met."""
+
+    def __init__(self):
+        self._above: dict[int, int] = {}
+
+    def root(self, i: int) -> int:
+        above = self._above
+        while (up := above.get(i, i)) != i:
+            above[i] = above.get(up, up)
+            i = up
+        return i
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self._above[max(a, b)] = min(a, b)
+
+
 def _similar(threshold: float):
+    """Similar pairs; a pair that the pairs before it in this task connect already is neither compared nor given."""
+
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = Groups()
+        last, of_last = None, set()
         for batch in batches:
-            out, last, of_last = [], None, set()
+            out = []
             for src, a, dst, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last != src:
-                    last, of_last = src, shingles(a)
-                if jaccard(of_last, shingles(b)) >= threshold:
+                if groups.root(src) == groups.root(dst):
+                    continue
+                # The join leaves rows in the order of dst.
+                if last != dst:
+                    last, of_last = dst, shingles(b)
+                # A set of at most this size cannot be similar enough to a larger one.
+                if max(1, len(a) - SHINGLE + 1) < threshold * len(of_last):
+                    continue
+                if jaccard(shingles(a), of_last) >= threshold:
+                    groups.join(src, dst)
                     out.append((src, dst))
             columns = zip(*out, strict=True) if out else [()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["src", "dst"])
@@ -212,7 +249,7 @@ def _similar(threshold: float):
 
 
 def similar_lines(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(src, dst) ids of different lines with a Jaccard similarity of at least ``threshold``."""
+    """(src, dst) ids of different lines with a Jaccard similarity of at least ``threshold``: enough to connect all such."""
     pairs = cut(candidates(docs, threshold))
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("id"))
     # The texts of candidates only: the bitmap drops nearly all others inside the scan.
