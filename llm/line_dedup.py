@@ -1,13 +1,13 @@
 """Fuzzy line deduplication: MinHash signatures, banding, exact Jaccard verification, distributed union-find.
 
 A line's signature is the least hash of its character shingles in each of ``BANDS * ROWS`` bins (one permutation;
-an empty bin borrows from the next full one). Lines with an equal band are candidates: within a band's value each
-line is paired with the first and with the ``NEAREST`` before it. So all lines that share a value meet each other
-unless there are more of them than that; then they are ordered by one more bin's hash first, which brings similar lines
-together, in another order for each band. A value that very many lines share gives a linear number of pairs, and
-where a task has many of its lines, those similar to one of them are joined to it at once and shuffled no further.
-Candidates are compared by the exact Jaccard similarity of their shingle sets, and those at or above the threshold
-are joined to components. Of each component the first line (least document id, then least line number) stays.
+an empty bin borrows from the next full one). All lines with an equal band meet. Where up to ``NEAREST + 1`` lines
+share a band's value, all their pairs are candidates. The lines of a value that more share are put into blocks, and
+each pair of blocks is settled by one task: every two lines of it are similar by a chain of links found already, or
+apart by a bound from their sketches, or compared. What is handed on are the links that connect them, so near copies
+give a linear number of pairs. Candidates are compared by the exact Jaccard similarity of their shingle sets, and
+those at or above the threshold are joined to components. Of each component the first line (least document id, then
+least line number) stays.
 
 A pair at the threshold of 0.8 shares a band with a probability of 0.998.
 
@@ -36,8 +36,12 @@ from llm.tables import cut, texts
 SHINGLE = 7
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
-#: Lines before it in a band's value that a line is paired with, besides the first.
+#: Most others in a band's value that a line is paired with one by one; lines of larger values meet in blocks.
 NEAREST = 64
+#: What the lines of a block weigh: each one, and one more for every ``BLOCK_CHARS`` characters.
+BLOCK, BLOCK_CHARS = 2048, 256
+#: Bits of a sketch; each is the parity of the shingles that fall on it.
+SKETCH_BITS = 512
 #: Low bits of a band's key that order the lines of its value.
 ORDER_BITS = 16
 _EMPTY = np.iinfo(np.uint64).max
@@ -65,8 +69,8 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def signatures(lines: list[str], width: int = SHINGLE, bins: int = BANDS * ROWS) -> np.ndarray:
-    """(lines, bins) least shingle hashes; lines are not empty."""
+def _shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line number) of all shingles, repeats included; lines are not empty."""
     lengths = np.array([len(line) for line in lines], np.int64)
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     codes = np.concatenate([codes, np.zeros(width, np.uint64)])
@@ -81,7 +85,12 @@ def signatures(lines: list[str], width: int = SHINGLE, bins: int = BANDS * ROWS)
         h[starts[i]] = np.uint64(xxhash.xxh3_64_intdigest(lines[i].encode("utf-32-le", "surrogatepass")))
     owner = np.repeat(np.arange(len(lines)), lengths)
     inside = np.arange(n) - starts[owner] <= np.maximum(0, lengths - width)[owner]
-    h, owner = mixed(h[inside]), owner[inside]
+    return mixed(h[inside]), owner[inside]
+
+
+def signatures(lines: list[str], width: int = SHINGLE, bins: int = BANDS * ROWS) -> np.ndarray:
+    """(lines, bins) least shingle hashes; lines are not empty."""
+    h, owner = _shingle_hashes(lines, width)
     bin_of = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     table = np.full(len(lines) * bins, _EMPTY, np.uint64)
     np.minimum.at(table, owner * bins + bin_of, h)
@@ -167,21 +176,113 @@ def _keyed_batch(keys: np.ndarray, ids: np.ndarray, near: np.ndarray | None) ->
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.ascontiguousarray(ids)), other], ["key", "id", "near"])
 
 
-def candidates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(src, dst) ids of lines that may be similar, each pair once."""
+def _met_in_values(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(value, id, n) of the lines of all values that several share, and (src, dst) of the similar pairs met in tasks."""
     signed = docs.select("text").mapInArrow(_sign(threshold), "key long, id long, near long")
-    # Columns, not expressions: so both windows share one shuffle and sort.
-    valued = signed.withColumns({"value": F.shiftrightunsigned("key", ORDER_BITS), "met": F.col("near").isNotNull()})
-    same = Window.partitionBy("value", "met").orderBy("key", "id")
+    valued = signed.withColumn("value", F.shiftrightunsigned("key", ORDER_BITS))
     # Tasks that have the same line hand on the same rows, which stand together.
-    once = valued.withColumn("last", F.lag("id").over(same)).filter("met OR last IS NULL OR last != id")
-    before = F.collect_list("id").over(same.rowsBetween(-NEAREST, -1))
-    first = F.first("id").over(same.rowsBetween(Window.unboundedPreceding, 0))
-    met = once.withColumns({"before": before, "first": first}).select(
-        "id", F.when(F.col("met"), F.array("near")).otherwise(F.array_append("before", F.col("first"))).alias("others")
+    same = Window.partitionBy("value", "near").orderBy("key", "id")
+    once = valued.withColumn("last", F.lag("id").over(same)).filter("near IS NOT NULL OR last IS NULL OR last != id")
+    sized = once.withColumn("n", F.count("*").over(Window.partitionBy("value", "near")))
+    shared = cut(sized.filter("near IS NOT NULL OR n > 1").select("value", "id", "n", "near"))
+    pairs = shared.filter("near IS NOT NULL").select(
+        F.least("id", "near").alias("src"), F.greatest("id", "near").alias("dst")
     )
-    pairs = met.select("id", F.explode("others").alias("other")).filter("other != id")
-    return pairs.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
+    return shared.filter("near IS NULL").drop("near"), pairs
+
+
+def _paired(shared: DataFrame) -> DataFrame:
+    """(src, dst): all pairs of the values with up to ``NEAREST + 1`` lines."""
+    groups = shared.filter(F.col("n") <= NEAREST + 1).groupBy("value").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    ends = groups.select("ids", F.posexplode("ids").alias("at", "src"))
+    return ends.select("src", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("dst")).distinct()
+
+
+def sketches(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, words) bits, and how many different shingles each line has.
+
+    Two sets differ in at least as many shingles as their sketches in bits.
+    """
+    h, owner = _shingle_hashes(lines, width)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[new], owner[new]
+    bits = np.zeros((len(lines), SKETCH_BITS), bool)
+    np.logical_xor.at(bits, (owner, (h % np.uint64(SKETCH_BITS)).astype(np.int64)), True)
+    return np.packbits(bits, axis=1).view(np.uint64), np.bincount(owner, minlength=len(lines))
+
+
+def connecting(lines: list[str], blocks: list[int], threshold: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of line numbers that connect all similar lines: of different blocks if there are two, else of the one."""
+    bits, sizes = sketches(lines)
+    block = np.array(blocks)
+    apart = len(set(blocks)) > 1
+    group, sets, out = np.arange(len(lines)), {}, []
+
+    def set_of(i: int) -> set[str]:
+        if i not in sets:
+            sets[i] = shingles(lines[i])
+        return sets[i]
+
+    for i in range(len(lines)):
+        open_ = group[i + 1 :] != group[i]
+        if apart:
+            open_ &= block[i + 1 :] != block[i]
+        others = i + 1 + np.flatnonzero(open_)
+        # At the threshold, sets differ in at most this share of both their sizes.
+        most = (1 - threshold) / (1 + threshold) * (sizes[others] + sizes[i]) + 1e-6
+        others = others[np.abs(sizes[others] - sizes[i]) <= most]
+        most = (1 - threshold) / (1 + threshold) * (sizes[others] + sizes[i]) + 1e-6
+        others = others[np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most]
+        for j in others.tolist():
+            if group[j] != group[i] and jaccard(set_of(i), set_of(j)) >= threshold:
+                group[group == group[j]] = group[i]
+                out.append((i, j))
+    return out
+
+
+def _connect(threshold: float):
+    def connect(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_pylist()
+        pairs = connecting(table.column("line").to_pylist(), table.column("block").to_pylist(), threshold)
+        ends = [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in pairs]
+        return pa.table({"src": pa.array([e[0] for e in ends], pa.int64()), "dst": pa.array([e[1] for e in ends], pa.int64())})
+
+    return connect
+
+
+def _linked(shared: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst): similar pairs that connect all similar lines of each value with more lines than are paired."""
+    crowded = shared.filter(F.col("n") > NEAREST + 1).select("value", "id").join(lines, "id")
+    weight = F.sum(1 + F.floor(F.length("line") / BLOCK_CHARS))
+    before = Window.partitionBy("value").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut(crowded.withColumn("block", F.coalesce(F.floor(weight.over(before) / BLOCK), F.lit(0))))
+    # Only blocks that have lines: a long line may leave numbers unused.
+    filled = blocks.groupBy("value").agg(F.collect_set("block").alias("all"))
+    met = blocks.join(filled, "value").withColumn("with", F.explode("all")).select(
+        "value", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "block", "id", "line"
+    )
+    return met.groupBy("value", "a", "b").applyInArrow(_connect(threshold), "src long, dst long").distinct()
+
+
+def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, line): the bitmap drops nearly all other lines inside the scan."""
+    lines = docs.select("text").mapInArrow(_texts_in(bitmap_of(ids, "id")), "id long, line string")
+    return cut(lines.groupBy("id").agg(F.min("line").alias("line")))
+
+
+def _candidates_and_lines(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    shared, met = _met_in_values(docs, threshold)
+    lines = _line_texts(docs, shared.select("id").union(met.select(F.explode(F.array("src", "dst")).alias("id"))))
+    pairs = _paired(shared).union(_linked(shared, lines, threshold)).union(met)
+    return pairs.distinct(), lines
+
+
+def candidates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(src, dst) ids of lines that may be similar, each pair once; with them all similar lines of a value connect."""
+    return _candidates_and_lines(docs, threshold)[0]
 
 
 def _texts_in(bits: bytes):
@@ -242,11 +343,8 @@ def _similar(threshold: float):
 
 def similar_lines(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(src, dst) ids of different lines with a Jaccard similarity of at least ``threshold``: enough to connect all such."""
-    pairs = cut(candidates(docs, threshold))
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id"))
-    # The texts of candidates only: the bitmap drops nearly all others inside the scan.
-    lines = docs.select("text").mapInArrow(_texts_in(bitmap_of(ends, "id")), "id long, line string")
-    lines = cut(lines.groupBy("id").agg(F.min("line").alias("line")))
+    pairs, lines = _candidates_and_lines(docs, threshold)
+    pairs = cut(pairs)
     a = lines.select(F.col("id").alias("src"), F.col("line").alias("a"))
     b = lines.select(F.col("id").alias("dst"), F.col("line").alias("b"))
     both = pairs.join(a, "src").join(b, "dst").select("src", "a", "dst", "b")

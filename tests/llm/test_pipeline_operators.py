@@ -355,3 +355,36 @@ def test_arrow_chunks_keep_every_row():
     got = [c.to_pydict() for c in chunks([batch], "text", 20)]
     assert [i for g in got for i in g["id"]] == list(range(5))
     assert [t for g in got for t in g["text"]] == ["a" * 10, "", "b" * 100, "", "c"]
+
+
+def template_lines(n):
+    """Lines around one template; similar ones stand apart in any order of their hashes."""
+    rng = np.random.default_rng(17)
+    base, other = words(prose(8, 40)), words(prose(9, 400))
+    return sorted(
+        {" ".join(other[rng.integers(400)] if rng.random() < 0.08 else w for w in base) for _ in range(n)}
+    )
+
+
+def components_of_values(lines):
+    """Components that all pairs of lines with an equal band value give."""
+    keys = line_dedup.band_keys(line_dedup.signatures(lines)) >> np.uint64(line_dedup.ORDER_BITS)
+    sets = [line_dedup.shingles(line) for line in lines]
+    met = lambda i, j: (keys[i] == keys[j]).any() and line_dedup.jaccard(sets[i], sets[j]) >= 0.8
+    return components(len(lines), met)
+
+
+def same_partition(a, b):
+    return len(set(zip(a, b, strict=True))) == len(set(a)) == len(set(b))
+
+
+def test_lines_of_a_crowded_value_all_meet(spark, monkeypatch):
+    """With few lines paired one by one and small blocks, the components are those of all pairs of the values."""
+    monkeypatch.setattr(line_dedup, "NEAREST", 2)
+    monkeypatch.setattr(line_dedup, "BLOCK", 40)
+    lines = template_lines(400)
+    want = components_of_values(lines)
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string").repartition(5)
+    found = dict(rows(line_dedup.marked_lines(docs).select("line_id", "component_id").distinct()))
+    assert len(set(want)) > 20
+    assert same_partition(want, [found[line_dedup.line_id(line)] for line in lines])
