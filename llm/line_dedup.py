@@ -122,73 +122,35 @@ def band_keys(table: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return (keys & ~low) | (mixed(np.roll(table[:, ::rows], -1, axis=1)) & low)
 
 
-def _sign(threshold: float):
-    """(key, id, near): one row for each band's value and line, or a pair of similar lines met in this task."""
-
-    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for chunk in chunks(batches, "text"):
-            fresh: dict[int, str] = {}
-            for text in chunk.column(0).to_pylist():
-                for line in lines_of(text):
-                    if line:
-                        number = line_id(line)
-                        if number not in seen:
-                            fresh[number] = line
-            if not fresh:
-                continue
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            seen.update(fresh)
-            ids = np.array(list(fresh), np.int64)
-            keys = band_keys(signatures(list(fresh.values())))
-            owner = np.repeat(ids, keys.shape[1])
-            keep, pairs = _joined_to_first(keys.ravel(), owner, fresh, threshold)
-            yield _keyed_batch(keys.ravel()[keep].view(np.int64), owner[keep], None)
-            yield _keyed_batch(mixed(pairs[:, 0].view(np.uint64)).view(np.int64), pairs[:, 0], pairs[:, 1])
-
-    return sign
-
-
-def _joined_to_first(keys: np.ndarray, owner: np.ndarray, lines: dict[int, str], threshold: float):
-    """(rows to hand on, pairs): in values with over ``NEAREST`` lines, those similar to the one of least id become pairs."""
-    order = np.lexsort((owner, keys))
-    values = keys[order] >> np.uint64(ORDER_BITS)
-    _, begins, sizes = np.unique(values, return_index=True, return_counts=True)
-    keep = np.ones(len(keys), bool)
-    similar: dict[tuple[int, int], bool] = {}
-    for begin, size in zip(begins[sizes > NEAREST], sizes[sizes > NEAREST], strict=True):
-        group = order[begin : begin + size]
-        first = int(owner[group].min())
-        of_first = shingles(lines[first])
-        for row, other in zip(group.tolist(), owner[group].tolist(), strict=True):
-            if other == first:
-                continue
-            if (first, other) not in similar:
-                similar[first, other] = jaccard(of_first, shingles(lines[other])) >= threshold
-            keep[row] = not similar[first, other]
-    pairs = [pair for pair, is_similar in similar.items() if is_similar]
-    return keep, np.array(pairs, np.int64).reshape(-1, 2)
-
-
-def _keyed_batch(keys: np.ndarray, ids: np.ndarray, near: np.ndarray | None) -> pa.RecordBatch:
-    other = pa.nulls(len(keys), pa.int64()) if near is None else pa.array(np.ascontiguousarray(near))
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.ascontiguousarray(ids)), other], ["key", "id", "near"])
-
-
-def _met_in_values(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(value, id, n) of the lines of all values that several share, and (src, dst) of the similar pairs met in tasks."""
-    signed = docs.select("text").mapInArrow(_sign(threshold), "key long, id long, near long")
+def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id): one row for each band's value and line."""
+    seen: set[int] = set()
+    for chunk in chunks(batches, "text"):
+        fresh: dict[int, str] = {}
+        for text in chunk.column(0).to_pylist():
+            for line in lines_of(text):
+                if line:
+                    number = line_id(line)
+                    if number not in seen:
+                        fresh[number] = line
+        if not fresh:
+            continue
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        seen.update(fresh)
+        keys = band_keys(signatures(list(fresh.values())))
+        owner = np.repeat(np.array(list(fresh), np.int64), keys.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(owner)], ["key", "id"])
+
+
+def _met_in_values(docs: DataFrame) -> DataFrame:
+    """(value, id, n) of the lines of all values that several share."""
+    signed = docs.select("text").mapInArrow(_sign, "key long, id long")
     valued = signed.withColumn("value", F.shiftrightunsigned("key", ORDER_BITS))
     # Tasks that have the same line hand on the same rows, which stand together.
-    same = Window.partitionBy("value", "near").orderBy("key", "id")
-    once = valued.withColumn("last", F.lag("id").over(same)).filter("near IS NOT NULL OR last IS NULL OR last != id")
-    sized = once.withColumn("n", F.count("*").over(Window.partitionBy("value", "near")))
-    shared = cut(sized.filter("near IS NOT NULL OR n > 1").select("value", "id", "n", "near"))
-    pairs = shared.filter("near IS NOT NULL").select(
-        F.least("id", "near").alias("src"), F.greatest("id", "near").alias("dst")
-    )
-    return shared.filter("near IS NULL").drop("near"), pairs
+    once = valued.withColumn("last", F.lag("id").over(Window.partitionBy("value").orderBy("id")))
+    once = once.filter("last IS NULL OR last != id").withColumn("n", F.count("*").over(Window.partitionBy("value")))
+    return cut(once.filter("n > 1").select("value", "id", "n"))
 
 
 def _paired(shared: DataFrame) -> DataFrame:
@@ -274,10 +236,9 @@ def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _candidates_and_lines(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    shared, met = _met_in_values(docs, threshold)
-    lines = _line_texts(docs, shared.select("id").union(met.select(F.explode(F.array("src", "dst")).alias("id"))))
-    pairs = _paired(shared).union(_linked(shared, lines, threshold)).union(met)
-    return pairs.distinct(), lines
+    shared = _met_in_values(docs)
+    lines = _line_texts(docs, shared)
+    return _paired(shared).union(_linked(shared, lines, threshold)).distinct(), lines
 
 
 def candidates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

@@ -381,10 +381,24 @@ def same_partition(a, b):
 def test_lines_of_a_crowded_value_all_meet(spark, monkeypatch):
     """With few lines paired one by one and small blocks, the components are those of all pairs of the values."""
     monkeypatch.setattr(line_dedup, "NEAREST", 2)
-    monkeypatch.setattr(line_dedup, "BLOCK", 40)
+    monkeypatch.setattr(line_dedup, "BLOCK", 40, raising=False)
     lines = template_lines(400)
     want = components_of_values(lines)
     docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string").repartition(5)
     found = dict(rows(line_dedup.marked_lines(docs).select("line_id", "component_id").distinct()))
     assert len(set(want)) > 20
     assert same_partition(want, [found[line_dedup.line_id(line)] for line in lines])
+
+
+def test_no_line_leaves_its_values(spark):
+    """A task that has many similar lines of a value hands on all of them."""
+    lines = template_lines(300)
+    docs = spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string")
+    values = line_dedup.band_keys(line_dedup.signatures(lines)) >> np.uint64(line_dedup.ORDER_BITS)
+    by_value = defaultdict(set)
+    for line, row in zip(lines, values.tolist(), strict=True):
+        for value in row:
+            by_value[value].add(line_dedup.line_id(line))
+    want = {(v, i, len(ids)) for v, ids in by_value.items() if len(ids) > 1 for i in ids}
+    assert max(n for _, _, n in want) > line_dedup.NEAREST + 1
+    assert set(rows(line_dedup._met_in_values(docs))) == want
