@@ -5,17 +5,23 @@ word breaks only the seeds that look at it. Hashes of all masks at all places of
 are joined. Around each hit, document and item are compared word by word along the hit's diagonal; an overlap
 counts if it has ``MIN_WORDS`` words (or the whole item, if shorter) of which ``MIN_EQUAL`` are equal.
 
+The seeds miss no such overlap, whichever words are replaced. One of 24 words or more has a part of 12 to 23 words
+in which as many are equal, and in each of these, with up to 2 (of 12), 3 (of 15) or 4 (of 20) replaced words at any
+places, some mask fits somewhere. For a shorter item there is a mask to ignore each choice of as many fifths of its
+words as may be replaced.
+
 A 2 MB bitmap of the item hashes drops nearly all document hashes inside the scan; the join decides on the rest.
 Only documents with a hit are read a second time.
 
 * Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. Null texts have no words.
-* Items shorter than the masks are looked for whole; items under ``LEAST_ITEM`` words are no evidence and never match.
+* Items of less than ``MIN_WORDS`` words must be in a document as a whole; items under ``LEAST_ITEM`` words are no evidence and never match.
 * Items with equal words are compared once and reported under each id. Repeated documents are reported by id,
   once. Null ids of documents are reported as null. Empty tables: no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,18 +33,22 @@ from llm.arrays import chunks, lowered, prefix_sums, span_hashes, text_bytes, wi
 from llm.bitmap import bitmap_of, is_set, may_hold
 from llm.tables import cut, texts
 
-#: 1: the word counts, 0: it is ignored. No two look at the same places; each ignores another third.
-MASKS = ("110101101011", "101110010111", "111001110101", "110110011011")
-SPAN = len(MASKS[0])
+#: 1: the word counts, 0: it is ignored. Chosen greedily until every pattern of replaced words was covered.
+MASKS = ("11110111", "110100010111", "11101100011", "110111011", "111000100111", "101011111", "11110001011")
 MIN_WORDS = 12
 MIN_EQUAL = 0.8
 LEAST_ITEM = 5
+#: Parts of a short item, of which a mask ignores as many as words may be replaced.
+PARTS = 5
 
 
 def _shapes(lengths: list[int]) -> list[tuple[int, list[int]]]:
-    """(span, positions looked at) of every seed: the masks, and the whole of items shorter than these."""
-    masks = [(SPAN, [i for i, c in enumerate(mask) if c == "1"]) for mask in MASKS]
-    return masks + [(n, list(range(n))) for n in lengths]
+    """(span, positions looked at) of every seed: the masks, and those of the items that are shorter than an overlap."""
+    shapes = [(len(mask), [i for i, c in enumerate(mask) if c == "1"]) for mask in MASKS]
+    for n in lengths:
+        for ignored in itertools.combinations(range(PARTS), int((1 - MIN_EQUAL) * n + 1e-9)):
+            shapes.append((n, [i for i in range(n) if i * PARTS // n not in ignored]))
+    return shapes
 
 
 def _seeds(column: pa.Array, shapes: list[tuple[int, list[int]]], keep) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +88,7 @@ def _item_seeds(items: DataFrame, lengths: list[int]) -> DataFrame:
 
             def own(h, number, text_no, size=size):
                 span = shapes[number][0]
-                return size[text_no] >= SPAN if number < len(MASKS) else size[text_no] == span
+                return size[text_no] >= MIN_WORDS if number < len(MASKS) else size[text_no] == span
 
             yield _rows(chunk.column(0), *_seeds(chunk.column(1), shapes, own))
 
@@ -139,7 +149,7 @@ def _leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     # One row for each different item; how many words it has.
     sized = items.withColumn("n", F.size(F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")))
     sized = sized.filter(F.col("n") >= LEAST_ITEM)
-    lengths = sorted(r.n for r in sized.filter(F.col("n") < SPAN).select("n").distinct().collect())
+    lengths = sorted(r.n for r in sized.filter(F.col("n") < MIN_WORDS).select("n").distinct().collect())
     seeds = cut(_item_seeds(sized, lengths))
     hits = _document_seeds(docs, lengths, bitmap_of(seeds, "h"))
     met = hits.join(seeds.select("h", F.col("key").alias("item_key"), F.col("pos").alias("item_pos")), "h")

@@ -1,3 +1,4 @@
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
@@ -402,3 +403,27 @@ def test_no_line_leaves_its_values(spark):
     want = {(v, i, len(ids)) for v, ids in by_value.items() if len(ids) > 1 for i in ids}
     assert max(n for _, _, n in want) > line_dedup.NEAREST + 1
     assert set(rows(line_dedup._met_in_values(docs))) == want
+
+
+def test_seeds_miss_no_overlap():
+    """Whichever words are replaced, some seed looks at none of them."""
+    for n in range(decontamination.LEAST_ITEM, 2 * decontamination.MIN_WORDS):
+        short = n < decontamination.MIN_WORDS
+        shapes = decontamination._shapes([n] if short else [])[len(decontamination.MASKS) if short else 0 :]
+        seeds = {sum(1 << i + at for i in shape) for span, shape in shapes for at in range(n - span + 1)}
+        for replaced in itertools.combinations(range(n), int(0.2 * n + 1e-9)):
+            bits = sum(1 << i for i in replaced)
+            assert any(not seed & bits for seed in seeds), (n, replaced)
+
+
+def test_replaced_words_are_found_at_any_place(spark):
+    items = [words(prose(60 + n, n)) for n in (5, 9, 11, 12, 15)]
+    docs = []
+    for item in items:
+        for replaced in itertools.combinations(range(len(item)), int(0.2 * len(item) + 1e-9)):
+            changed = ["other" if i in replaced else w for i, w in enumerate(item)]
+            docs.append((len(docs), " ".join(["before", *changed, "after"]), len(item)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string, n long")
+    benchmark = spark.createDataFrame([(len(w), " ".join(w)) for w in items], "item_id long, text string")
+    found = decontamination.overlaps(docs, benchmark).select("doc_id", "item_id")
+    assert {(r.doc_id, r.n) for r in docs.collect()} <= set(rows(found))
