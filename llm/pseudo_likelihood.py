@@ -5,7 +5,8 @@ the conditional log-probabilities scores a document. Tokens are lower-cased word
 whole corpus are classes of their own, all others share hash classes.
 
 Word counts cover all documents. Training covers all documents as well: in each round every task runs over its texts
-from the weights of the round before, masking one token in ``MASKED`` (others in each round), and the tasks'
+from the weights of the round before, masking one token in ``MASKED`` at a time until its share of them is through, so
+that after ``ROUNDS`` rounds every token was masked once, and the tasks'
 weights are averaged by the number of tokens, summed before they are gathered. So what is learned grows with the
 corpus, and no task or driver holds more than one network.
 
@@ -164,11 +165,10 @@ class Network:
 def _round(words: list[bytes], start: np.ndarray, number: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes_of, network, seen = Classes(words), Network(start), 0
-        phase = number * MASKED // ROUNDS
         for chunk in chunks(batches, "text"):
             classes, places = classes_of(chunk.column(0))
-            masked = places[(phase + seen) % MASKED :: MASKED]
-            network.learn(classes, masked)
+            for phase in range(number, MASKED, ROUNDS):
+                network.learn(classes, places[phase::MASKED])
             seen += len(places)
         if seen:
             weights = network.flat().astype(np.float64) * seen

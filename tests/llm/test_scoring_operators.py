@@ -236,3 +236,13 @@ def test_training_beats_the_untrained_network(spark):
         r = pseudo_likelihood.scored(docs, chosen, weights).selectExpr("sum(log_likelihood) / sum(n_tokens)").first()
         means.append(r[0])
     assert means[1] > means[0] + 0.3
+
+
+def test_training_masks_every_token_once(monkeypatch):
+    masked = []
+    monkeypatch.setattr(pseudo_likelihood.Network, "learn", lambda self, classes, places: masked.extend(places.tolist()))
+    texts = ["one", "two words", " ".join(f"w{i}" for i in range(50)), ""]
+    batch = pa.record_batch({"text": texts})
+    for number in range(pseudo_likelihood.ROUNDS):
+        list(pseudo_likelihood._round([], pseudo_likelihood.Network().flat(), number)([batch]))
+    assert sorted(masked) == pseudo_likelihood.Classes([])(batch.column(0))[1].tolist()
