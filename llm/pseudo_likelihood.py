@@ -2,7 +2,9 @@
 
 A small network sees the ``SIDE`` tokens before and after a masked token and predicts it among all classes; the sum of
 the conditional log-probabilities scores a document. Tokens are lower-cased words. The most frequent words of the
-whole corpus are classes of their own, all others share hash classes.
+whole corpus are classes of their own, all others share hash classes. A word of a hash class has its class's
+conditional probability times its share in the class, which follows from the counts of all words: ``(n + 1) / (N + V +
+1)`` for a word seen ``n`` times in a class of ``V`` words seen ``N`` times in all; what is left is for unseen words.
 
 Word counts cover all documents. Training covers all documents as well: in each round every task runs over its texts
 from the weights of the round before, masking one token in ``MASKED`` at a time until its share of them is through, so
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.arrays import chunks, lowered, prefix_sums, span_hashes, text_bytes, word_spans
-from llm.tables import texts
+from llm.tables import cut, texts
 
 TOP_WORDS, HASHED = 191, 64
 CLASSES = TOP_WORDS + HASHED + 1
@@ -59,24 +61,53 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def frequent_words(docs: DataFrame, most: int = TOP_WORDS) -> list[bytes]:
-    """The most frequent words of all texts; equally frequent ones in byte order."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of all words of all texts."""
     counts = docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return cut(counts)
+
+
+def _most_frequent(counts: DataFrame, most: int = TOP_WORDS) -> list[bytes]:
     return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
+def frequent_words(docs: DataFrame, most: int = TOP_WORDS) -> list[bytes]:
+    """The most frequent words of all texts; equally frequent ones in byte order."""
+    return _most_frequent(word_counts(docs), most)
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    joined = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    return span_hashes(prefix_sums(joined), ends - [len(w) for w in words], ends) if words else np.zeros(0, np.uint64)
+
+
+def _rare_counts(counts: DataFrame, words: list[bytes]) -> DataFrame:
+    """(h, n) of the words that share hash classes."""
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = _word_hashes(batch.column(0).to_pylist())
+            rare = ~np.isin(h, _word_hashes(words))
+            yield pa.RecordBatch.from_arrays([pa.array(h[rare].view(np.int64)), batch.column(1).filter(pa.array(rare))], ["h", "n"])
+
+    return counts.select("word", "n").mapInArrow(hashed, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
 class Classes:
     """Class numbers of the words of many texts."""
 
     def __init__(self, words: list[bytes]):
-        joined = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-        hashes = span_hashes(prefix_sums(joined), ends - [len(w) for w in words], ends) if words else np.zeros(0, np.uint64)
+        hashes = _word_hashes(words)
         order = np.argsort(hashes)
         self._hashes, self._numbers = hashes[order], order
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(classes with ``SIDE`` edges before and after each text, place of each text's first word and of the end)."""
+        """(classes with ``SIDE`` edges before and after each text, place of each word)."""
+        return self.with_hashes(column)[:2]
+
+    def with_hashes(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and the hash of each word."""
         values, offsets = text_bytes(column)
         values = lowered(values)
         starts, ends, firsts = word_spans(values, offsets)
@@ -90,7 +121,7 @@ class Classes:
         out = np.full(len(found) + 2 * SIDE * n, EDGE, np.int64)
         places = np.arange(len(found)) + SIDE * (2 * text_of + 1)
         out[places] = found
-        return out, places
+        return out, places, h
 
 
 class Network:
@@ -192,31 +223,62 @@ def train(docs: DataFrame, words: list[bytes]) -> np.ndarray:
     return weights
 
 
-def scored(docs: DataFrame, words: list[bytes], weights: np.ndarray) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row of (doc_id, text)."""
+def scored(docs: DataFrame, words: list[bytes], weights: np.ndarray, counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row of (doc_id, text).
+
+    ``counts`` are the words of the corpus that was learned from; those of ``docs`` if not given.
+    """
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes_of, network = Classes(words), Network(weights)
         for chunk in chunks(batches, "text"):
-            classes, places = classes_of(chunk.column(1))
+            classes, places, h = classes_of.with_hashes(chunk.column(1))
             found = network.log_probabilities(classes, places)
             # Each text's words lie between its edges.
             text_of = np.cumsum(classes == EDGE)[places] // (2 * SIDE)
-            counts = np.bincount(text_of, minlength=chunk.num_rows)
+            lengths = np.bincount(text_of, minlength=chunk.num_rows)
             sums = np.bincount(text_of, found, chunk.num_rows)
-            means = pa.array(sums / np.maximum(1, counts), mask=counts == 0)
+            # The words of hash classes, each once a text with how often it occurs.
+            rare = classes[places] >= TOP_WORDS
+            order = np.lexsort((h[rare], text_of[rare]))
+            text, word = text_of[rare][order], h[rare][order]
+            new = np.ones(len(word), bool)
+            new[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(word)))
+            ends = pa.array(np.searchsorted(text[at], np.arange(chunk.num_rows + 1)), pa.int32())
+            hashes = pa.ListArray.from_arrays(ends, pa.array(word[at].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [chunk.column(0), pa.array(counts, pa.int64()), pa.array(sums), means],
-                ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
+                [chunk.column(0), pa.array(lengths, pa.int64()), pa.array(sums), hashes, pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))],
+                ["doc_id", "n_tokens", "of_classes", "h", "times"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        score, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
+    if counts is None:
+        counts = word_counts(docs)
+    # Cut, so that the rows keep their numbers.
+    by_class = cut(
+        docs.select("doc_id", "text")
+        .mapInArrow(score, "doc_id long, n_tokens long, of_classes double, h array<long>, times array<long>")
+        .withColumn("row", F.monotonically_increasing_id())
+    )
+    rare = cut(_rare_counts(counts, words)).withColumn("class", F.shiftrightunsigned("h", 58))
+    sizes = rare.groupBy("class").agg((F.sum("n") + F.count("*")).alias("size"))
+    tokens = by_class.select("row", F.inline(F.arrays_zip("h", "times"))).withColumn("class", F.shiftrightunsigned("h", 58))
+    shares = tokens.join(rare.select("h", "n"), "h", "left").join(sizes, "class", "left")
+    share = F.log((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("size", F.lit(0)) + 1))
+    in_classes = shares.groupBy("row").agg(F.sum(F.col("times") * share).alias("in_classes"))
+    total = F.col("of_classes") + F.coalesce("in_classes", F.lit(0.0))
+    return by_class.drop("h", "times").join(in_classes, "row", "left").select(
+        "doc_id",
+        "n_tokens",
+        total.alias("log_likelihood"),
+        F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"),
     )
 
 
 def pseudo_likelihood(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """Counts, trains and scores over all of ``docs``."""
     plain = texts(docs, id_col, text_col)
-    words = frequent_words(plain)
-    return scored(plain, words, train(plain, words))
+    counts = word_counts(plain)
+    words = _most_frequent(counts)
+    return scored(plain, words, train(plain, words), counts)

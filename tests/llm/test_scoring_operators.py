@@ -246,3 +246,17 @@ def test_training_masks_every_token_once(monkeypatch):
     for number in range(pseudo_likelihood.ROUNDS):
         list(pseudo_likelihood._round([], pseudo_likelihood.Network().flat(), number)([batch]))
     assert sorted(masked) == pseudo_likelihood.Classes([])(batch.column(0))[1].tolist()
+
+
+def test_words_of_a_class_cost_by_their_counts(spark):
+    """In one hash class, a frequent word costs less than a rare one, and this less than an unseen one."""
+    by_class = {}
+    for n in range(200):
+        h = int(pseudo_likelihood._word_hashes([b"w%d" % n])[0])
+        by_class.setdefault(h >> 58, []).append((f"w{n}", h))
+    c, (often, seldom, unseen) = next((c, ws[:3]) for c, ws in by_class.items() if len(ws) > 2)
+    counts = spark.createDataFrame([(often[0].encode(), 97), (seldom[0].encode(), 1)], "word binary, n long")
+    docs = spark.createDataFrame([(i, w[0]) for i, w in enumerate((often, seldom, unseen))], "doc_id long, text string")
+    got = pseudo_likelihood.scored(docs, [], pseudo_likelihood.Network().flat(), counts)
+    a, b, u = (r.log_likelihood for r in got.orderBy("doc_id").collect())
+    assert abs(a - b - np.log(98 / 2)) < 1e-6 and abs(b - u - np.log(2)) < 1e-6
