@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from llm import (
     chat_format,
     decontamination,
+    fill_in_middle,
     language_id,
     line_dedup,
     line_quality,
@@ -74,6 +75,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.example_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,7 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_simhash,
         op10_language_id,
+        op12_fill_in_middle,
     )
 }
 
-ORACLE: dict[str, str] = {"op4_preference_format": chat_format.ORACLE_SQL}
+ORACLE: dict[str, str] = {
+    "op4_preference_format": chat_format.ORACLE_SQL,
+    "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
+}
