@@ -18,6 +18,7 @@ from llm import (
     packing,
     pseudo_likelihood,
     simhash,
+    source_audit,
     token_counts,
     toxicity,
 )
@@ -79,6 +80,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.example_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,10 +98,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simhash,
         op10_language_id,
         op12_fill_in_middle,
+        op13_source_audit,
     )
 }
 
 ORACLE: dict[str, str] = {
     "op4_preference_format": chat_format.ORACLE_SQL,
     "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
+    "op13_source_audit": source_audit.ORACLE_SQL,
 }
