@@ -19,6 +19,7 @@ from llm import (
     pseudo_likelihood,
     simhash,
     source_audit,
+    substring_dedup,
     token_counts,
     toxicity,
 )
@@ -76,6 +77,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), digests=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.example_digests(table(spark, sf_dir, "documents"))
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_simhash,
         op10_language_id,
+        op11_substring_dedup,
         op12_fill_in_middle,
         op13_source_audit,
     )
@@ -104,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op4_preference_format": chat_format.ORACLE_SQL,
+    "op11_substring_dedup": substring_dedup.ORACLE_SQL,
     "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
     "op13_source_audit": source_audit.ORACLE_SQL,
 }
