@@ -33,6 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,7 +140,7 @@ def _marks(window: int, seed: int):
 
 
 def _handed_over(window: int):
-    """(key, shape, doc_id, words) of the pieces that are asked of each text; words as 64-bit hashes."""
+    """(key, shape, doc_id, crowded, words) of the pieces that are asked of each text; words as 64-bit hashes."""
 
     def hand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
@@ -153,8 +154,8 @@ def _handed_over(window: int):
             data = [words[a : a + m].tobytes() for a, m in zip(at.tolist(), (n + window - 1).tolist(), strict=True)]
             doc_id = np.repeat(chunk.column("doc_id").to_numpy(), each)
             yield pa.RecordBatch.from_arrays(
-                [fields.field("key"), fields.field("shape"), pa.array(doc_id), pa.array(data, pa.binary())],
-                ["key", "shape", "doc_id", "words"],
+                [*map(fields.field, ("key", "shape")), pa.array(doc_id), fields.field("crowded"), pa.array(data, pa.binary())],
+                ["key", "shape", "doc_id", "crowded", "words"],
             )
 
     return hand
@@ -218,7 +219,7 @@ def _spans_batch(key: list, shape: list, piece: np.ndarray, at: np.ndarray, leng
 
 
 def _parsed(window: int, task_words: int):
-    """Factors of the blocks of a task; rows come sorted by anchor and document."""
+    """Factors of the blocks of a task, crowded ones left out; rows come sorted by anchor and document."""
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, shapes, docs, data, held = [], [], [], [], 0
@@ -230,7 +231,9 @@ def _parsed(window: int, task_words: int):
             return _spans_batch(keys, shapes, *factored(words, ends, block, np.array(docs, np.int64), window))
 
         for batch in batches:
-            for key, shape, doc_id, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            batch = batch.filter(pc.invert(batch.column("crowded")))
+            columns = (batch.column(c).to_pylist() for c in ("key", "shape", "doc_id", "words"))
+            for key, shape, doc_id, words in zip(*columns, strict=True):
                 if keys and key == keys[-1] and shape == shapes[-1]:
                     continue  # a repeated row
                 if held >= task_words and key != keys[-1]:
@@ -248,10 +251,11 @@ def _parsed(window: int, task_words: int):
 
 
 def _windows(window: int):
-    """(key, shape, doc_id, at, phrase) of every window of the pieces."""
+    """(key, shape, doc_id, at, phrase) of every window of the crowded pieces."""
 
     def list_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column("crowded"))
             if not batch.num_rows:
                 continue
             data = batch.column("words").to_pylist()
@@ -274,42 +278,38 @@ def _windows(window: int):
 
 
 def _factors(known: DataFrame, members: DataFrame, window: int, block_pieces: int) -> DataFrame:
-    """(key, shape, spans) of the pieces whose first holder repeats an earlier document in part."""
+    """(key, shape, spans) of the pieces whose first holder repeats an earlier document in part.
+
+    Both ways read the same dealt pieces and leave out the other's themselves: a filter would be
+    pushed below the exchange, and the texts would be dealt for each way again.
+    """
     heads = (
         members.filter("doc_id = first_doc AND n_shapes > 1")
         .groupBy("key", "shape")
         .agg(
             F.min(F.struct("doc_id", "th", "start")).alias("of"),
             F.first("n").alias("n"),
+            (F.first("n_shapes") > block_pieces).alias("crowded"),
         )
     )
-    asked = heads.groupBy(F.col("of.doc_id").alias("doc_id"), F.col("of.th").alias("th")).agg(
-        F.collect_list(F.struct("key", "shape", F.col("of.start").alias("start"), "n")).alias("asked")
+    asked = heads.groupBy(F.col("of.doc_id").alias("own"), F.col("of.th").alias("th")).agg(
+        F.collect_list(F.struct("key", "shape", F.col("of.start").alias("start"), "n", "crowded")).alias("asked")
     )
-    handed = (
-        known.join(asked, ["doc_id", "th"])
+    dealt = (
+        known.join(asked, ["own", "th"])
         .select("doc_id", "text", "asked")
-        .mapInArrow(_handed_over(window), "key long, shape long, doc_id long, words binary")
+        .mapInArrow(_handed_over(window), "key long, shape long, doc_id long, crowded boolean, words binary")
+        # Blocks stay together, crowded pieces are spread.
+        .repartition(F.when(F.col("crowded"), F.col("shape")).otherwise(F.col("key")))
     )
-    crowded = members.filter(F.col("n_shapes") > block_pieces).select("key").distinct()
-    if crowded.isEmpty():
-        return _in_blocks(handed, window)
-    handed = cut(handed)
-    crowded = cut(crowded)
-    listed = handed.join(crowded, "key", "left_semi").mapInArrow(
-        _windows(window), "key long, shape long, doc_id long, at int, phrase long"
-    )
-    listed = cut(listed.dropDuplicates(["key", "shape", "at"]))
+    by_block = dealt.sortWithinPartitions("key", "doc_id", "shape").mapInArrow(_parsed(window, TASK_WORDS), _SPANS)
+    listed = dealt.mapInArrow(_windows(window), "key long, shape long, doc_id long, at int, phrase long")
     earliest = listed.groupBy("key", "phrase").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     hits = listed.join(earliest.filter("first_doc < last_doc"), ["key", "phrase"]).filter("first_doc < doc_id")
     span = F.struct("at", F.lit(window).alias("length"))
-    by_window = hits.groupBy("key", "shape").agg(F.collect_list(span).alias("spans"))
-    return _in_blocks(handed.join(crowded, "key", "left_anti"), window).unionByName(by_window)
-
-
-def _in_blocks(handed: DataFrame, window: int) -> DataFrame:
-    rows = handed.select("key", "shape", "doc_id", "words").repartition("key")
-    return rows.sortWithinPartitions("key", "doc_id", "shape").mapInArrow(_parsed(window, TASK_WORDS), _SPANS)
+    # A set: repeated rows hand over the same pieces.
+    by_window = hits.groupBy("key", "shape").agg(F.collect_set(span).alias("spans"))
+    return by_block.unionByName(by_window)
 
 
 def repeated_spans(
@@ -320,12 +320,12 @@ def repeated_spans(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, th, covers) of the documents with repeated passages.
+    """(own, th, covers) of the documents with repeated passages.
 
-    ``th`` is ``xxhash64`` of the text; each cover is ``first word << 32 | words``, covers may overlap.
+    ``own`` is the id, ``th`` a hash of the text; each cover is ``first word << 32 | words``, covers may overlap.
     """
     known = _known(docs, id_col, text_col)
-    marks = cut(known.filter("doc_id IS NOT NULL").mapInArrow(_marks(window, seed), _MARKS))
+    marks = cut(known.filter("doc_id IS NOT NULL").select("doc_id", "th", "text").mapInArrow(_marks(window, seed), _MARKS))
     by_shape = marks.groupBy("key", "shape").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     by_key = (
         by_shape.groupBy("key")
@@ -349,11 +349,18 @@ def repeated_spans(
         .select("doc_id", "th", "start", F.inline("spans"))
         .select("doc_id", "th", (F.col("start") + F.col("at")).alias("start"), "length")
     )
-    return whole.unionByName(parts).groupBy("doc_id", "th").agg(F.collect_list(span_of).alias("covers"))
+    spans = whole.unionByName(parts).groupBy(F.col("doc_id").alias("own"), "th")
+    return spans.agg(F.collect_list(span_of).alias("covers"))
 
 
 def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    """(own, th, doc_id, text): ``own`` and ``th`` tell documents apart and are never null.
+
+    So neither of the two joins by them adds a filter, and Spark deals the texts once for both.
+    """
+    th = F.xxhash64(F.col("text"), F.col("doc_id").isNull())
+    own = F.coalesce(F.col("doc_id"), F.lit(0).cast("long"))
+    return texts(docs, id_col, text_col).select(own.alias("own"), th.alias("th"), "doc_id", "text")
 
 
 def _kept(digests: bool):
@@ -412,7 +419,8 @@ def without_repeats(
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row: the words that stay, joined by blanks, or their SHA-256."""
     covers = repeated_spans(docs, window, seed, block_pieces, id_col, text_col)
-    joined = _known(docs, id_col, text_col).join(covers, ["doc_id", "th"], "left").select(
+    known = _known(docs, id_col, text_col)
+    joined = known.join(covers, ["own", "th"], "left").select(
         "doc_id", "text", F.coalesce("covers", F.array().cast("array<bigint>")).alias("covers")
     )
     return joined.mapInArrow(_kept(digests), "doc_id long, n_words long, n_removed long, kept string")
