@@ -23,7 +23,7 @@ def frequent_items(pairs: DataFrame, min_support: int = 3) -> DataFrame:
     )
 
 
-def _blocked_pairs(rows: DataFrame, group: list[str], item: str, block: int) -> DataFrame:
+def blocked_pairs(rows: DataFrame, group: list[str], item: str, block: int) -> DataFrame:
     """Rows of one group joined with each other as columns a_* and b_*, a's item smaller.
 
     A group is hashed into blocks of about ``block`` rows, and each pair of blocks is
@@ -82,7 +82,7 @@ def frequent_pairs(pairs: DataFrame, min_support: int = 3, block: int = PAIR_BLO
     rows = kept.join(lists, "uid", "left").select(
         "cluster_id", "uid", F.coalesce("aside", F.array().cast("array<int>")).alias("aside")
     )
-    met = _blocked_pairs(rows, ["cluster_id"], "uid", block)
+    met = blocked_pairs(rows, ["cluster_id"], "uid", block)
     found = cut(
         met.groupBy("a_uid", "b_uid", "a_aside", "b_aside").agg(F.count(F.lit(1)).alias("shared"))
     )
@@ -138,7 +138,7 @@ def frequent_itemsets(
             F.slice("items", 1, length - 2).alias("stem"),
             F.element_at("items", -1).alias("tip"),
         )
-        grown = _blocked_pairs(ends, ["stem"], "tip", block).select(
+        grown = blocked_pairs(ends, ["stem"], "tip", block).select(
             F.concat("stem", F.array("a_tip", "b_tip")).alias("items")
         )
         for drop in range(length - 2):

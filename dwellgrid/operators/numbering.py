@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from dwellgrid.lineage import cut
@@ -97,3 +103,30 @@ def with_previous(
         *keys, (F.col("_nth") + 1).alias("_nth"), *[F.col(c).alias(f"prev_{c}") for c in columns]
     )
     return rows.join(before, [*keys, "_nth"], "left").drop("_nth")
+
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` (whole numbers) over all rows up to each row in ``order``, without gathering rows in one task.
+
+    Rows are range-partitioned and sorted; a row's total is the sum inside its partition plus the sums of the
+    partitions before it (one number per partition). Rows that are equal in ``order`` follow each other in any order.
+    """
+
+    def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sums = np.cumsum(batch.column(value).to_numpy(zero_copy_only=False)) + total
+            total = int(sums[-1]) if len(sums) else total
+            parts = pa.array(np.full(len(sums), part, np.int64))
+            yield batch.append_column("_part", parts).append_column(name, pa.array(sums, pa.int64()))
+
+    schema = StructType([*df.schema.fields, StructField("_part", LongType()), StructField(name, LongType())])
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(add_up, schema))
+    sums = placed.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    # One row per partition, as in ``number_all``.
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    return (
+        placed.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col(name) + F.col("_before"))
+        .drop("_part", "_before")
+    )

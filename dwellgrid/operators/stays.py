@@ -66,7 +66,8 @@ def _whole_trajectories(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]
         yield pa.concat_tables(held)
 
 
-def _stays_of(table: pa.Table, reach: float, dwell: float, exact: bool) -> pa.RecordBatch:
+def stays_of(table: pa.Table, reach: float, dwell: float, exact: bool) -> pa.Table:
+    """Stays of whole trajectories whose rows stand one behind the other, in order."""
     lat = table.column("lat").to_numpy()
     lon = table.column("lon").to_numpy()
     firsts = np.append(0, _changes(table))
@@ -92,7 +93,7 @@ def scan_whole(points: DataFrame, reach: float, dwell: float, order: Sequence[st
 
     def scan(batches):
         for table in _whole_trajectories(batches):
-            yield from _stays_of(table, reach, dwell, exact).to_batches()
+            yield from stays_of(table, reach, dwell, exact).to_batches()
 
     return (
         points.select("uid", "traj_id", *order, "lat", "lon", *(["ts"] if "ts" not in order else []))

@@ -206,6 +206,7 @@ def oracle_statements() -> dict[str, str]:
         f"cells AS (SELECT CAST(floor(x / {side}) AS BIGINT) AS cx, CAST(floor(y / {side}) AS BIGINT) AS cy,"
         " count(*) AS n_points FROM xy GROUP BY 1, 2)",
     ]
+    nations = "rects AS (" + registry.NATION_RECTS.format(nation="nation") + ")"
     stays = [_POINTS, _stays(_whole_metres, 200, 1200)]
     near_only = [*stays, _LABELS]
     labels = near_only
@@ -263,6 +264,31 @@ def oracle_statements() -> dict[str, str]:
             f" WHERE cx * {side} >= {x1} AND (cx + 1) * {side} <= {x2}"
             f" AND cy * {side} >= {y1} AND (cy + 1) * {side} <= {y2}",
         ),
+        "points_in_rects": _with(
+            [*plane, nations],
+            "SELECT r.rect_id, xy.event_id FROM xy JOIN rects r"
+            " ON xy.x BETWEEN r.x AND r.x2 AND xy.y BETWEEN r.y AND r.y2",
+        ),
+        "rect_counts": _with(
+            [*cells, nations],
+            "SELECT r.rect_id, CAST(coalesce(sum(c.n_points), 0) AS BIGINT) AS n_points FROM rects r LEFT JOIN cells c"
+            f" ON c.cx * {side} >= r.x AND (c.cx + 1) * {side} <= r.x2"
+            f" AND c.cy * {side} >= r.y AND (c.cy + 1) * {side} <= r.y2 GROUP BY r.rect_id",
+        ),
+        "points_file_plan": _with(
+            [
+                *points,
+                "trips AS (SELECT uid, traj_id, CAST(sum(strlen(CAST(lat AS VARCHAR) || ',' || CAST(lon AS VARCHAR) || ',' ||"
+                " strftime(ts, '%Y-%m-%d %H:%M:%S')) + 2) + any_value(strlen(uid)) AS BIGINT) AS n_bytes"
+                " FROM pts GROUP BY uid, traj_id)",
+                "placed AS (SELECT *, sum(n_bytes) OVER (ORDER BY uid, traj_id) - n_bytes AS start,"
+                " sum(n_bytes) OVER (PARTITION BY uid) AS user_bytes FROM trips)",
+                "filed AS (SELECT uid, n_bytes, CASE WHEN user_bytes <= 16384 THEN min(start) OVER (PARTITION BY uid)"
+                " ELSE start END // 16384 AS file_no FROM placed)",
+            ],
+            "SELECT uid, CAST(file_no AS INT) AS file_no, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM filed GROUP BY uid, file_no",
+        ),
+        "stay_points_sql": _with(stays, f"SELECT {_COLUMNS} FROM stays"),
         "stay_points": _with(stays, f"SELECT {_COLUMNS} FROM stays"),
         "stay_points_in_pieces": _with(stays, f"SELECT {_COLUMNS} FROM stays"),
         **dict.fromkeys(
@@ -345,6 +371,30 @@ def oracle_statements() -> dict[str, str]:
             " JOIN ur c ON a.cluster_id = c.cluster_id AND b.uid < c.uid"
             " GROUP BY a.uid, b.uid, c.uid HAVING count(*) >= 3",
         ),
+        "frequent_maximal_sets": _with(
+            [
+                *ur,
+                # Every largest set is the users of some three regions.
+                "shared AS MATERIALIZED (SELECT DISTINCT list_sort(list(a.uid)) AS users FROM ur a"
+                " JOIN ur b ON b.uid = a.uid AND b.cluster_id > a.cluster_id"
+                " JOIN ur c ON c.uid = a.uid AND c.cluster_id > b.cluster_id"
+                " GROUP BY a.cluster_id, b.cluster_id, c.cluster_id)",
+                "largest AS MATERIALIZED (SELECT users FROM shared s WHERE NOT EXISTS (SELECT 1 FROM shared o"
+                " WHERE len(o.users) > len(s.users) AND list_has_all(o.users, s.users)))",
+                "known AS MATERIALIZED (SELECT cluster_id, list(uid) AS visitors FROM ur GROUP BY cluster_id)",
+            ],
+            "SELECT array_to_string(users, ',') AS items, count(*) AS freq FROM largest"
+            " JOIN known ON list_has_all(visitors, users) GROUP BY users",
+        ),
+        "users_within_hops": _with(
+            [
+                *sim,
+                "starts AS (SELECT DISTINCT min(uid) AS uid FROM ur GROUP BY cluster_id)",
+                "hopped AS (SELECT uid, uid AS reached, 0 AS hops FROM starts"
+                " UNION SELECT w.uid, s.other_uid, w.hops + 1 FROM hopped w JOIN sim s ON s.uid = w.reached WHERE w.hops < 6)",
+            ],
+            "SELECT uid, reached, CAST(min(hops) AS INT) AS hops FROM hopped WHERE reached <> uid GROUP BY uid, reached",
+        ),
         "similar_users": _with(sim, "SELECT uid, other_uid, support FROM sim"),
         "similar_users_text": _with(
             sim,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.functions.geo import Rect
 from dwellgrid.operators import dbscan, itemsets, recommend, regions, stays, steps, visits
+from dwellgrid.operators.area_counts import counts_in_rects
 from dwellgrid.operators.cells import (
     bounding_box,
     cell_bounds,
@@ -17,10 +18,14 @@ from dwellgrid.operators.cells import (
     to_plane,
 )
 from dwellgrid.operators.components import connected_components
+from dwellgrid.operators.maximal_sets import frequent_maximal_sets
+from dwellgrid.operators.reach import reached
+from dwellgrid.operators.rectangles import points_in_rects
+from dwellgrid.operators.table_functions import register_table_functions
 from dwellgrid.plans.event_view import EVENT_ORDER, event_points, event_positions, micro_mean
 from dwellgrid.plans.pipeline import Params, TrajectoryPipeline
 from dwellgrid.sources import stages
-from dwellgrid.sources.tracks import parse_track_lines, parse_trajectory_lines, trajectory_lines
+from dwellgrid.sources.tracks import parse_track_lines, parse_trajectory_lines, points_file_plan, trajectory_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -31,6 +36,15 @@ CELL_SIDE = 200.0
 MARKER_CLUSTER = 4
 PIECE_ROWS = 12
 PARSED_LINE_ITEMS = 16
+PLAN_BYTES = 1 << 14
+
+# A rectangle for each nation: neighbours overlap, and those of a region are of one size.
+NATION_RECTS = """
+SELECT n_nationkey AS rect_id, 32982000.0 + 300 * n_nationkey AS x, 6811000.0 + 170 * n_nationkey AS y,
+       32982000.0 + 300 * n_nationkey + 900 * (n_regionkey + 1) AS x2,
+       6811000.0 + 170 * n_nationkey + 500 * (n_regionkey + 1) AS y2
+FROM {nation}
+"""
 
 _STAY = ["uid", "traj_id", "stay_seq"]
 
@@ -164,6 +178,44 @@ def rect_count(spark, sf_dir):
     return count_in_rect(cell_bounds(cells, CELL_SIDE), Rect(*RECT))
 
 
+def _nation_rects(spark, sf_dir):
+    rects = spark.sql(NATION_RECTS, nation=spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    return rects.select("rect_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "x2", "y2")])
+
+
+@query
+def points_in_rects_query(spark, sf_dir):
+    """Every point of every nation's rectangle."""
+    planar = to_plane(event_positions(spark, sf_dir)).select("event_id", "x", "y")
+    return points_in_rects(planar, _nation_rects(spark, sf_dir)).select("rect_id", "event_id")
+
+
+@query
+def rect_counts(spark, sf_dir):
+    """Points of the cells wholly inside every nation's rectangle."""
+    cells = cell_histogram(to_plane(event_positions(spark, sf_dir)), CELL_SIDE)
+    return counts_in_rects(cells, _nation_rects(spark, sf_dir), CELL_SIDE).select("rect_id", "n_points")
+
+
+@query
+def points_file_plan_query(spark, sf_dir):
+    """Bytes of each user in each file, files rolling at user boundaries."""
+    plan = points_file_plan(event_points(spark, sf_dir), PLAN_BYTES)
+    return plan.groupBy("uid", "file_no").agg(F.sum("n_bytes").alias("n_bytes"))
+
+
+@query
+def stay_points_sql(spark, sf_dir):
+    """Stay points by the table function."""
+    register_table_functions(spark)
+    found = spark.sql(
+        "SELECT * FROM stay_points(TABLE(SELECT uid, traj_id, sec, event_id, lat, lon, ts FROM {points})"
+        " PARTITION BY (uid, traj_id) ORDER BY (sec, event_id), 200.0, 1200)",
+        points=event_positions(spark, sf_dir),
+    )
+    return _in_micro_degrees(found)
+
+
 @query
 def stay_points(spark, sf_dir):
     return _in_micro_degrees(_pipeline(spark, sf_dir).stays)
@@ -306,6 +358,22 @@ def frequent_triples(spark, sf_dir):
     )
 
 
+@query
+def frequent_maximal_sets_query(spark, sf_dir):
+    sets = frequent_maximal_sets(_pipeline(spark, sf_dir).region_user, Params.min_support)
+    members = F.array_join(F.sort_array(F.collect_list("uid")), ",")
+    return sets.groupBy("set_id").agg(members.alias("items"), F.first("support").alias("freq")).drop("set_id")
+
+
+@query
+def users_within_hops(spark, sf_dir):
+    """Users that the first user of each region reaches by similar users, and in how many steps."""
+    run = _pipeline(spark, sf_dir)
+    starts = run.region_user.groupBy("cluster_id").agg(F.min("uid").alias("uid")).select("uid")
+    found = reached(run.similar, starts, src="uid", dst="other_uid")
+    return found.select(F.col("start").alias("uid"), F.col("node").alias("reached"), "hops")
+
+
 @query
 def similar_users(spark, sf_dir):
     return _pipeline(spark, sf_dir).similar

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from dwellgrid.functions.geo import parse_ts
 from dwellgrid.functions.text import FIELD_SEP, KEY_SEP, LINE_ITEMS, STEP_SEP, TS_FORMAT, joined_lines, keyed_lines
-from dwellgrid.operators.numbering import number_in_groups
+from dwellgrid.lineage import cut
+from dwellgrid.operators.numbering import number_in_groups, running_total
 
 # Header lines of a track file and the fields that are kept.
 HEADER_LINES = 6
@@ -16,8 +17,8 @@ LAT_FIELD, LON_FIELD, DATE_FIELD, TIME_FIELD = 0, 1, 5, 6
 # Largest track file whose lines one task numbers.
 TRACK_BYTES = 64 << 20
 
-# Rows per output file; a row takes some 50 bytes of text.
-FILE_ROWS = 1_000_000
+# Bytes of trajectory text whose points go to one file of the compact table.
+FILE_BYTES = 256 << 20
 
 _IN_TREE = r"/([^/]+)/[^/]+/([^/]+)$"
 
@@ -104,16 +105,55 @@ def parse_track_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def write_points(points: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Compact table: rows sorted by trajectory in files of even size.
+def _step(lat: str = "lat", lon: str = "lon", ts: str = "ts") -> Column:
+    return F.concat_ws(FIELD_SEP, F.col(lat), F.col(lon), F.date_format(ts, TS_FORMAT))
 
-    Rebalancing gathers small partitions and splits those a big trajectory makes.
+
+def points_file_plan(points: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """uid, traj_id, n_bytes, file_no, start, row_bytes: the file of each trajectory when files roll at user boundaries.
+
+    Sizes are those of the trajectories' text lines. Users follow each other in text order; a user goes
+    to the file in which their first byte falls, as a whole, so a file exceeds ``file_bytes`` by its last user
+    at most. Only a user larger than a file is divided, by trajectories, and only a trajectory larger than a file
+    is divided by rows: row ``seq`` goes to the file of byte ``start + seq * row_bytes``. For others ``row_bytes`` is NULL.
+    Sizes are summed per trajectory before anything is sorted; the running sum is dealt in ranges.
     """
+    trips = points.groupBy("uid", "traj_id").agg(
+        F.sum(F.octet_length(_step()) + 2).alias("steps"), F.count(F.lit(1)).alias("n_rows")
+    )
+    sized = trips.select("uid", "traj_id", "n_rows", (F.col("steps") + F.octet_length("uid")).alias("n_bytes"))
+    placed = cut(running_total(sized, ["uid", "traj_id"], "n_bytes", "upto"))
+    users = placed.groupBy("uid").agg(
+        F.min(F.col("upto") - F.col("n_bytes")).alias("user_start"), F.sum("n_bytes").alias("user_bytes")
+    )
+    start = F.when(F.col("user_bytes") <= file_bytes, F.col("user_start")).otherwise(F.col("upto") - F.col("n_bytes"))
+    return placed.join(users, "uid").select(
+        "uid",
+        "traj_id",
+        "n_bytes",
+        F.floor(start / F.lit(file_bytes)).cast("int").alias("file_no"),
+        start.alias("start"),
+        F.when(F.col("n_bytes") > file_bytes, F.col("n_bytes") / F.col("n_rows")).alias("row_bytes"),
+    )
+
+
+def write_points(points: DataFrame, path: str, mode: str = "overwrite", file_bytes: int = FILE_BYTES) -> None:
+    """Compact table: rows sorted by trajectory, in files that roll at user boundaries as ``points_file_plan`` has it.
+
+    A file's number is the number of the task that writes it. The points are evaluated twice: for sizes, and to be written.
+    """
+    plan = cut(points_file_plan(points, file_bytes))
+    at = F.col("start") + F.col("seq") * F.coalesce("row_bytes", F.lit(0.0))
+    dealt = points.join(plan.select("uid", "traj_id", "start", "row_bytes"), ["uid", "traj_id"]).withColumn(
+        "file_no", F.floor(at / F.lit(file_bytes)).cast("int")
+    )
+    end = F.col("start") + F.when(F.col("row_bytes").isNotNull(), F.col("n_bytes")).otherwise(0)
+    last = plan.agg(F.floor(F.max(end) / F.lit(file_bytes)).cast("int").alias("last")).first().last or 0
     (
-        points.hint("rebalance", "uid", "traj_id")
+        dealt.repartitionById(last + 1, F.col("file_no"))
         .sortWithinPartitions("uid", "traj_id", "seq")
-        .write.option("maxRecordsPerFile", FILE_ROWS)
-        .mode(mode)
+        .select(*points.columns)
+        .write.mode(mode)
         .parquet(path)
     )
 
@@ -130,8 +170,7 @@ def trajectory_lines(points: DataFrame, line_items: int = LINE_ITEMS) -> DataFra
 
     Lines of a trajectory that takes more than one end in ``<TAB>place,traj_id``.
     """
-    step = F.concat_ws(FIELD_SEP, F.col("lat"), F.col("lon"), F.date_format("ts", TS_FORMAT))
-    return keyed_lines(joined_lines(points, ["uid", "traj_id"], "seq", step, STEP_SEP, line_items))
+    return keyed_lines(joined_lines(points, ["uid", "traj_id"], "seq", _step(), STEP_SEP, line_items))
 
 
 def write_trajectory_text(
