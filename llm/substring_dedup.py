@@ -44,7 +44,7 @@ WINDOW = 50
 #: Words of an anchor.
 SEED = 8
 #: Different pieces of an anchor that make a block for one task.
-BLOCK_PIECES = 4096
+BLOCK_PIECES = 512
 #: Words of whole blocks that a task factors at a time.
 TASK_WORDS = 1 << 20
 #: Bytes, and words, of a long text that are worked on at a time.
