@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.lineage import cut
-from dwellgrid.operators.itemsets import PAIR_BLOCK, blocked_pairs, frequent_pairs
+from dwellgrid.operators.itemsets import PAIR_BLOCK, blocked_pairs
+from dwellgrid.operators.profiles import profile_pairs, user_profiles
 
 # Items of a prefix class that one task searches; larger classes are split by their next item first.
 CLASS_ITEMS = 2000
@@ -36,30 +37,13 @@ def _bits(words: Column | str) -> Column:
     return F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w))
 
 
-def _profiles(pairs: DataFrame, min_support: int) -> tuple[DataFrame, DataFrame]:
-    """(uid, profile) and (profile, regions, n): users with equal regions are one item, named by the least of them."""
-    users = (
-        pairs.select("uid", "cluster_id")
-        .filter("uid IS NOT NULL AND cluster_id IS NOT NULL")
-        .groupBy("uid")
-        .agg(F.sort_array(F.collect_set("cluster_id")).alias("regions"))
-        .filter(F.size("regions") >= min_support)
-    )
-    users = cut(users)
-    profiles = users.groupBy("regions").agg(F.min("uid").alias("profile"))
-    profiles = cut(profiles.select("profile", "regions", F.size("regions").alias("n")))
-    return users.join(profiles, "regions").select("uid", "profile"), profiles
-
-
 def _classes(profiles: DataFrame, min_support: int, block: int) -> DataFrame:
     """(prefix, head, item, n, words, later): items that share enough regions with the one of the prefix.
 
     Bitmaps stand for the prefix's regions. Items are ordered by their number of regions, then by name; a class
     grows by later items only, the others tell whether a set can still be enlarged.
     """
-    rows = profiles.select(F.col("profile").alias("uid"), F.explode("regions").alias("cluster_id"))
-    found = frequent_pairs(rows, min_support, block).select(F.col("uid").alias("a"), F.col("other_uid").alias("b"))
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = profile_pairs(profiles, min_support, block)
     own = profiles.select(F.col("profile").alias("a"), F.col("regions").alias("own"), F.col("n").alias("own_n"))
     other = profiles.select(F.col("profile").alias("b"), F.col("regions").alias("other"), "n")
     places = F.filter(
@@ -173,7 +157,7 @@ def frequent_maximal_sets(
     A user's regions are one row. The number of sets may be exponential in the regions that users share, as the
     question has it.
     """
-    members, profiles = _profiles(pairs, min_support)
+    members, profiles = user_profiles(pairs, min_support)
     classes = cut(_classes(profiles, min_support, block))
     alone = profiles.join(classes.select(F.col("prefix")[0].alias("profile")).distinct(), "profile", "left_anti")
     sets = alone.select(F.array("profile").alias("profiles"), F.col("n").cast("bigint").alias("support"))

@@ -39,22 +39,78 @@ def recommend_regions(
     )
     if len(known) > 1:
         fresh = fresh.groupBy("uid", "cluster_id").agg(F.min("pick").alias("pick"))
-    fresh = fresh.select("uid", "cluster_id", "pick.round", "pick.other_uid")
-    picks = W.partitionBy("uid").orderBy("round", "other_uid")
-    rounds = W.partitionBy("uid").orderBy("round")
-    # The cut to top_n comes first: it reaches below the shuffle, and the rounds without
-    # a gap are a prefix of the picks either way.
+    return _picked(fresh, "uid", top_n)
+
+
+def _picked(fresh: DataFrame, to: str, top_n: int) -> DataFrame:
+    """``to``, position, cluster_id: the first ``top_n`` of the new regions, up to the first round without one.
+
+    The cut to ``top_n`` comes first: it reaches below the shuffle, and the rounds without
+    a gap are a prefix of the picks either way.
+    """
+    fresh = fresh.select(to, "cluster_id", "pick.round", "pick.other_uid")
+    picks = W.partitionBy(to).orderBy("round", "other_uid")
+    rounds = W.partitionBy(to).orderBy("round")
     return (
         fresh.withColumn("position", F.row_number().over(picks))
         .filter(F.col("position") <= top_n)
         .withColumn("nth_round", F.dense_rank().over(rounds))
         .filter(F.col("nth_round") == F.col("round") + 1)
-        .select("uid", "position", "cluster_id")
+        .select(to, "position", "cluster_id")
+    )
+
+
+def recommend_by_profile(
+    ranked: DataFrame,
+    members: DataFrame,
+    profiles: DataFrame,
+    pairs: DataFrame,
+    top_n: int = 6,
+    exclude: str = "region",
+) -> DataFrame:
+    """What ``recommend_regions`` gives where similar users are those who share enough regions, without listing them.
+
+    ``members`` and ``profiles`` are from ``user_profiles``, ``pairs`` from ``profile_pairs``. Of the users of a
+    profile only the earliest offer of each region counts for others, so profiles, not users, are paired. Without
+    counts, all users of a profile know the same regions and get the same picks, which are handed to them last. With counts, users are told
+    apart once the offers to their profile are down to one for each region and count.
+    """
+    known = {"region": ["cluster_id"], "region_and_count": ["cluster_id", "visits"]}[exclude]
+    earliest = F.min("pick").alias("pick")
+    offers = (
+        ranked.filter(F.col("rank") <= top_n)
+        .join(members, "uid")
+        .select(
+            F.col("profile").alias("b"),
+            "cluster_id",
+            "visits",
+            F.struct((F.col("rank") - 1).alias("round"), F.col("uid").alias("other_uid")).alias("pick"),
+        )
+        .groupBy("b", *known)
+        .agg(earliest)
+    )
+    if exclude == "region":
+        own = profiles.select(F.col("profile").alias("a"), F.explode("regions").alias("cluster_id"))
+        fresh = pairs.join(offers, "b").groupBy("a", *known).agg(earliest).join(own, ["a", "cluster_id"], "left_anti")
+        picked = _picked(fresh, "a", top_n).withColumnRenamed("a", "profile")
+        return members.join(picked, "profile").select("uid", "position", "cluster_id")
+    # Users of one profile are similar to each other; a user's own offers are known to them.
+    itself = profiles.select(F.col("profile").alias("a"), F.col("profile").alias("b"))
+    fresh = (
+        pairs.unionByName(itself)
+        .join(offers, "b")
+        .groupBy(F.col("a").alias("profile"), *known)
+        .agg(earliest)
+        .join(members, "profile")
+        .join(ranked.select("uid", *known), ["uid", *known], "left_anti")
+        .groupBy("uid", "cluster_id")
+        .agg(earliest)
     )
+    return _picked(fresh, "uid", top_n)
 
 
 def recommendation_lines(similar: DataFrame, picked: DataFrame) -> DataFrame:
-    """uid, line for every user with similar users, regions in natural order."""
+    """uid, line for every user with similar users (``uid`` of ``similar``), regions in natural order."""
     lists = picked.groupBy("uid").agg(
         F.array_join(natural_sorted(F.collect_list(F.col("cluster_id").cast("string"))), FIELD_SEP).alias("line")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellgrid.lineage import cut
-from dwellgrid.operators import itemsets, recommend, regions, visits
+from dwellgrid.operators import itemsets, profiles, recommend, regions, visits
 from dwellgrid.operators.dbscan import STAY_KEY, dbscan
 from dwellgrid.operators.numbering import runs_short
 from dwellgrid.operators.stays import stay_points
@@ -33,7 +33,7 @@ class Params:
 
 
 class TrajectoryPipeline:
-    """Stages as lazy DataFrames; those used more than once are evaluated once.
+    """Stages as DataFrames, built when asked for; those used more than once are evaluated once, as they are built.
 
     With ``out`` every stage is written there and the next one reads the table; without
     it, reused stages go to the session's checkpoint folder.
@@ -95,16 +95,21 @@ class TrajectoryPipeline:
     def similar(self) -> DataFrame:
         return self._kept(itemsets.similar_users(self.pairs), "similar")
 
+    @cached_property
+    def _profiled(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        members, found = profiles.user_profiles(self.region_user, self.params.min_support)
+        return members, found, cut(profiles.profile_pairs(found, self.params.min_support))
+
     @cached_property
     def recommended(self) -> DataFrame:
         p = self.params
         return self._passed(
-            recommend.recommend_regions(self.similar, self.user_region, p.top_n, p.exclude), "recommended"
+            recommend.recommend_by_profile(self.user_region, *self._profiled, p.top_n, p.exclude), "recommended"
         )
 
     @property
     def recommendation_lines(self) -> DataFrame:
-        return recommend.recommendation_lines(self.similar, self.recommended)
+        return recommend.recommendation_lines(profiles.users_with_similar(*self._profiled), self.recommended)
 
     def create_views(self, prefix: str = "") -> None:
         """Temporary views of the stages, for SQL."""
@@ -147,6 +152,8 @@ def run(
     remove_path(spark, out)
     pipeline = TrajectoryPipeline(prepare_points(spark, tracks, points), params, out=out)
     result = pipeline.recommended
+    # The recommendations don't need the list of similar users, but it is a stage of its own.
+    pipeline.similar  # noqa: B018
     if text:
         pipeline.write_text(f"{out}/text")
     if markers is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellgrid.functions.geo import Rect
-from dwellgrid.operators import dbscan, itemsets, recommend, regions, stays, steps, visits
+from dwellgrid.operators import dbscan, itemsets, regions, stays, steps, visits
 from dwellgrid.operators.area_counts import counts_in_rects
 from dwellgrid.operators.cells import (
     bounding_box,
@@ -406,5 +406,4 @@ def recommend_text(spark, sf_dir):
 
 @query
 def recommend_text_compat(spark, sf_dir):
-    run = _pipeline(spark, sf_dir, exclude="region_and_count")
-    return recommend.recommendation_lines(run.similar, run.recommended)
+    return _pipeline(spark, sf_dir, exclude="region_and_count").recommendation_lines
