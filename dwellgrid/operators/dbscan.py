@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from dwellgrid.functions.geo import grid_index, planar_distance_sq
 from dwellgrid.lineage import cut
 from dwellgrid.operators.cells import to_plane
-from dwellgrid.operators.components import component_roots
+from dwellgrid.operators.components import ONE_TASK_EDGES, component_roots
 from dwellgrid.operators.numbering import number_all
 
 STAY_KEY = ["uid", "traj_id", "stay_seq"]
 
 # Point pairs of two boxes that are compared directly rather than split further.
-DIRECT_PAIRS = 4096
+DIRECT_PAIRS = 1 << 16
 
 _ROW = 1 << 32
 _REACH = range(-2, 3)
@@ -184,12 +184,15 @@ def _meetings(
             planar_distance_sq("a_x", "a_y", "b_x", "b_y") <= eps_sq
         )
         large = rest.filter(~small)
-        if once:
+        last = large.isEmpty()
+        if once and not last:
             cells = ["a_cell", "b_cell"]
             met = cut(met.select(*cells).distinct())
             large = large.join(sure.select(*cells).unionByName(met).distinct(), cells, "left_anti")
+        elif once:
+            met = met.select("a_cell", "b_cell").distinct()
         yield level, sure, met
-        if large.isEmpty():
+        if last:
             return
         level += 1
         busy = F.array("b_cell") if points_a else F.array("a_cell", "b_cell")
@@ -302,7 +305,7 @@ def dbscan(
         .select("a_cell", "b_cell")
         .unionByName(_dense_links(coords, near, eps, side))
     )
-    roots = component_roots(links, "a_cell", "b_cell")
+    roots = component_roots(links, "a_cell", "b_cell", ONE_TASK_EDGES)
 
     # Cells with core points and each one's smallest core key.
     sparse_keys = (

@@ -17,7 +17,7 @@ from dwellgrid.operators.cells import (
     count_in_rect,
     to_plane,
 )
-from dwellgrid.operators.components import connected_components
+from dwellgrid.operators.components import ONE_TASK_EDGES, connected_components
 from dwellgrid.operators.maximal_sets import frequent_maximal_sets
 from dwellgrid.operators.reach import reached
 from dwellgrid.operators.rectangles import points_in_rects
@@ -386,7 +386,7 @@ def similar_users_text(spark, sf_dir):
 
 @query
 def connected_components_query(spark, sf_dir):
-    return connected_components(_pipeline(spark, sf_dir).similar, "uid", "other_uid")
+    return connected_components(_pipeline(spark, sf_dir).similar, "uid", "other_uid", ONE_TASK_EDGES)
 
 
 @query

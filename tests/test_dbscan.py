@@ -1,6 +1,7 @@
 import random
 
 import brute
+import pytest
 from dwellgrid.operators import dbscan as db
 from dwellgrid.operators.components import connected_components
 
@@ -96,3 +97,17 @@ def test_rows_without_coordinates_stay_as_noise(spark):
     counts = {r.stay_seq: r.n_neighbours for r in db.neighbour_counts(df).collect()}
     assert counts == {0: 4, 1: 4, 2: 4, 3: 4, 4: 0, 5: 0, 6: 0}
     assert db.core_points(df).count() == 4
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "bigint"])
+def test_components_in_one_task_equal_those_in_rounds(spark, kind):
+    rng = random.Random(5)
+    ends = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 264)]
+    rng.shuffle(ends)
+    edges = spark.createDataFrame(ends, "src int, dst int").selectExpr(
+        *[f"cast({c} - 60 as {kind}) AS {c}" for c in ("src", "dst")]
+    )
+    rounds = sorted(tuple(r) for r in connected_components(edges).collect())
+    assert sorted(tuple(r) for r in connected_components(edges, one_task=1000).collect()) == rounds
+    assert sorted(tuple(r) for r in connected_components(edges, one_task=10).collect()) == rounds
+    assert connected_components(edges.limit(0), one_task=10).collect() == []
