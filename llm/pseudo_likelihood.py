@@ -6,11 +6,15 @@ whole corpus are classes of their own, all others share hash classes. A word of
 conditional probability times its share in the class, which follows from the counts of all words: ``(n + 1) / (N + V +
 1)`` for a word seen ``n`` times in a class of ``V`` words seen ``N`` times in all; what is left is for unseen words.
 
-Word counts cover all documents. Training covers all documents as well: in each round every task runs over its texts
-from the weights of the round before, masking one token in ``MASKED`` at a time until its share of them is through, so
-that after ``ROUNDS`` rounds every token was masked once, and the tasks'
-weights are averaged by the number of tokens, summed before they are gathered. So what is learned grows with the
-corpus, and no task or driver holds more than one network.
+1. Word counts cover all documents. The counts of the ``HOT_WORDS`` most frequent words go along with the scan.
+2. One scan turns every text into its classes, a byte a word, with the shares of hot words added up and the other words
+   listed; training and scoring read this table.
+3. Training covers all documents. Documents are dealt by a hash of id and classes to units of about ``UNIT_TOKENS``
+   tokens and sorted there, so the model does not depend on files or partitions. In each round every unit starts
+   with the weights of the round before and masks one token in ``MASKED`` at a time until its share is through; after
+   ``ROUNDS`` rounds every token was masked once. Weights are averaged by the number of tokens, summed before they
+   are gathered. The network has one size; what grows with the corpus are the word counts, and the units it is fitted to.
+4. The words that are not hot are joined with their counts.
 
 * Null and empty texts, and those without a word: 0 tokens, sum 0, mean null.
 * Repeated rows get equal scores; null ids are scored. No rows: no rows. No words at all: an untrained network.
@@ -34,7 +38,13 @@ CLASSES = TOP_WORDS + HASHED + 1
 EDGE = CLASSES - 1  # what stands before and after a text
 SIDE = 2
 WIDTH, HIDDEN = 16, 32
-MASKED, ROUNDS, BATCH, RATE = 16, 2, 256, 0.3
+MASKED, ROUNDS, BATCH, RATE = 16, 4, 256, 0.3
+#: Tokens of a unit, and most units; beyond, units grow.
+UNIT_TOKENS, MOST_UNITS = 4_000_000, 20_000
+#: Words whose counts every task holds: 1 MB.
+HOT_WORDS = 65_536
+#: Tokens that a task learns from, or scores, at a time.
+CHUNK_TOKENS = 1 << 17
 SCORING_BATCH = 2048
 #: Different words a task counts before it hands them on.
 COUNTED = 200_000
@@ -116,12 +126,16 @@ class Classes:
         if len(self._hashes):
             at = np.minimum(np.searchsorted(self._hashes, h), len(self._hashes) - 1)
             found = np.where(self._hashes[at] == h, self._numbers[at], found)
-        n = len(column)
-        text_of = np.repeat(np.arange(n), np.diff(firsts))
-        out = np.full(len(found) + 2 * SIDE * n, EDGE, np.int64)
-        places = np.arange(len(found)) + SIDE * (2 * text_of + 1)
-        out[places] = found
-        return out, places, h
+        return *with_edges(found, np.diff(firsts)), h
+
+
+def with_edges(found: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(classes with ``SIDE`` edges before and after each text, place of each word) of texts of given lengths."""
+    text_of = np.repeat(np.arange(len(lengths)), lengths)
+    out = np.full(len(found) + 2 * SIDE * len(lengths), EDGE, np.int64)
+    places = np.arange(len(found)) + SIDE * (2 * text_of + 1)
+    out[places] = found
+    return out, places
 
 
 class Network:
@@ -187,88 +201,207 @@ class Network:
             out_bias -= p.sum(axis=0)
             flat_inner -= x.T @ down
             bias -= down.sum(axis=0)
-            # Sums by class as a product with the classes' indicators: far faster than adding one by one.
-            marks = np.zeros((CLASSES, around.size), np.float32)
-            marks[around.ravel(), np.arange(around.size)] = 1
-            embed -= marks @ back
+            cells = around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+            embed -= np.bincount(cells.ravel(), back.ravel(), embed.size).reshape(embed.shape).astype(np.float32)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and the length of each value."""
+    values, offsets = text_bytes(column)
+    return values, np.diff(offsets)
 
 
-def _round(words: list[bytes], start: np.ndarray, number: int):
+def _round(start: np.ndarray, number: int):
+    """Weights, times tokens, of the units of a task; rows (unit, classes) come sorted by unit."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes_of, network, seen = Classes(words), Network(start), 0
-        for chunk in chunks(batches, "text"):
-            classes, places = classes_of(chunk.column(0))
-            for phase in range(number, MASKED, ROUNDS):
-                network.learn(classes, places[phase::MASKED])
-            seen += len(places)
-        if seen:
-            weights = network.flat().astype(np.float64) * seen
-            at = np.arange(len(weights) + 1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(weights, seen))], ["i", "w"])
+        total = np.zeros(len(start) + 1)
+        unit, network, seen, held = None, Network(start), 0, []
 
-    return run
+        def learn():
+            if held:
+                classes, places = with_edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                for phase in range(number, MASKED, ROUNDS):
+                    network.learn(classes, places[phase::MASKED])
+                held.clear()
 
+        def done():
+            learn()
+            total[:-1] += network.flat().astype(np.float64) * seen
+            total[-1] += seen
 
-def train(docs: DataFrame, words: list[bytes]) -> np.ndarray:
-    """Weights averaged over all tasks after each round; what is gathered is the size of one network."""
-    weights = Network().flat()
-    for number in range(ROUNDS):
-        sums = docs.select("text").mapInArrow(_round(words, weights, number), "i int, w double")
-        rows = sums.groupBy("i").agg(F.sum("w").alias("w")).collect()
-        if rows:
-            total = np.zeros(len(weights) + 1)
-            for r in rows:
-                total[r.i] = r.w
-            weights = (total[:-1] / total[-1]).astype(np.float32)
-    return weights
+        for batch in batches:
+            units = batch.column(0).to_numpy()
+            values, lengths = _lists(batch.column(1))
+            ends = np.cumsum(lengths)
+            # Pieces end where the unit changes and where enough tokens are together, whatever the batches are.
+            at = 0
+            while at < len(units):
+                if units[at] != unit:
+                    done()
+                    unit, network, seen = units[at], Network(start), 0
+                have = sum(int(n.sum()) for _, n in held)
+                before = ends[at] - lengths[at]
+                stop = int(np.searchsorted(ends, before + CHUNK_TOKENS - have, side="left")) + 1
+                stop = min(stop, at + int(np.searchsorted(units[at:] != unit, True)), len(units))
+                held.append((values[before : ends[stop - 1]].astype(np.int64), lengths[at:stop]))
+                seen += int(ends[stop - 1] - before)
+                if have + ends[stop - 1] - before >= CHUNK_TOKENS:
+                    learn()
+                at = stop
+        done()
+        if total[-1]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "w"])
 
+    return run
 
-def scored(docs: DataFrame, words: list[bytes], weights: np.ndarray, counts: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row of (doc_id, text).
 
-    ``counts`` are the words of the corpus that was learned from; those of ``docs`` if not given.
-    """
+def _encode(words: list[bytes], hot):
+    """(doc_id, classes, known, h, times): a byte a word; log shares of hot words; other words and how often they occur."""
 
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes_of, network = Classes(words), Network(weights)
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes_of = Classes(words)
+        hot_hashes, hot_shares = hot.value
         for chunk in chunks(batches, "text"):
             classes, places, h = classes_of.with_hashes(chunk.column(1))
-            found = network.log_probabilities(classes, places)
+            own = classes[places]
             # Each text's words lie between its edges.
             text_of = np.cumsum(classes == EDGE)[places] // (2 * SIDE)
             lengths = np.bincount(text_of, minlength=chunk.num_rows)
-            sums = np.bincount(text_of, found, chunk.num_rows)
-            # The words of hash classes, each once a text with how often it occurs.
-            rare = classes[places] >= TOP_WORDS
-            order = np.lexsort((h[rare], text_of[rare]))
-            text, word = text_of[rare][order], h[rare][order]
+            rare = own >= TOP_WORDS
+            text, word = text_of[rare], h[rare]
+            known = np.zeros(chunk.num_rows)
+            if len(hot_hashes):
+                at = np.minimum(np.searchsorted(hot_hashes, word), len(hot_hashes) - 1)
+                is_hot = hot_hashes[at] == word
+                known += np.bincount(text[is_hot], hot_shares[at[is_hot]], chunk.num_rows)
+                text, word = text[~is_hot], word[~is_hot]
+            order = np.lexsort((word, text))
+            text, word = text[order], word[order]
             new = np.ones(len(word), bool)
             new[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1])
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(word)))
             ends = pa.array(np.searchsorted(text[at], np.arange(chunk.num_rows + 1)), pa.int32())
-            hashes = pa.ListArray.from_arrays(ends, pa.array(word[at].view(np.int64)))
+            edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+            data = pa.py_buffer(own.astype(np.uint8).tobytes())
+            encoded = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(edges.tobytes()), data])
             yield pa.RecordBatch.from_arrays(
-                [chunk.column(0), pa.array(lengths, pa.int64()), pa.array(sums), hashes, pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))],
-                ["doc_id", "n_tokens", "of_classes", "h", "times"],
+                [
+                    chunk.column(0),
+                    encoded.cast(pa.binary()),
+                    pa.array(known),
+                    pa.ListArray.from_arrays(ends, pa.array(word[at].view(np.int64))),
+                    pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())),
+                ],
+                ["doc_id", "classes", "known", "h", "times"],
             )
 
-    if counts is None:
-        counts = word_counts(docs)
+    return encode
+
+
+def _shares(rare: DataFrame | None, most: int = HOT_WORDS):
+    """(hashes in order, log shares) of the most frequent words of the hash classes, and the sizes of these classes."""
+    if rare is None:
+        return (np.zeros(0, np.uint64), np.zeros(0)), np.zeros(HASHED)
+    sizes = np.zeros(HASHED)
+    for r in rare.groupBy(F.shiftrightunsigned("h", 58).alias("class")).agg((F.sum("n") + F.count("*")).alias("size")).collect():
+        sizes[r["class"]] = r["size"]
+    top = rare.orderBy(F.desc("n"), "h").limit(most).toPandas()
+    hashes, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64)
+    order = np.argsort(hashes)
+    hashes, n = hashes[order], n[order]
+    return (hashes, np.log((n + 1) / (sizes[(hashes >> np.uint64(58)).astype(np.int64)] + 1))), sizes
+
+
+def encoded(docs: DataFrame, words: list[bytes], hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The table of classes that training and scoring read; ``row`` numbers its rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    schema = "doc_id long, classes binary, known double, h array<long>, times array<int>"
+    found = docs.select("doc_id", "text").mapInArrow(_encode(words, shared), schema)
     # Cut, so that the rows keep their numbers.
-    by_class = cut(
-        docs.select("doc_id", "text")
-        .mapInArrow(score, "doc_id long, n_tokens long, of_classes double, h array<long>, times array<long>")
-        .withColumn("row", F.monotonically_increasing_id())
+    return cut(found.withColumn("row", F.monotonically_increasing_id()))
+
+
+def train(docs: DataFrame, words: list[bytes]) -> np.ndarray:
+    """Weights learned from (doc_id, text)."""
+    return _trained(encoded(docs, words, _shares(None)[0]))
+
+
+def _class_totals(table: DataFrame) -> np.ndarray:
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            totals += np.bincount(_lists(batch.column(0))[0], minlength=CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(totals)], ["i", "n"])
+
+    totals = np.zeros(CLASSES)
+    for r in table.select("classes").mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        totals[r.i] = r.n
+    return totals
+
+
+def _trained(table: DataFrame, unit_tokens: int = UNIT_TOKENS) -> np.ndarray:
+    """Weights averaged over all units after each round; what is gathered is the size of one network."""
+    weights = Network().flat()
+    totals = _class_totals(table)
+    size = int(totals.sum())
+    if not size:
+        return weights
+    # The first round starts from the frequencies of the classes.
+    weights[-CLASSES:] = np.log((totals + 1) / (size + CLASSES))
+    units = min(-(-size // unit_tokens), MOST_UNITS)
+    # Rows without an id are told apart by their place, so that many of them don't meet in one unit.
+    place = F.xxhash64(F.coalesce("doc_id", "row"), "classes")
+    dealt = cut(
+        table.filter(F.octet_length("classes") > 0)
+        .select(F.pmod(place, F.lit(units)).cast("int").alias("unit"), place.alias("place"), "classes")
+        .repartitionById(units, F.col("unit"))
+        .sortWithinPartitions("unit", "place", "classes")
+        .select("unit", "classes")
+    )
+    for number in range(ROUNDS):
+        sums = dealt.mapInArrow(_round(weights, number), "i int, w double")
+        total = np.zeros(len(weights) + 1)
+        for r in sums.groupBy("i").agg(F.sum("w").alias("w")).collect():
+            total[r.i] = r.w
+        weights = (total[:-1] / total[-1]).astype(np.float32)
+    return weights
+
+
+def _scored(table: DataFrame, weights: np.ndarray, rare: DataFrame, sizes: np.ndarray) -> DataFrame:
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = Network(weights)
+        for batch in batches:
+            values, lengths = _lists(batch.column(2))
+            ends = np.cumsum(lengths)
+            sums = np.zeros(len(lengths))
+            at = 0
+            while at < len(lengths):
+                before = ends[at] - lengths[at]
+                stop = max(at + 1, int(np.searchsorted(ends, before + CHUNK_TOKENS, side="right")))
+                some = lengths[at:stop]
+                found = network.log_probabilities(*with_edges(values[before : ends[stop - 1]].astype(np.int64), some))
+                sums[at:stop] = np.bincount(np.repeat(np.arange(len(some)), some), found, len(some))
+                at = stop
+            of_classes = pa.array(sums + batch.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), of_classes],
+                ["row", "doc_id", "n_tokens", "of_classes"],
+            )
+
+    by_class = table.select("row", "doc_id", "classes", "known").mapInArrow(
+        score, "row long, doc_id long, n_tokens long, of_classes double"
+    )
+    # 64 numbers; a class without counted words has size 0.
+    size = F.element_at(F.array(*[F.lit(float(x)) for x in sizes]), (F.shiftrightunsigned("h", 58) + 1).cast("int"))
+    tokens = table.select("row", F.inline(F.arrays_zip("h", "times"))).withColumn("size", size)
+    share = F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("size") + 1))
+    in_classes = (
+        tokens.join(rare.select("h", "n"), "h", "left").groupBy("row").agg(F.sum(F.col("times") * share).alias("in_classes"))
     )
-    rare = cut(_rare_counts(counts, words)).withColumn("class", F.shiftrightunsigned("h", 58))
-    sizes = rare.groupBy("class").agg((F.sum("n") + F.count("*")).alias("size"))
-    tokens = by_class.select("row", F.inline(F.arrays_zip("h", "times"))).withColumn("class", F.shiftrightunsigned("h", 58))
-    shares = tokens.join(rare.select("h", "n"), "h", "left").join(sizes, "class", "left")
-    share = F.log((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("size", F.lit(0)) + 1))
-    in_classes = shares.groupBy("row").agg(F.sum(F.col("times") * share).alias("in_classes"))
     total = F.col("of_classes") + F.coalesce("in_classes", F.lit(0.0))
-    return by_class.drop("h", "times").join(in_classes, "row", "left").select(
+    return by_class.join(in_classes, "row", "left").select(
         "doc_id",
         "n_tokens",
         total.alias("log_likelihood"),
@@ -276,9 +409,22 @@ def scored(docs: DataFrame, words: list[bytes], weights: np.ndarray, counts: Dat
     )
 
 
+def scored(docs: DataFrame, words: list[bytes], weights: np.ndarray, counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row of (doc_id, text).
+
+    ``counts`` are the words of the corpus that was learned from; those of ``docs`` if not given.
+    """
+    rare = cut(_rare_counts(word_counts(docs) if counts is None else counts, words))
+    hot, sizes = _shares(rare)
+    return _scored(encoded(docs, words, hot), weights, rare, sizes)
+
+
 def pseudo_likelihood(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """Counts, trains and scores over all of ``docs``."""
     plain = texts(docs, id_col, text_col)
     counts = word_counts(plain)
     words = _most_frequent(counts)
-    return scored(plain, words, train(plain, words), counts)
+    rare = cut(_rare_counts(counts, words))
+    hot, sizes = _shares(rare)
+    table = encoded(plain, words, hot)
+    return _scored(table, _trained(table), rare, sizes)

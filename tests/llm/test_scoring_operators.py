@@ -242,10 +242,119 @@ def test_training_masks_every_token_once(monkeypatch):
     masked = []
     monkeypatch.setattr(pseudo_likelihood.Network, "learn", lambda self, classes, places: masked.extend(places.tolist()))
     texts = ["one", "two words", " ".join(f"w{i}" for i in range(50)), ""]
-    batch = pa.record_batch({"text": texts})
+    classes, places = pseudo_likelihood.Classes([])(pa.array(texts))
+    ends = np.cumsum([len(t.split()) for t in texts])
+    data = [bytes(classes[places][a:b].astype(np.uint8)) for a, b in zip([0, *ends], ends)]
+    batch = pa.record_batch({"unit": pa.array([3] * len(data), pa.int32()), "classes": pa.array(data, pa.binary())})
     for number in range(pseudo_likelihood.ROUNDS):
-        list(pseudo_likelihood._round([], pseudo_likelihood.Network().flat(), number)([batch]))
-    assert sorted(masked) == pseudo_likelihood.Classes([])(batch.column(0))[1].tolist()
+        list(pseudo_likelihood._round(pseudo_likelihood.Network().flat(), number)([batch]))
+    assert sorted(masked) == places.tolist()
+
+
+def test_units_are_learned_alike_in_any_batches(monkeypatch):
+    """However rows are batched, a unit's texts are learned in the same pieces; units start afresh."""
+    monkeypatch.setattr(pseudo_likelihood, "CHUNK_TOKENS", 64)
+    rng = np.random.default_rng(8)
+    units = np.sort(rng.integers(0, 3, 60)).astype(np.int32)
+    data = [rng.integers(0, pseudo_likelihood.EDGE, n).astype(np.uint8).tobytes() for n in rng.integers(0, 40, 60)]
+    start = pseudo_likelihood.Network().flat()
+
+    def learned(size):
+        batches = [
+            pa.record_batch({"unit": pa.array(units[a : a + size]), "classes": pa.array(data[a : a + size], pa.binary())})
+            for a in range(0, 60, size)
+        ]
+        (out,) = pseudo_likelihood._round(start, 0)(batches)
+        return out.column(1).to_numpy()
+
+    assert (learned(60) == learned(7)).all() and (learned(60) == learned(1)).all()
+    one_by_one = sum(
+        next(
+            pseudo_likelihood._round(start, 0)(
+                [
+                    pa.record_batch(
+                        {
+                            "unit": pa.array(units[units == u]),
+                            "classes": pa.array([d for d, v in zip(data, units) if v == u], pa.binary()),
+                        }
+                    )
+                ]
+            )
+        )
+        .column(1)
+        .to_numpy()
+        for u in range(3)
+    )
+    assert np.allclose(learned(60), one_by_one)
+    assert list(pseudo_likelihood._round(start, 0)([])) == []
+
+
+def test_model_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = [
+        {r.doc_id: r.log_likelihood for r in pseudo_likelihood.pseudo_likelihood(docs.repartition(n)).collect()}
+        for n in (1, 4, 16)
+    ]
+    for other in found[1:]:
+        assert max(abs(found[0][k] - other[k]) for k in found[0]) < 1e-6 * max(map(abs, found[0].values()))
+
+
+def test_held_out_texts_are_likelier_than_by_class_frequencies(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    known, unseen = docs.filter("doc_id % 5 != 0"), docs.filter("doc_id % 5 = 0")
+    chosen = pseudo_likelihood.frequent_words(known)
+    nothing = pseudo_likelihood._shares(None)[0]
+    network = pseudo_likelihood.Network(pseudo_likelihood.train(known, chosen))
+    counts = np.ones(pseudo_likelihood.EDGE)
+    for r in pseudo_likelihood.encoded(known, chosen, nothing).select("classes").collect():
+        counts += np.bincount(np.frombuffer(r.classes, np.uint8), minlength=len(counts))
+    own, plain = [], []
+    for r in pseudo_likelihood.encoded(unseen, chosen, nothing).select("classes").collect():
+        classes = np.frombuffer(r.classes, np.uint8).astype(np.int64)
+        own.append(network.log_probabilities(*pseudo_likelihood.with_edges(classes, np.array([len(classes)]))))
+        plain.append(np.log(counts / counts.sum())[classes])
+    assert np.concatenate(own).mean() > np.concatenate(plain).mean() + 0.08
+
+
+@pytest.mark.parametrize("hot", [65_536, 3, 0])
+def test_scores_by_plain_python(spark, monkeypatch, hot):
+    """Scores from given weights and counts, token by token."""
+    monkeypatch.setattr(pseudo_likelihood, "HOT_WORDS", hot)
+    monkeypatch.setattr(pseudo_likelihood._shares, "__defaults__", (hot,))
+    texts = {1: "the cat sat on the mat", 2: "a cat", 3: "", 4: "zebra zebra THE zebra", 5: None}
+    frequent = [b"the", b"on"]
+    counts = {b"the": 9, b"on": 4, b"cat": 5, b"sat": 2, b"mat": 1, b"dog": 7}
+    rng = np.random.default_rng(2)
+    net = pseudo_likelihood.Network(pseudo_likelihood.Network().flat() + rng.normal(0, 0.2, len(pseudo_likelihood.Network().flat())))
+    embed, inner, bias, outer, out_bias = (p.astype(float) for p in net.parts)
+    side, top = pseudo_likelihood.SIDE, pseudo_likelihood.TOP_WORDS
+
+    def hash_class(word):
+        return int(pseudo_likelihood._word_hashes([word])[0]) >> 58
+
+    def class_of(word):
+        return frequent.index(word) if word in frequent else top + hash_class(word)
+
+    want = {}
+    for i, text in texts.items():
+        w = [x.lower().encode() for x in (text or "").split()]
+        padded = [pseudo_likelihood.EDGE] * side + [class_of(x) for x in w] + [pseudo_likelihood.EDGE] * side
+        total = 0.0
+        for k, word in enumerate(w):
+            around = padded[k : k + side] + padded[k + side + 1 : k + 2 * side + 1]
+            logits = np.tanh(sum(embed[c] @ inner[d] for d, c in enumerate(around)) + bias) @ outer + out_bias
+            total += logits[padded[k + side]] - np.log(np.exp(logits).sum())
+            if word not in frequent:
+                same = [n for x, n in counts.items() if x not in frequent and hash_class(x) == hash_class(word)]
+                total += np.log((counts.get(word, 0) + 1) / (sum(same) + len(same) + 1))
+        want[i] = (len(w), total)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    table = spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n long")
+    got = pseudo_likelihood.scored(docs, frequent, net.flat(), table).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: n for i, (n, _) in want.items()}
+    for r in got:
+        assert abs(r.log_likelihood - want[r.doc_id][1]) < 1e-4
+        assert (r.mean_log_likelihood is None) == (r.n_tokens == 0)
 
 
 def test_words_of_a_class_cost_by_their_counts(spark):
