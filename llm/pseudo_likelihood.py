@@ -138,6 +138,22 @@ def with_edges(found: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     return out, places
 
 
+def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shift, sums): turns logits into exponentials of what exceeds each row's shift; sums of the rows.
+
+    One shift does for all rows unless one lies so far below that its exponentials vanish.
+    """
+    ones = np.ones(logits.shape[1], np.float32)
+    top = logits.max(initial=0)
+    if logits.size and logits[:, 0].min() > top - 40:
+        shift = np.full(len(logits), top)
+    else:
+        shift = logits.max(axis=1)
+    logits -= shift[:, None]
+    np.exp(logits, out=logits)
+    return shift, logits @ ones
+
+
 class Network:
     """Embeddings, one hidden layer, a softmax over classes."""
 
@@ -173,32 +189,29 @@ class Network:
             logits = np.tanh(hidden) @ outer
             logits += out_bias
             own = logits[np.arange(len(at)), classes[at]].astype(np.float64)
-            top = logits.max(axis=1)
-            logits -= top[:, None]
-            np.exp(logits, out=logits)
-            found[a : a + len(at)] = own - top - np.log(logits.sum(axis=1, dtype=np.float32))
+            shift, sums = _exponentials(logits)
+            found[a : a + len(at)] = own - shift - np.log(sums)
         return found
 
     def learn(self, classes: np.ndarray, places: np.ndarray) -> None:
         """One pass of stochastic gradient steps over the places."""
         embed, inner, bias, outer, out_bias = self.parts
+        flat_inner = inner.reshape(-1, HIDDEN)
         for a in range(0, len(places), BATCH):
             at = places[a : a + BATCH]
             n = len(at)
+            step = np.float32(RATE / n)
             around = self.context(classes, at)
             x = embed[around].reshape(n, -1)
-            flat_inner = inner.reshape(-1, HIDDEN)
             hidden = np.tanh(x @ flat_inner + bias)
-            logits = hidden @ outer + out_bias
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(n), classes[at]] -= 1
-            p *= RATE / n
+            p = hidden @ outer
+            p += out_bias
+            p *= (step / _exponentials(p)[1])[:, None]
+            p[np.arange(n), classes[at]] -= step
             down = (p @ outer.T) * (1 - hidden * hidden)
             back = (down @ flat_inner.T).reshape(-1, WIDTH)
-            outer -= hidden.T @ p
-            out_bias -= p.sum(axis=0)
+            outer -= (p.T @ hidden).T
+            out_bias -= np.ones(n, np.float32) @ p
             flat_inner -= x.T @ down
             bias -= down.sum(axis=0)
             cells = around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
@@ -301,13 +314,22 @@ def _encode(words: list[bytes], hot):
 
 
 def _shares(rare: DataFrame | None, most: int = HOT_WORDS):
-    """(hashes in order, log shares) of the most frequent words of the hash classes, and the sizes of these classes."""
+    """(hashes in order, log shares) of the most frequent words of the hash classes, and the sizes of these classes.
+
+    Counts are rounded to steps of a sixteenth of their doubling; the steps that hold at most ``most`` words in
+    all, from above, are what is gathered.
+    """
     if rare is None:
         return (np.zeros(0, np.uint64), np.zeros(0)), np.zeros(HASHED)
     sizes = np.zeros(HASHED)
     for r in rare.groupBy(F.shiftrightunsigned("h", 58).alias("class")).agg((F.sum("n") + F.count("*")).alias("size")).collect():
         sizes[r["class"]] = r["size"]
-    top = rare.orderBy(F.desc("n"), "h").limit(most).toPandas()
+    step = F.floor(16 * F.log2(F.col("n").cast("double")))
+    steps = sorted(rare.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    fit = np.cumsum([r.words for r in steps]) <= most
+    if not fit.any():
+        return (np.zeros(0, np.uint64), np.zeros(0)), sizes
+    top = rare.filter(step >= steps[int(fit.sum()) - 1].step).toPandas()
     hashes, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64)
     order = np.argsort(hashes)
     hashes, n = hashes[order], n[order]
