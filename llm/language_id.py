@@ -10,6 +10,7 @@ rejected if the score is narrow or if it has no letter.
   rejected.
 * No labelled text at all: every document is ``und``.
 * Repeated rows get equal results; null ids and null labels are kept out of nothing but the learning.
+* With more than ``MOST_LANGUAGES`` labels, those with the most labelled texts are learned.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ UNKNOWN = "und"
 #: Sampled texts of a language, and the most characters of each that its dictionary takes.
 SAMPLES = 256
 SAMPLE_CHARS = 1024
+#: Languages that are learned: every task holds their dictionaries, of 256 KB each.
+MOST_LANGUAGES = 128
 #: Characters compressed at a time, so that the dictionary counts throughout a long text.
 BLOCK_CHARS = 4096
 #: A lead below this share of the compressed bytes is narrow.
@@ -47,6 +50,9 @@ def learn(docs: DataFrame, may_learn: Column, id_col="doc_id", text_col="text",
     known = docs.filter(may_learn).select(
         F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col).cast("string")).alias("text")
     )
+    labels = known.filter("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count()
+    labels = [r.lang for r in labels.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    known = known.filter(F.col("lang").isin(labels))
     # A text longer than the sample is taken from a place that its hash decides.
     spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
     hashed = known.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))

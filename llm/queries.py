@@ -23,7 +23,7 @@ from llm import (
     token_counts,
     toxicity,
 )
-from llm.tables import held_out, table
+from llm.tables import held_out, may_learn, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -73,7 +73,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = language_id.language_of(docs, language_id.learn(docs, ~held_out()))
+    found = language_id.language_of(docs, language_id.learn(docs, may_learn()))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.lineage import cut
 
-__all__ = ["cut", "held_out", "table", "texts"]
+__all__ = ["cut", "held_out", "may_learn", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,3 +24,8 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def held_out(doc_id: str = "doc_id"):
     """Whether labels of a document stay unseen: crc32 of its id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def may_learn(doc_id: str = "doc_id"):
+    """Whether labels of a document may be learned from: it has an id, and is not held out."""
+    return F.col(doc_id).isNotNull() & ~held_out(doc_id)

@@ -15,6 +15,7 @@ import corpus_pipeline
 from conftest import DATA
 from llm import decontamination, language_id, line_dedup, packing, queries, simhash, token_counts
 from llm.pretokens import pieces
+from llm.tables import may_learn
 from llm.rank_merge import merger
 from frames import components, empty, fingerprint, held, lower, odd_documents, prose, words
 
@@ -427,3 +428,13 @@ def test_replaced_words_are_found_at_any_place(spark):
     benchmark = spark.createDataFrame([(len(w), " ".join(w)) for w in items], "item_id long, text string")
     found = decontamination.overlaps(docs, benchmark).select("doc_id", "item_id")
     assert {(r.doc_id, r.n) for r in docs.collect()} <= set(rows(found))
+
+
+def test_languages_are_bounded_and_learned_from_named_documents(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    rows = [(i, f"{lang} words of {lang} {i}", lang) for lang, n in (("aa", 6), ("bb", 4), ("cc", 4), ("dd", 1)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert list(language_id.learn(docs, F.lit(True))) == ["aa", "bb"]
+    unnamed = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert language_id.learn(unnamed, may_learn()) == {}
+    assert [r[0] for r in docs.select(may_learn()).collect()] == [not held(r[0]) for r in rows]
