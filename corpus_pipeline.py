@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dwellgrid.lineage import ensure_checkpoint_dir
 from llm import decontamination, language_id, line_dedup, packing, simhash
-from llm.tables import held_out, table
+from llm.tables import may_learn, table
 
 
 def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; learned from the labelled documents that are not held out."""
-    return language_id.in_clear_language(docs, language_id.learn(docs, ~held_out()))
+    """Documents whose language is clear; learned from the labelled documents with an id that are not held out."""
+    return language_id.in_clear_language(docs, language_id.learn(docs, may_learn()))
 
 
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
