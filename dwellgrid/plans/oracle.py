@@ -346,6 +346,10 @@ def oracle_statements() -> dict[str, str]:
             " string_agg(CAST(cluster_id AS VARCHAR), '->' ORDER BY visit_seq) AS line"
             " FROM visits GROUP BY uid, traj_id",
         ),
+        "region_at": _with(
+            labels,
+            "SELECT p.event_id, l.cluster_id FROM pts p ASOF LEFT JOIN labelled l ON l.uid = p.uid AND l.arrive <= p.ts",
+        ),
         "user_region_ranked": _with(ur, "SELECT uid, cluster_id, visits, rank FROM ur"),
         "user_region_text": _with(
             ur,

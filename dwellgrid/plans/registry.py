@@ -17,6 +17,7 @@ from dwellgrid.operators.cells import (
     count_in_rect,
     to_plane,
 )
+from dwellgrid.operators.asof import as_of
 from dwellgrid.operators.components import ONE_TASK_EDGES, connected_components
 from dwellgrid.operators.maximal_sets import frequent_maximal_sets
 from dwellgrid.operators.reach import reached
@@ -318,6 +319,16 @@ def location_text(spark, sf_dir):
     return visits.location_lines(_pipeline(spark, sf_dir).visits)
 
 
+@query
+def region_at(spark, sf_dir):
+    """Region of the last stay that a user had begun at each of their points; NULL before the first one."""
+    run = _pipeline(spark, sf_dir)
+    begun = run.stays.select(*_STAY, "arrive").join(run.labels.select(*_STAY, "cluster_id"), _STAY)
+    history = begun.select("uid", F.col("arrive").alias("ts"), "cluster_id")
+    points = event_positions(spark, sf_dir).select("event_id", "uid", "ts")
+    return as_of(points, history, ["uid"], "ts", ["cluster_id"]).select("event_id", "cluster_id")
+
+
 @query
 def user_region_ranked(spark, sf_dir):
     return _pipeline(spark, sf_dir).user_region
