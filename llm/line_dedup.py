@@ -6,7 +6,7 @@ share a band's value, all their pairs are candidates. The lines of a value that
 each pair of blocks is settled by one task: every two lines of it are similar by a chain of links found already, or
 apart by a bound from their sketches, or compared. What is handed on are the links that connect them, so near copies
 give a linear number of pairs. Candidates are compared by the exact Jaccard similarity of their shingle sets, and
-those at or above the threshold are joined to components. Of each component the first line (least document id, then
+those at or above the threshold are joined to components; pairs that their sketches tell apart are left out before. Of each component the first line (least document id, then
 least line number) stays.
 
 A pair at the threshold of 0.8 shares a band with a probability of 0.998.
@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellgrid.operators.components import component_roots
@@ -42,6 +42,9 @@ NEAREST = 64
 BLOCK, BLOCK_CHARS = 2048, 256
 #: Bits of a sketch; each is the parity of the shingles that fall on it.
 SKETCH_BITS = 512
+#: Lines whose shingles are sorted at once.
+_SORTED_LINES = 1 << 12
+_SKETCH = [f"bits{i}" for i in range(SKETCH_BITS // 64)]
 #: Low bits of a band's key that order the lines of its value.
 ORDER_BITS = 16
 _EMPTY = np.iinfo(np.uint64).max
@@ -165,15 +168,18 @@ def sketches(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.nda
 
     Two sets differ in at least as many shingles as their sketches in bits.
     """
+    if len(lines) > _SORTED_LINES:
+        half = len(lines) // 2
+        return tuple(np.concatenate(x) for x in zip(sketches(lines[:half], width), sketches(lines[half:], width), strict=True))
     h, owner = _shingle_hashes(lines, width)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[new], owner[new]
-    bits = np.zeros((len(lines), SKETCH_BITS), bool)
-    np.logical_xor.at(bits, (owner, (h % np.uint64(SKETCH_BITS)).astype(np.int64)), True)
-    return np.packbits(bits, axis=1).view(np.uint64), np.bincount(owner, minlength=len(lines))
+    # One sort of line number and hash together; of a hash the upper 48 bits tell the shingles of a line apart.
+    keys = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    owner = (keys >> np.uint64(48)).astype(np.int64)
+    cells = owner * SKETCH_BITS + (keys % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = (np.bincount(cells, minlength=len(lines) * SKETCH_BITS) & 1).astype(bool)
+    bits = np.packbits(odd.reshape(len(lines), SKETCH_BITS), axis=1).view(np.uint64)
+    return bits, np.bincount(owner, minlength=len(lines))
 
 
 def connecting(lines: list[str], blocks: list[int], threshold: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -217,7 +223,7 @@ def _connect(threshold: float):
 
 def _linked(shared: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """(src, dst): similar pairs that connect all similar lines of each value with more lines than are paired."""
-    crowded = shared.filter(F.col("n") > NEAREST + 1).select("value", "id").join(lines, "id")
+    crowded = shared.filter(F.col("n") > NEAREST + 1).select("value", "id").join(lines.select("id", "line"), "id")
     weight = F.sum(1 + F.floor(F.length("line") / BLOCK_CHARS))
     before = Window.partitionBy("value").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     blocks = cut(crowded.withColumn("block", F.coalesce(F.floor(weight.over(before) / BLOCK), F.lit(0))))
@@ -230,9 +236,30 @@ def _linked(shared: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
 
 
 def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line): the bitmap drops nearly all other lines inside the scan."""
+    """(id, line, size, bits0, …): the bitmap drops nearly all other lines inside the scan."""
     lines = docs.select("text").mapInArrow(_texts_in(bitmap_of(ids, "id")), "id long, line string")
-    return cut(lines.groupBy("id").agg(F.min("line").alias("line")))
+    lines = lines.groupBy("id").agg(F.min("line").alias("line"))
+    words = ", ".join(f"{w} long" for w in _SKETCH)
+    return cut(lines.mapInArrow(_sketched, f"id long, line string, size int, {words}"))
+
+
+def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with the number of their different shingles and the words of their sketch."""
+    for chunk in chunks(batches, "line"):
+        bits, sizes = sketches(chunk.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays(
+            [*chunk.columns, pa.array(sizes.astype(np.int32)), *(pa.array(w.view(np.int64)) for w in np.ascontiguousarray(bits.T))],
+            ["id", "line", "size", *_SKETCH],
+        )
+
+
+def _may_be_similar(threshold: float) -> Column:
+    """Whether sizes and sketches of lines a and b leave it open: similar sets differ in at most a share of both sizes."""
+    most = (F.col("a_size") + F.col("b_size")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+    apart = F.lit(0)
+    for w in _SKETCH:
+        apart = apart + F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}")))
+    return (F.abs(F.col("a_size") - F.col("b_size")) <= most) & (apart <= most)
 
 
 def _candidates_and_lines(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -306,9 +333,10 @@ def similar_lines(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(src, dst) ids of different lines with a Jaccard similarity of at least ``threshold``: enough to connect all such."""
     pairs, lines = _candidates_and_lines(docs, threshold)
     pairs = cut(pairs)
-    a = lines.select(F.col("id").alias("src"), F.col("line").alias("a"))
-    b = lines.select(F.col("id").alias("dst"), F.col("line").alias("b"))
-    both = pairs.join(a, "src").join(b, "dst").select("src", "a", "dst", "b")
+    told = ["size", *_SKETCH]
+    a = lines.select(F.col("id").alias("src"), F.col("line").alias("a"), *[F.col(c).alias(f"a_{c}") for c in told])
+    b = lines.select(F.col("id").alias("dst"), F.col("line").alias("b"), *[F.col(c).alias(f"b_{c}") for c in told])
+    both = pairs.join(a, "src").join(b, "dst").filter(_may_be_similar(threshold)).select("src", "a", "dst", "b")
     return both.mapInArrow(_similar(threshold), "src long, dst long")
 
 
