@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from llm.arrays import chunks, mixed, prefix_sums, span_hashes, text_bytes, word_spans
 from llm.sampling import rows_of, sampled_ids
-from llm.tables import held_out, texts
+from llm.tables import cut, held_out, texts
 
 POSITIVE = 2048
 UNLABELLED = 4096
@@ -95,9 +95,8 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, slot = features(chunk.column(1))
         pairs = np.unique(owner * SLOTS + slot)
         cuts = np.searchsorted(pairs // SLOTS, np.arange(chunk.num_rows + 1))
-        slots = (pairs % SLOTS).astype("<u4")
-        data = [slots[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(data, pa.binary())], ["doc_id", "slots"])
+        slots = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(pairs % SLOTS, pa.int32()))
+        yield pa.RecordBatch.from_arrays([chunk.column(0), slots], ["doc_id", "slots"])
 
 
 def nn_pu(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
@@ -140,35 +139,41 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     positive = sampled_ids(known.filter("toxic = 1"), POSITIVE)
     unlabelled = sampled_ids(known.select("doc_id"), UNLABELLED)
     sample = rows_of(texts(docs, id_col, text_col), sorted({*positive, *unlabelled}))
-    rows = sorted((r.doc_id, bytes(r.slots)) for r in sample.mapInArrow(_features, "doc_id long, slots binary").collect())
-    return _fit(rows, set(positive), set(unlabelled), prior)
+    kinds = docs.sparkSession.createDataFrame(
+        [(i, int(i in set(positive)), int(i in set(unlabelled))) for i in sorted({*positive, *unlabelled})],
+        "doc_id long, p int, u int",
+    )
+    rows = sample.mapInArrow(_features, "doc_id long, slots array<int>").join(F.broadcast(kinds), "doc_id")
+    return _fit(cut(rows.withColumn("row", F.monotonically_increasing_id())), prior)
+
+
+def _chosen(rows: DataFrame, n_p: int, n_u: int) -> list[int]:
+    """The slots that toxic rows have more often than others, counted in Spark; at most ``FEATURES``."""
+    has = rows.select("p", "u", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    mean = (F.col("p") + F.col("u") + 1) / F.lit(float(n_p + n_u + 2))
+    spread = F.sqrt(mean * (1 - mean) * F.lit(1 / n_p + 1 / n_u))
+    z = (F.col("p") / F.lit(float(n_p)) - F.col("u") / F.lit(float(n_u))) / spread
+    best = has.select("slot", z.alias("z")).filter(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "slot").limit(FEATURES)
+    return sorted(r.slot for r in best.collect())
 
 
-def _fit(rows: list[tuple[int, bytes]], positive: set[int], unlabelled: set[int], prior: float) -> Model:
-    is_p = np.array([i in positive for i, _ in rows], bool)
-    is_u = np.array([i in unlabelled for i, _ in rows], bool)
-    if not is_p.any() or not is_u.any():
+def _fit(rows: DataFrame, prior: float) -> Model:
+    """A model of the sampled rows (row, slots, p, u); only the chosen slots of each reach the driver."""
+    n_p, n_u = rows.agg(F.sum("p"), F.sum("u")).first()
+    if not n_p or not n_u:
         return NOTHING
-    slots = [np.frombuffer(s, "<u4") for _, s in rows]
-    have_p = np.zeros(SLOTS)
-    have_u = np.zeros(SLOTS)
-    for s, p, u in zip(slots, is_p, is_u, strict=True):
-        have_p[s] += p
-        have_u[s] += u
-    n_p, n_u = is_p.sum(), is_u.sum()
-    p, u = have_p / n_p, have_u / n_u
-    mean = (have_p + have_u + 1) / (n_p + n_u + 2)
-    z = (p - u) / np.sqrt(mean * (1 - mean) * (1 / n_p + 1 / n_u))
-    best = np.argsort(-z, kind="stable")[:FEATURES]
-    best = np.sort(best[z[best] >= SIGNIFICANT])
-    number = np.full(SLOTS, -1, np.int64)
-    number[best] = np.arange(len(best))
-    x = np.zeros((len(rows), len(best)), np.float32)
-    for i, s in enumerate(slots):
-        found = number[s]
-        x[i, found[found >= 0]] = 1
+    best = _chosen(rows, n_p, n_u)
+    # A sorted array of at most FEATURES numbers is a constant of the plan.
+    own = F.array_intersect("slots", F.lit(best).cast("array<int>") if best else F.array().cast("array<int>"))
+    gathered = sorted((r.doc_id, r.p, r.u, sorted(r.own)) for r in rows.select("doc_id", "p", "u", own.alias("own")).collect())
+    x = np.zeros((len(gathered), len(best)), np.float32)
+    number = {slot: i for i, slot in enumerate(best)}
+    for i, (_, _, _, slots) in enumerate(gathered):
+        x[i, [number[s] for s in slots]] = 1
+    is_p = np.array([p for _, p, _, _ in gathered], bool)
+    is_u = np.array([u for _, _, u, _ in gathered], bool)
     weights, bias = nn_pu(x, is_p, is_u, prior)
-    return Model(best, weights, bias)
+    return Model(np.array(best, np.int64), weights, bias)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3, id_col="doc_id", text_col="text") -> DataFrame:
