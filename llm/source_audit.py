@@ -13,7 +13,7 @@ first; beyond, the terms' counts are joined with the vocabulary by Spark instead
 
 * Null texts, languages and sources are ''. A language without kept terms has pairs of value 0 and no terms.
 * Repeated rows and ids are documents of their own; ids are not read. Extra columns are ignored. No rows: no rows.
-* Texts are never cut; memory is some fifty times the longest text, or that of a chunk of 4 MB.
+* Texts are never cut; memory is some fifty times the longest text, or that of a chunk of 2 MB.
 * Within a chunk, terms are told apart by 64 bits.
 """
 
@@ -44,7 +44,7 @@ TOP = 50
 TILE, BLOCK = 128, 2048
 #: Different (group, ordinal) a task adds up before it hands them on.
 HELD_COUNTS = 500_000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 # A blank for all bytes that are in no term; bytes of terms with A-Z lowered.
 _TERM = lowered(np.arange(256, dtype=np.uint8))
