@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -438,3 +439,35 @@ def test_languages_are_bounded_and_learned_from_named_documents(spark, monkeypat
     unnamed = docs.withColumn("doc_id", F.lit(None).cast("long"))
     assert language_id.learn(unnamed, may_learn()) == {}
     assert [r[0] for r in docs.select(may_learn()).collect()] == [not held(r[0]) for r in rows]
+
+
+def test_language_by_direct_compression(spark):
+    """Sizes by zstandard's own one-shot calls, block by block and level by level."""
+    content = {"aa": b" amber birch cedar delta ember ", "bb": b" quill raven pearl onyx nylon ", "cc": b" 12 34 56 "}
+    texts = [prose(i, 5 + 40 * i) for i in range(6)] + ["Amber BIRCH\tcedar", "quill raven", "", "123", None, prose(7, 3000)]
+
+    def direct(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        plain = f" {' '.join(text.lower().split())} "
+        for level in language_id.LEVELS:
+            sizes = {}
+            for lang, data in content.items():
+                given = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                pack = zstandard.ZstdCompressor(level=level, dict_data=given, write_content_size=False)
+                at = range(0, len(plain), language_id.BLOCK_CHARS)
+                sizes[lang] = sum(len(pack.compress(plain[i : i + language_id.BLOCK_CHARS].encode())) for i in at)
+            best = min(content, key=lambda lang: (sizes[lang], list(content).index(lang)))
+            following = min(n for lang, n in sizes.items() if lang != best)
+            lead = (following - sizes[best]) / following
+            if lead >= language_id.UNSURE:
+                break
+        return best, lead
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, round(r.score, 12), r.rejected) for r in language_id.language_of(docs, content).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        lang, lead = direct(t)
+        want[i] = (lang, round(lead, 12), lead < language_id.NARROW or lang == "und")
+    assert got == want and len({w[0] for w in want.values()}) > 2

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from conftest import DATA, duck, duck_result, spark_result
@@ -369,3 +370,74 @@ def test_words_of_a_class_cost_by_their_counts(spark):
     got = pseudo_likelihood.scored(docs, [], pseudo_likelihood.Network().flat(), counts)
     a, b, u = (r.log_likelihood for r in got.orderBy("doc_id").collect())
     assert abs(a - b - np.log(98 / 2)) < 1e-6 and abs(b - u - np.log(2)) < 1e-6
+
+
+def test_toxicity_scores_from_given_weights(spark):
+    """Scores by plain Python from the slots of words and five-character grams."""
+    docs = odd_documents(spark)
+    rng = np.random.default_rng(4)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+
+    def slots(text):
+        plain = " " + "".join(c if c in "abcdefghijklmnopqrstuvwxyz" else " " for c in (text or "").lower()) + " "
+        parts = [plain[i : i + 5] for i in range(len(plain) - 4)]
+        grams, words_ = toxicity.features(pa.array([text or ""])), plain.split()
+        assert len(grams[1]) == len(parts) + len(words_)
+        return set(grams[1].tolist())
+
+    ascii_texts = [(i, t) for i, t in texts if (t or "").isascii()]
+    known = sorted(set().union(*(slots(t) for _, t in ascii_texts)))
+    chosen = np.array(sorted(rng.choice(known, 200, replace=False)), np.int64)
+    model = toxicity.Model(chosen, rng.normal(0, 0.3, 200), -0.4)
+    weight = dict(zip(chosen.tolist(), model.weights))
+    want = Counter(
+        (i, round(1 / (1 + np.exp(-(model.bias + sum(weight.get(s, 0) for s in slots(t))))), 9)) for i, t in ascii_texts
+    )
+    frame = spark.createDataFrame(ascii_texts, "doc_id long, text string")
+    assert Counter((r.doc_id, round(r.score, 9)) for r in toxicity.scored(frame, model).collect()) == want
+
+
+def test_features_are_chosen_as_plain_python_does(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 7)
+    monkeypatch.setattr(toxicity, "SIGNIFICANT", 0.5)
+    rng = np.random.default_rng(9)
+    rows = [(i, sorted({int(s) for s in rng.integers(0, 40, 9)} | ({50} if i % 3 == 0 else set())), int(i % 3 == 0), int(i % 4 != 1)) for i in range(60)]
+    n_p, n_u = sum(r[2] for r in rows), sum(r[3] for r in rows)
+    z = {}
+    for s in range(51):
+        p, u = sum(r[2] for r in rows if s in r[1]), sum(r[3] for r in rows if s in r[1])
+        m = (p + u + 1) / (n_p + n_u + 2)
+        z[s] = (p / n_p - u / n_u) / np.sqrt(m * (1 - m) * (1 / n_p + 1 / n_u))
+    want = sorted(sorted((s for s in z if z[s] >= 0.5), key=lambda s: (-z[s], s))[:7])
+    df = spark.createDataFrame(rows, "doc_id long, slots array<int>, p int, u int")
+    assert toxicity._chosen(df, n_p, n_u) == want and 50 in want
+    model = toxicity._fit(df, 0.3)
+    assert model.slots.tolist() == want and model.weights[want.index(50)] > 0
+    nothing = toxicity._fit(df.withColumn("slots", F.array().cast("array<int>")), 0.3)
+    assert len(nothing.slots) == 0 and toxicity._fit(df.filter("p = 0"), 0.3) is toxicity.NOTHING
+
+
+def test_quality_verdict_from_given_weights(spark):
+    """The column kept: the best of all labellings of a text's lines, by trying them."""
+    rng = np.random.default_rng(2)
+    field = (rng.normal(0, 1, (line_quality.N_FEATURES, 2)), rng.normal(0, 0.5, (2, 2)))
+    texts = [prose(i, 12 + 7 * i) + ("\n" + prose(i, 6).strip() + "\n*** # ***") * (i % 3) for i in range(8)] + ["", "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for i, text in enumerate(texts):
+        lines = line_quality.Lines(pa.array([text]))
+        scores, best = lines.features @ field[0], None
+        for labels in itertools.product((0, 1), repeat=len(scores)):
+            value = sum(scores[k, y] for k, y in enumerate(labels)) + sum(field[1][a, b] for a, b in itertools.pairwise(labels))
+            if best is None or value > best[0]:
+                best = (value, labels)
+        letters = [sum(c not in BLANKS for c in line) for line in text.split("\n") if words(line)]
+        share = sum(n for n, y in zip(letters, best[1]) if y == 0) / max(1, sum(letters))
+        w = words(text)
+        windows = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        again = {k + d for k in range(len(w) - 4) if windows[tuple(w[k : k + 5])] > 1 for d in range(5)}
+        failed = len(w) < 10 or 100 * len(again) > 20 * len(w)
+        want[i] = (failed, round(share, 9), not failed and share >= 0.5)
+    got = line_quality.judged(docs, field).collect()
+    assert {r.doc_id: (r.base_failed, round(r.content_share, 9), r.kept) for r in got} == want
+    assert {(False, True), (False, False), (True, False)} == {(v[0], v[2]) for v in want.values()}
