@@ -346,6 +346,18 @@ def oracle_statements() -> dict[str, str]:
             " string_agg(CAST(cluster_id AS VARCHAR), '->' ORDER BY visit_seq) AS line"
             " FROM visits GROUP BY uid, traj_id",
         ),
+        "co_presence": _with(
+            [
+                *labels,
+                "moments AS (SELECT cluster_id, at_ts, sum(step) AS step FROM"
+                " (SELECT cluster_id, arrive AS at_ts, 1 AS step FROM labelled WHERE cluster_id <> 0 AND arrive < leave"
+                " UNION ALL SELECT cluster_id, leave, -1 FROM labelled WHERE cluster_id <> 0 AND arrive < leave)"
+                " GROUP BY cluster_id, at_ts HAVING sum(step) <> 0)",
+                "periods AS (SELECT cluster_id, at_ts AS begins, lead(at_ts) OVER w AS ends,"
+                " CAST(sum(step) OVER w AS BIGINT) AS n_stays FROM moments WINDOW w AS (PARTITION BY cluster_id ORDER BY at_ts))",
+            ],
+            "SELECT cluster_id, begins, ends, n_stays FROM periods WHERE n_stays >= 2",
+        ),
         "region_at": _with(
             labels,
             "SELECT p.event_id, l.cluster_id FROM pts p ASOF LEFT JOIN labelled l ON l.uid = p.uid AND l.arrive <= p.ts",

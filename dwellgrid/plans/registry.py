@@ -20,6 +20,7 @@ from dwellgrid.operators.cells import (
 from dwellgrid.operators.asof import as_of
 from dwellgrid.operators.components import ONE_TASK_EDGES, connected_components
 from dwellgrid.operators.maximal_sets import frequent_maximal_sets
+from dwellgrid.operators.presence import co_presence
 from dwellgrid.operators.reach import reached
 from dwellgrid.operators.rectangles import points_in_rects
 from dwellgrid.operators.table_functions import register_table_functions
@@ -329,6 +330,12 @@ def region_at(spark, sf_dir):
     return as_of(points, history, ["uid"], "ts", ["cluster_id"]).select("event_id", "cluster_id")
 
 
+@query
+def co_presence_query(spark, sf_dir):
+    run = _pipeline(spark, sf_dir)
+    return co_presence(run.stays.join(run.labels.select(*_STAY, "cluster_id"), _STAY))
+
+
 @query
 def user_region_ranked(spark, sf_dir):
     return _pipeline(spark, sf_dir).user_region
