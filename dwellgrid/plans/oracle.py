@@ -356,7 +356,7 @@ def oracle_statements() -> dict[str, str]:
                 "periods AS (SELECT cluster_id, at_ts AS begins, lead(at_ts) OVER w AS ends,"
                 " CAST(sum(step) OVER w AS BIGINT) AS n_stays FROM moments WINDOW w AS (PARTITION BY cluster_id ORDER BY at_ts))",
             ],
-            "SELECT cluster_id, begins, ends, n_stays FROM periods WHERE n_stays >= 2",
+            "SELECT cluster_id, begins, ends, n_stays FROM periods WHERE n_stays >= 1",
         ),
         "region_at": _with(
             labels,

@@ -56,26 +56,8 @@ def query(fn):
     return fn
 
 
-# Pipelines by session, folder and parameters, if ``share_stages(True)`` was called.
-_shared: dict[tuple, TrajectoryPipeline] | None = None
-
-
-def share_stages(on: bool) -> None:
-    """Let queries of one session reuse each other's stages; off unless asked for."""
-    global _shared
-    _shared = {} if on else None
-
-
 def _pipeline(spark: SparkSession, sf_dir: str, **params) -> TrajectoryPipeline:
-    def build():
-        return TrajectoryPipeline(event_positions(spark, sf_dir), Params(**params), EVENT_ORDER)
-
-    if _shared is None:
-        return build()
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(params.items())))
-    if key not in _shared:
-        _shared[key] = build()
-    return _shared[key]
+    return TrajectoryPipeline(event_positions(spark, sf_dir), Params(**params), EVENT_ORDER)
 
 
 def _in_micro_degrees(found: DataFrame) -> DataFrame:
@@ -332,8 +314,9 @@ def region_at(spark, sf_dir):
 
 @query
 def co_presence_query(spark, sf_dir):
+    """All periods in which someone stays in a region, with how many do."""
     run = _pipeline(spark, sf_dir)
-    return co_presence(run.stays.join(run.labels.select(*_STAY, "cluster_id"), _STAY))
+    return co_presence(run.stays.join(run.labels.select(*_STAY, "cluster_id"), _STAY), least=1)
 
 
 @query
