@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.lineage import cut
-from dwellgrid.operators.itemsets import PAIR_BLOCK, frequent_pairs
+from dwellgrid.operators.shared_groups import PAIR_BLOCK, shared_groups
+
+# Users of a profile that travel as one row when pairs of profiles become pairs of users.
+MEMBER_BLOCK = 500
+# Pairs of users that one task gives out, as long as that asks for no more than MOST_TASKS tasks.
+TASK_PAIRS = 2_000_000
+MOST_TASKS = 10_000
 
 
 def user_profiles(pairs: DataFrame, min_support: int) -> tuple[DataFrame, DataFrame]:
-    """(uid, profile) of the users with ``min_support`` regions or more, and (profile, regions, n) of their profiles.
+    """(uid, profile, n, n_users) of the users with ``min_support`` regions or more, and (profile, regions, n, n_users) of their profiles.
 
     A profile is named by the least of its users; a user's regions are one row.
     """
@@ -22,17 +28,75 @@ def user_profiles(pairs: DataFrame, min_support: int) -> tuple[DataFrame, DataFr
         .filter(F.size("regions") >= min_support)
     )
     profiles = cut(users.groupBy("regions").agg(F.min("uid").alias("profile"), F.count(F.lit(1)).alias("n_users")))
-    members = users.join(profiles, "regions").select("uid", "profile")
+    members = users.join(profiles, "regions").select("uid", "profile", F.size("regions").alias("n"), "n_users")
     return members, profiles.select("profile", "regions", F.size("regions").alias("n"), "n_users")
 
 
+def profile_supports(profiles: DataFrame, min_support: int, block: int = PAIR_BLOCK) -> DataFrame:
+    """(a, a_users, b, b_users, support), a < b, of different profiles with ``min_support`` common regions."""
+    rows = profiles.select(F.struct("profile", "n_users").alias("uid"), F.explode("regions").alias("cluster_id"))
+    ends = [F.col(f"{c}.{f}").alias(name) for c, x in (("uid", "a"), ("other_uid", "b")) for f, name in (("profile", x), ("n_users", f"{x}_users"))]
+    return shared_groups(rows, min_support, block).select(*ends, "support")
+
+
 def profile_pairs(profiles: DataFrame, min_support: int, block: int = PAIR_BLOCK) -> DataFrame:
     """(a, b), both ways, of different profiles with ``min_support`` common regions."""
-    rows = profiles.select(F.col("profile").alias("uid"), F.explode("regions").alias("cluster_id"))
-    found = frequent_pairs(rows, min_support, block).select(F.col("uid").alias("a"), F.col("other_uid").alias("b"))
+    found = profile_supports(profiles, min_support, block)
     return found.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
 
 
+def _member_blocks(members: DataFrame) -> DataFrame:
+    """(profile, block, n, n_users, uids): a profile's users in blocks of about ``MEMBER_BLOCK``, in text order."""
+    own = F.pmod(F.xxhash64("uid"), F.ceil(F.col("n_users") / MEMBER_BLOCK)).cast("int")
+    return members.groupBy("profile", own.alias("block"), "n", "n_users").agg(
+        F.sort_array(F.collect_list("uid")).alias("uids")
+    )
+
+
+def user_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(uid, other_uid, support), uid < other_uid, of the users of paired profiles and of those who share one.
+
+    ``members`` are from ``user_profiles``, ``found`` from ``profile_supports``; found is read more than once. Blocks of users
+    meet, dealt to as many tasks as their pairs ask for, and each task lists the pairs of its blocks.
+    """
+    alone = found.filter("a_users = 1 AND b_users = 1").select(F.col("a").alias("uid"), F.col("b").alias("other_uid"), "support")
+    blocks = cut(_member_blocks(members.filter("n_users > 1")))
+    of_one = lambda c: F.when(F.col(f"{c}_users") == 1, F.array(c))
+    side = lambda c, i, us: blocks.select(F.col("profile").alias(c), F.col("block").alias(i), F.col("uids").alias(us))
+    across = (
+        found.filter("a_users > 1 OR b_users > 1")
+        .join(side("a", "i", "us"), "a", "left")
+        .join(side("b", "j", "vs"), "b", "left")
+        .select("a", "i", "b", "j", F.coalesce("us", of_one("a")).alias("us"), F.coalesce("vs", of_one("b")).alias("vs"), "support")
+    )
+    within = (
+        blocks.select(F.col("profile").alias("a"), F.col("block").alias("i"), F.col("uids").alias("us"), F.col("n").cast("bigint").alias("support"))
+        .join(side("a", "j", "vs"), "a")
+        .filter("i <= j")
+        .select("a", "i", F.col("a").alias("b"), "j", "us", "vs", "support")
+    )
+    n_across = found.agg(F.sum(F.col("a_users") * F.col("b_users"))).first()[0] or 0
+    n_within = members.filter("n_users > 1").agg(F.sum("n_users")).first()[0] or 0
+    tasks = min((n_across + n_within // 2) // TASK_PAIRS + 1, MOST_TASKS)
+    met = across.unionByName(within).repartition(int(tasks), "a", "i", "b", "j")
+    # Only a block that meets itself has a pair both ways.
+    itself = ((F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))).alias("itself")
+    listed = met.select(F.explode("us").alias("u"), "vs", itself, "support").select("u", F.explode("vs").alias("v"), "itself", "support")
+    crowds = listed.filter("NOT coalesce(itself, false) OR u < v").select(
+        F.least("u", "v").alias("uid"), F.greatest("u", "v").alias("other_uid"), "support"
+    )
+    return alone.unionByName(crowds)
+
+
+def similar_links(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(uid, other_uid): so many pairs of similar users that all similar users are connected, ``pairs`` from ``profile_pairs``.
+
+    Every user of a profile is linked with the one it is named by, and these with each other where their profiles are paired.
+    """
+    inside = members.filter("uid != profile").select(F.col("profile").alias("uid"), F.col("uid").alias("other_uid"))
+    return inside.unionByName(pairs.filter("a < b").select(F.col("a").alias("uid"), F.col("b").alias("other_uid")))
+
+
 def users_with_similar(members: DataFrame, profiles: DataFrame, pairs: DataFrame) -> DataFrame:
     """uid of every user with a similar one: of a paired profile, or not alone in theirs."""
     paired = pairs.select(F.col("a").alias("profile")).distinct()
