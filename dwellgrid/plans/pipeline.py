@@ -100,6 +100,12 @@ class TrajectoryPipeline:
         members, found = profiles.user_profiles(self.region_user, self.params.min_support)
         return members, found, cut(profiles.profile_pairs(found, self.params.min_support))
 
+    @property
+    def similar_links(self) -> DataFrame:
+        """Pairs of similar users that connect whom ``similar`` connects."""
+        members, _, pairs = self._profiled
+        return profiles.similar_links(members, pairs)
+
     @cached_property
     def recommended(self) -> DataFrame:
         p = self.params

@@ -4,6 +4,7 @@ import pytest
 
 import brute
 from dwellgrid.operators import itemsets, profiles, shared_groups
+from dwellgrid.operators.components import connected_components
 
 
 def crowds(seed=5, users=120):
@@ -31,3 +32,17 @@ def test_only_profiles_are_paired(spark, monkeypatch, block, tasks):
     want = brute.pairs([x for x in rows if None not in x], 3)
     assert len(got) == len(want) and {(r.uid, r.other_uid): r.support for r in got} == want
     assert max(paired) <= 8 * 7
+
+
+def profiled(spark, rows, least=3):
+    members, found = profiles.user_profiles(frame(spark, rows), least)
+    return members, profiles.profile_pairs(found, least)
+
+
+def test_links_connect_whom_similar_users_connect(spark):
+    rows = crowds() + [(r, u) for r in (60, 61, 62) for u in ("p1", "p2")]
+    sim = itemsets.similar_users(itemsets.frequent_pairs(frame(spark, rows), 3))
+    links = profiles.similar_links(*profiled(spark, rows))
+    got = connected_components(links, "uid", "other_uid").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, connected_components(sim, "uid", "other_uid").collect()))
+    assert links.count() < 130 + 8 * 7 / 2
