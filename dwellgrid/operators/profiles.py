@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.lineage import cut
+from dwellgrid.operators.reach import reached
 from dwellgrid.operators.shared_groups import PAIR_BLOCK, shared_groups
 
 # Users of a profile that travel as one row when pairs of profiles become pairs of users.
@@ -97,6 +98,25 @@ def similar_links(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return inside.unionByName(pairs.filter("a < b").select(F.col("a").alias("uid"), F.col("b").alias("other_uid")))
 
 
+def users_reached(members: DataFrame, pairs: DataFrame, starts: DataFrame) -> DataFrame:
+    """(uid, reached, hops): what ``reached`` gives over the pairs of similar users, ``starts`` having a column uid.
+
+    Profiles are reached over ``pairs`` from ``profile_pairs``; all users of a profile are as far, those of the start's own
+    one step away.
+    """
+    begin = cut(starts.select("uid").distinct().join(members.select("uid", "profile"), "uid"))
+    steps = reached(pairs, begin.select("profile").distinct(), src="a", dst="b")
+    itself = begin.select(F.col("profile").alias("start"), F.col("profile").alias("node"), F.lit(1).alias("hops")).distinct()
+    ends = members.select(F.col("uid").alias("reached"), F.col("profile").alias("node"))
+    return (
+        begin.withColumnRenamed("profile", "start")
+        .join(steps.unionByName(itself), "start")
+        .join(ends, "node")
+        .filter("uid != reached")
+        .select("uid", "reached", "hops")
+    )
+
+
 def users_with_similar(members: DataFrame, profiles: DataFrame, pairs: DataFrame) -> DataFrame:
     """uid of every user with a similar one: of a paired profile, or not alone in theirs."""
     paired = pairs.select(F.col("a").alias("profile")).distinct()

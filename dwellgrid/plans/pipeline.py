@@ -106,6 +106,11 @@ class TrajectoryPipeline:
         members, _, pairs = self._profiled
         return profiles.similar_links(members, pairs)
 
+    def users_reached(self, starts: DataFrame) -> DataFrame:
+        """uid, reached, hops by steps between similar users from those of ``starts``."""
+        members, _, pairs = self._profiled
+        return profiles.users_reached(members, pairs, starts)
+
     @cached_property
     def recommended(self) -> DataFrame:
         p = self.params

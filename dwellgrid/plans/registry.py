@@ -21,7 +21,6 @@ from dwellgrid.operators.asof import as_of
 from dwellgrid.operators.components import ONE_TASK_EDGES, connected_components
 from dwellgrid.operators.maximal_sets import frequent_maximal_sets
 from dwellgrid.operators.presence import co_presence
-from dwellgrid.operators.reach import reached
 from dwellgrid.operators.rectangles import points_in_rects
 from dwellgrid.operators.table_functions import register_table_functions
 from dwellgrid.plans.event_view import EVENT_ORDER, event_points, event_positions, micro_mean
@@ -371,8 +370,7 @@ def users_within_hops(spark, sf_dir):
     """Users that the first user of each region reaches by similar users, and in how many steps."""
     run = _pipeline(spark, sf_dir)
     starts = run.region_user.groupBy("cluster_id").agg(F.min("uid").alias("uid")).select("uid")
-    found = reached(run.similar, starts, src="uid", dst="other_uid")
-    return found.select(F.col("start").alias("uid"), F.col("node").alias("reached"), "hops")
+    return run.users_reached(starts)
 
 
 @query

@@ -5,6 +5,7 @@ import pytest
 import brute
 from dwellgrid.operators import itemsets, profiles, shared_groups
 from dwellgrid.operators.components import connected_components
+from dwellgrid.operators.reach import reached
 
 
 def crowds(seed=5, users=120):
@@ -46,3 +47,14 @@ def test_links_connect_whom_similar_users_connect(spark):
     got = connected_components(links, "uid", "other_uid").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, connected_components(sim, "uid", "other_uid").collect()))
     assert links.count() < 130 + 8 * 7 / 2
+
+
+def test_users_are_reached_by_their_profiles(spark):
+    # A chain of region sets, each similar to the next, several users with each.
+    rows = crowds() + [(r, f"c{k}{i}") for k in range(5) for r in range(200 + k, 204 + k) for i in "xyz"[: 1 + k % 3]]
+    starts = spark.createDataFrame([(u,) for u in ("000", "001", "c0x", "c1y", "c1y", "lone", "nobody", None)], "uid string")
+    sim = itemsets.similar_users(itemsets.frequent_pairs(frame(spark, rows), 3))
+    want = {tuple(r) for r in reached(sim, starts, src="uid", dst="other_uid").collect()}
+    got = profiles.users_reached(*profiled(spark, rows), starts).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert max(h for _, _, h in want) == 4
