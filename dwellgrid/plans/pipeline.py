@@ -93,7 +93,8 @@ class TrajectoryPipeline:
 
     @cached_property
     def similar(self) -> DataFrame:
-        return self._kept(itemsets.similar_users(self.pairs), "similar")
+        # As large as the pairs of users: not stored unless asked for, what it is listed from is.
+        return self._passed(itemsets.similar_users(self.pairs), "similar")
 
     @cached_property
     def _profiled(self) -> tuple[DataFrame, DataFrame, DataFrame]:

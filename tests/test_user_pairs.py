@@ -6,6 +6,7 @@ import brute
 from dwellgrid.operators import itemsets, profiles, shared_groups
 from dwellgrid.operators.components import connected_components
 from dwellgrid.operators.reach import reached
+from dwellgrid.plans.pipeline import TrajectoryPipeline
 
 
 def crowds(seed=5, users=120):
@@ -35,6 +36,19 @@ def test_only_profiles_are_paired(spark, monkeypatch, block, tasks):
     assert max(paired) <= 8 * 7
 
 
+def test_similar_users_are_not_stored(spark, monkeypatch):
+    """The list of similar users is as large as their pairs: without an output folder no stage keeps it."""
+    rows = crowds()
+    run = TrajectoryPipeline(None)
+    run.__dict__["region_user"] = frame(spark, rows)
+    stored = []
+    monkeypatch.setattr("dwellgrid.plans.pipeline.cut", lambda df: stored.append(df.columns) or df)
+    want = brute.pairs([x for x in rows if None not in x], 3)
+    got = run.similar.collect()
+    assert {(r.uid, r.other_uid): r.support for r in got} == want | {(b, a): n for (a, b), n in want.items()}
+    assert not stored
+
+
 def profiled(spark, rows, least=3):
     members, found = profiles.user_profiles(frame(spark, rows), least)
     return members, profiles.profile_pairs(found, least)
