@@ -72,3 +72,19 @@ def test_users_are_reached_by_their_profiles(spark):
     got = profiles.users_reached(*profiled(spark, rows), starts).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert max(h for _, _, h in want) == 4
+
+
+@pytest.mark.parametrize("line_items", [1000, 10, 1])
+def test_lines_of_similar_users(spark, line_items):
+    """A user's line is the list of the profile without the user, in parts too."""
+    rows = crowds(users=30)
+    sim = itemsets.similar_users(itemsets.frequent_pairs(frame(spark, rows), 3)).collect()
+    want = set()
+    for uid in {r.uid for r in sim}:
+        others = sorted(r.other_uid for r in sim if r.uid == uid)
+        for k in range(0, len(others), line_items):
+            mine = others[k : k + line_items]
+            place = k if k or len(mine) == line_items else None
+            want.add((uid, k // line_items, ",".join(mine), place))
+    got = profiles.similar_lines(*profiled(spark, rows), line_items).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
