@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from dwellgrid.functions.text import FIELD_SEP, natural_sorted
+from dwellgrid.operators.numbering import number_all
 
 # Fixed value: the text for a user with similar users but nothing to recommend.
 NOTHING = "NO RECOMMENDATION"
+# Bits of an offer's number that are its user's place in text order; those above are the round.
+PLACE_BITS = 40
+# Pairs of profiles that one task hands offers to, as long as that asks for no more than MOST_TASKS tasks.
+TASK_PAIRS = 500_000
+MOST_TASKS = 10_000
 
 
 def recommend_regions(
@@ -71,34 +77,36 @@ def recommend_by_profile(
     """What ``recommend_regions`` gives where similar users are those who share enough regions, without listing them.
 
     ``members`` and ``profiles`` are from ``user_profiles``, ``pairs`` from ``profile_pairs``. Of the users of a
-    profile only the earliest offer of each region counts for others, so profiles, not users, are paired. Without
-    counts, all users of a profile know the same regions and get the same picks, which are handed to them last. With counts, users are told
+    profile only the earliest offer of each region counts for others, so profiles, not users, are paired. An offer is a
+    number, its round ahead of its user's place in text order, so that the earliest one is found by hashing, not sorting.
+    Without counts, all users of a profile know the same regions and get the same picks, which are handed to them last.
+    With counts, users are told
     apart once the offers to their profile are down to one for each region and count.
     """
     known = {"region": ["cluster_id"], "region_and_count": ["cluster_id", "visits"]}[exclude]
     earliest = F.min("pick").alias("pick")
+    placed = number_all(members.select("uid", "profile"), ["uid"], "nth")
     offers = (
         ranked.filter(F.col("rank") <= top_n)
-        .join(members, "uid")
+        .join(placed, "uid")
         .select(
             F.col("profile").alias("b"),
             "cluster_id",
             "visits",
-            F.struct((F.col("rank") - 1).alias("round"), F.col("uid").alias("other_uid")).alias("pick"),
+            (F.shiftleft((F.col("rank") - 1).cast("bigint"), PLACE_BITS) + F.col("nth")).alias("pick"),
         )
         .groupBy("b", *known)
         .agg(earliest)
     )
+    own = profiles.select(F.col("profile").alias("a"), F.explode("regions").alias("cluster_id"))
     if exclude == "region":
-        own = profiles.select(F.col("profile").alias("a"), F.explode("regions").alias("cluster_id"))
-        fresh = pairs.join(offers, "b").groupBy("a", *known).agg(earliest).join(own, ["a", "cluster_id"], "left_anti")
-        picked = _picked(fresh, "a", top_n).withColumnRenamed("a", "profile")
+        fresh = _offered(pairs, offers).groupBy("a", *known).agg(earliest).join(own, ["a", "cluster_id"], "left_anti")
+        picked = _picked(_parted(fresh), "a", top_n).withColumnRenamed("a", "profile")
         return members.join(picked, "profile").select("uid", "position", "cluster_id")
     # Users of one profile are similar to each other; a user's own offers are known to them.
     itself = profiles.select(F.col("profile").alias("a"), F.col("profile").alias("b"))
     fresh = (
-        pairs.unionByName(itself)
-        .join(offers, "b")
+        _offered(pairs.unionByName(itself), offers)
         .groupBy(F.col("a").alias("profile"), *known)
         .agg(earliest)
         .join(members, "profile")
@@ -106,7 +114,20 @@ def recommend_by_profile(
         .groupBy("uid", "cluster_id")
         .agg(earliest)
     )
-    return _picked(fresh, "uid", top_n)
+    return _picked(_parted(fresh), "uid", top_n)
+
+
+def _offered(pairs: DataFrame, offers: DataFrame) -> DataFrame:
+    """Offers of ``b`` for every ``a`` it is paired with; each task takes a bounded number of pairs."""
+    tasks = min(pairs.count() // TASK_PAIRS + 1, MOST_TASKS)
+    return pairs.repartition(int(tasks), "b").join(offers, "b")
+
+
+def _parted(fresh: DataFrame) -> DataFrame:
+    """A pick as its round and its user's place."""
+    place = F.col("pick").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    pick = F.struct(F.shiftright("pick", PLACE_BITS).alias("round"), place.alias("other_uid"))
+    return fresh.withColumn("pick", pick)
 
 
 def recommendation_lines(similar: DataFrame, picked: DataFrame) -> DataFrame:
