@@ -80,8 +80,7 @@ def recommend_by_profile(
     profile only the earliest offer of each region counts for others, so profiles, not users, are paired. An offer is a
     number, its round ahead of its user's place in text order, so that the earliest one is found by hashing, not sorting.
     Without counts, all users of a profile know the same regions and get the same picks, which are handed to them last.
-    With counts, users are told
-    apart once the offers to their profile are down to one for each region and count.
+    With counts, users are told apart once the offers to their profile are down to those that may be picked.
     """
     known = {"region": ["cluster_id"], "region_and_count": ["cluster_id", "visits"]}[exclude]
     earliest = F.min("pick").alias("pick")
@@ -105,10 +104,10 @@ def recommend_by_profile(
         return members.join(picked, "profile").select("uid", "position", "cluster_id")
     # Users of one profile are similar to each other; a user's own offers are known to them.
     itself = profiles.select(F.col("profile").alias("a"), F.col("profile").alias("b"))
+    fresh = _offered(pairs.unionByName(itself), offers).groupBy("a", *known).agg(earliest)
     fresh = (
-        _offered(pairs.unionByName(itself), offers)
-        .groupBy(F.col("a").alias("profile"), *known)
-        .agg(earliest)
+        _pickable(fresh, own, top_n)
+        .withColumnRenamed("a", "profile")
         .join(members, "profile")
         .join(ranked.select("uid", *known), ["uid", *known], "left_anti")
         .groupBy("uid", "cluster_id")
@@ -130,6 +129,21 @@ def _parted(fresh: DataFrame) -> DataFrame:
     return fresh.withColumn("pick", pick)
 
 
+def _pickable(fresh: DataFrame, own: DataFrame, top_n: int) -> DataFrame:
+    """Of the earliest offers of each region and count to a profile, those that one of its users may pick.
+
+    A user leaves out at most one count of a region, so each region's first two offers suffice. The first of a region that the
+    profile does not know and the second of one it knows are open to all its users; what comes after ``top_n`` of these is picked by nobody.
+    """
+    first = W.partitionBy("a", "cluster_id").orderBy("pick")
+    earlier = W.partitionBy("a").orderBy("pick").rowsBetween(W.unboundedPreceding, -1)
+    two = fresh.withColumn("nth", F.row_number().over(first)).filter("nth <= 2")
+    two = two.join(own.withColumn("own", F.lit(True)), ["a", "cluster_id"], "left")
+    to_all = F.when(F.col("nth") == F.when(F.col("own"), 2).otherwise(1), 1).otherwise(0)
+    counted = two.withColumn("to_all", to_all).withColumn("before", F.coalesce(F.sum("to_all").over(earlier), F.lit(0)))
+    return counted.filter(F.col("before") < top_n).select(*fresh.columns)
+
+
 def recommendation_lines(similar: DataFrame, picked: DataFrame) -> DataFrame:
     """uid, line for every user with similar users (``uid`` of ``similar``), regions in natural order."""
     lists = picked.groupBy("uid").agg(
