@@ -9,7 +9,10 @@ from pyspark.sql.window import Window as W
 from dwellgrid.lineage import cut
 
 # Rows of a group that meet each other in one task; larger groups are cut into blocks.
-PAIR_BLOCK = 2000
+PAIR_BLOCK = 500
+# Pairs that one task joins, as long as that asks for no more than MOST_TASKS tasks.
+TASK_PAIRS = 1_000_000
+MOST_TASKS = 10_000
 
 
 def frequent_items(pairs: DataFrame, min_support: int = 3) -> DataFrame:
@@ -25,9 +28,13 @@ def blocked_pairs(rows: DataFrame, group: list[str], item: str, block: int) -> D
     """Rows of one group joined with each other as columns a_* and b_*, a's item smaller.
 
     A group is hashed into blocks of about ``block`` rows, and each pair of blocks is
-    its own join key, so no key brings more than a block per side to a task.
+    its own join key, so no key brings more than a block per side to a task. Rows are few beside their pairs, so the
+    number of tasks goes by the pairs, which are counted from the sizes of the groups.
     """
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    counted = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    n_pairs = (counted.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0) / 2
+    tasks = min(int(n_pairs / TASK_PAIRS) + 1, MOST_TASKS)
+    sizes = counted.select(*group, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     placed = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64(item), "blocks").cast("int"))
     values = [c for c in rows.columns if c not in group]
     left = placed.select(
@@ -38,7 +45,8 @@ def blocked_pairs(rows: DataFrame, group: list[str], item: str, block: int) -> D
         *group, F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"),
         F.struct(*values).alias("r"),
     )
-    met = left.join(right, [*group, "i", "j"]).filter(
+    keys = [*group, "i", "j"]
+    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys).filter(
         (F.col(f"l.{item}") < F.col(f"r.{item}"))
         | ((F.col("i") < F.col("j")) & (F.col(f"l.{item}") > F.col(f"r.{item}")))
     )

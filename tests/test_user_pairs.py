@@ -88,3 +88,11 @@ def test_lines_of_similar_users(spark, line_items):
             want.add((uid, k // line_items, ",".join(mine), place))
     got = profiles.similar_lines(*profiled(spark, rows), line_items).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_pairs_are_joined_by_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    """Rows are few beside their pairs: a shuffle that goes by bytes would leave all pairs to one task."""
+    monkeypatch.setattr(shared_groups, "TASK_PAIRS", 100)
+    rows = spark.createDataFrame([(r, f"{u:03d}") for u in range(40) for r in range(3)], "cluster_id int, uid string")
+    met = shared_groups.blocked_pairs(rows, ["cluster_id"], "uid", 5)
+    assert met.rdd.getNumPartitions() == 25 and met.count() == 3 * 40 * 39 / 2
