@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.lineage import cut
 from dwellgrid.operators.itemsets import PAIR_BLOCK, blocked_pairs
-from dwellgrid.operators.profiles import profile_pairs, user_profiles
+from dwellgrid.operators.profiles import member_blocks, profile_pairs, user_profiles
 
 # Items of a prefix class that one task searches; larger classes are split by their next item first.
 CLASS_ITEMS = 2000
@@ -146,7 +146,7 @@ def _searched(least: int):
 
 
 def frequent_maximal_sets(
-    pairs: DataFrame, min_support: int = 3, class_items: int = CLASS_ITEMS, block: int = PAIR_BLOCK
+    pairs: DataFrame, min_support: int = 3, class_items: int = CLASS_ITEMS, block: int = PAIR_BLOCK, in_blocks: bool = False
 ) -> DataFrame:
     """(set_id, uid, support) of the sets of users in at least ``min_support`` common regions to which none can be added.
 
@@ -154,7 +154,8 @@ def frequent_maximal_sets(
     is searched depth first by one task, with regions as bits: the support of a set is the number of bits its items
     have in common. A class holds what is needed to tell that a set is largest, so sets are never compared with
     each other. Classes above ``class_items`` items are split by one more item of the prefix until they fit.
-    A user's regions are one row. The number of sets may be exponential in the regions that users share, as the
+    A user's regions are one row. With ``in_blocks`` a row has many users of a set, (set_id, uids, support), so that sets of many users
+    are not shuffled user by user. The number of sets may be exponential in the regions that users share, as the
     question has it.
     """
     members, profiles = user_profiles(pairs, min_support)
@@ -177,6 +178,6 @@ def frequent_maximal_sets(
         ended = longer.join(classes.select("prefix").distinct(), "prefix", "left_anti")
         sets = sets.unionByName(ended.select(F.sort_array("prefix").alias("profiles"), "support"))
     named = sets.select(F.sha2(F.array_join("profiles", ","), 256).alias("set_id"), "support", "profiles")
-    return named.select("set_id", "support", F.explode("profiles").alias("profile")).join(members, "profile").select(
-        "set_id", "uid", "support"
-    )
+    parts = named.select("set_id", "support", F.explode("profiles").alias("profile"))
+    blocks = parts.join(member_blocks(members), "profile").select("set_id", "uids", "support")
+    return blocks if in_blocks else blocks.select("set_id", F.explode("uids").alias("uid"), "support")

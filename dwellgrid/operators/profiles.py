@@ -48,7 +48,7 @@ def profile_pairs(profiles: DataFrame, min_support: int, block: int = PAIR_BLOCK
     return found.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
 
 
-def _member_blocks(members: DataFrame) -> DataFrame:
+def member_blocks(members: DataFrame) -> DataFrame:
     """(profile, block, n, n_users, uids): a profile's users in blocks of about ``MEMBER_BLOCK``, in text order."""
     own = F.pmod(F.xxhash64("uid"), F.ceil(F.col("n_users") / MEMBER_BLOCK)).cast("int")
     return members.groupBy("profile", own.alias("block"), "n", "n_users").agg(
@@ -63,7 +63,7 @@ def user_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
     meet, dealt to as many tasks as their pairs ask for, and each task lists the pairs of its blocks.
     """
     alone = found.filter("a_users = 1 AND b_users = 1").select(F.col("a").alias("uid"), F.col("b").alias("other_uid"), "support")
-    blocks = cut(_member_blocks(members.filter("n_users > 1")))
+    blocks = cut(member_blocks(members.filter("n_users > 1")))
     of_one = lambda c: F.when(F.col(f"{c}_users") == 1, F.array(c))
     side = lambda c, i, us: blocks.select(F.col("profile").alias(c), F.col("block").alias(i), F.col("uids").alias(us))
     across = (
@@ -136,7 +136,7 @@ def similar_lines(members: DataFrame, pairs: DataFrame, line_items: int = LINE_I
         .groupBy(F.col("a").alias("profile"), "part")
         .agg(F.sort_array(F.collect_list("uid")).alias("items"))
     )
-    blocks = cut(_member_blocks(members).select("profile", "block", "uids"))
+    blocks = cut(member_blocks(members).select("profile", "block", "uids"))
     met = blocks.join(pieces, "profile").repartition(max(1, min(blocks.count(), MOST_TASKS)), "profile", "block", "part")
     items, size = F.col("items"), int(line_items)
     rest = (

@@ -360,8 +360,8 @@ def frequent_triples(spark, sf_dir):
 
 @query
 def frequent_maximal_sets_query(spark, sf_dir):
-    sets = frequent_maximal_sets(_pipeline(spark, sf_dir).region_user, Params.min_support)
-    members = F.array_join(F.sort_array(F.collect_list("uid")), ",")
+    sets = frequent_maximal_sets(_pipeline(spark, sf_dir).region_user, Params.min_support, in_blocks=True)
+    members = F.array_join(F.sort_array(F.flatten(F.collect_list("uids"))), ",")
     return sets.groupBy("set_id").agg(members.alias("items"), F.first("support").alias("freq")).drop("set_id")
 
 

@@ -5,6 +5,7 @@ import pytest
 import brute
 from dwellgrid.operators import itemsets, profiles, shared_groups
 from dwellgrid.operators.components import connected_components
+from dwellgrid.operators.maximal_sets import frequent_maximal_sets
 from dwellgrid.operators.reach import reached
 from dwellgrid.plans.pipeline import TrajectoryPipeline
 
@@ -96,3 +97,12 @@ def test_pairs_are_joined_by_as_many_tasks_as_they_ask_for(spark, monkeypatch):
     rows = spark.createDataFrame([(r, f"{u:03d}") for u in range(40) for r in range(3)], "cluster_id int, uid string")
     met = shared_groups.blocked_pairs(rows, ["cluster_id"], "uid", 5)
     assert met.rdd.getNumPartitions() == 25 and met.count() == 3 * 40 * 39 / 2
+
+
+def test_large_sets_are_given_in_blocks(spark):
+    """A set's users travel many to a row."""
+    pairs = frame(spark, crowds())
+    blocks = frequent_maximal_sets(pairs, 3, in_blocks=True).collect()
+    listed = sorted(tuple(r) for r in frequent_maximal_sets(pairs, 3).collect())
+    assert sorted((r.set_id, u, r.support) for r in blocks for u in r.uids) == listed
+    assert len(blocks) < len(listed) / 5
