@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.lineage import cut
-from dwellgrid.operators.itemsets import PAIR_BLOCK, blocked_pairs
+from dwellgrid.operators.shared_groups import PAIR_BLOCK, blocked_pairs
 from dwellgrid.operators.profiles import member_blocks, profile_pairs, user_profiles
 
 # Items of a prefix class that one task searches; larger classes are split by their next item first.

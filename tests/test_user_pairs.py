@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 
@@ -106,3 +107,27 @@ def test_large_sets_are_given_in_blocks(spark):
     listed = sorted(tuple(r) for r in frequent_maximal_sets(pairs, 3).collect())
     assert sorted((r.set_id, u, r.support) for r in blocks for u in r.uids) == listed
     assert len(blocks) < len(listed) / 5
+
+
+@pytest.mark.parametrize("block, sets", [(500, 2_000_000), (3, 50)])
+def test_only_blocks_of_users_are_joined_to_sets(spark, monkeypatch, block, sets):
+    """Sets of users are listed from sets of blocks: what meets are rows of profiles, however many users have them."""
+    met = []
+    real = profiles.blocked_pairs
+    monkeypatch.setattr(profiles, "blocked_pairs", lambda rows, *a: met.append(rows.count()) or real(rows, *a))
+    monkeypatch.setattr(profiles, "MEMBER_BLOCK", block)
+    monkeypatch.setattr(profiles, "TASK_PAIRS", sets)
+    rows = crowds(users=40)
+    regions = {}
+    for r, u in rows:
+        if r is not None and u is not None:
+            regions.setdefault(u, set()).add(r)
+    want = {}
+    for size in (3, 4):
+        for some in combinations(sorted(u for u in regions if len(regions[u]) > 2), size):
+            common = len(set.intersection(*(regions[u] for u in some)))
+            if common >= 3:
+                want[some] = common
+    got = [r for r in itemsets.frequent_itemsets(frame(spark, rows), 3, max_len=4).collect() if len(r["items"]) > 2]
+    assert len(got) == len(want) and {tuple(r["items"]): r.freq for r in got} == want
+    assert len(met) == 2 and (block < 500 or max(met) <= 8 * 8 * 8)
