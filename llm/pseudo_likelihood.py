@@ -49,6 +49,9 @@ SCORING_BATCH = 2048
 #: Different words a task counts before it hands them on.
 COUNTED = 200_000
 
+_ONES = np.ones(CLASSES, np.float32)
+_AROUND = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
+_CELLS = np.arange(CLASSES * WIDTH).reshape(CLASSES, WIDTH)
 _SHAPES = ((CLASSES, WIDTH), (2 * SIDE, WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 
 
@@ -138,20 +141,29 @@ def with_edges(found: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     return out, places
 
 
-def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shift, sums): turns logits into exponentials of what exceeds each row's shift; sums of the rows.
+def _exponentials(logits: np.ndarray, hidden: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shift, sums): turns logits, which are ``hidden @ outer``, into exponentials of what exceeds each row's shift; sums of the rows.
 
-    One shift does for all rows unless one lies so far below that its exponentials vanish.
+    There is no shift unless sums without one come near the ends of what a float holds.
     """
-    ones = np.ones(logits.shape[1], np.float32)
-    top = logits.max(initial=0)
-    if logits.size and logits[:, 0].min() > top - 40:
-        shift = np.full(len(logits), top)
-    else:
-        shift = logits.max(axis=1)
+    np.exp(logits, out=logits)
+    sums = logits @ _ONES
+    if 1e-25 < sums.min(initial=1) and sums.max(initial=1) < 1e25:
+        return np.zeros(len(logits), np.float32), sums
+    np.matmul(hidden, outer, out=logits)
+    shift = logits.max(axis=1)
     logits -= shift[:, None]
     np.exp(logits, out=logits)
-    return shift, logits @ ones
+    return shift, logits @ _ONES
+
+
+def _tanh(x: np.ndarray) -> None:
+    """In place; by the exponential, which is the faster one."""
+    x += x
+    np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
 
 
 class Network:
@@ -172,50 +184,77 @@ class Network:
 
     @staticmethod
     def context(classes: np.ndarray, places: np.ndarray) -> np.ndarray:
-        return np.stack([classes[places + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
+        return np.take(classes, places[:, None] + _AROUND, mode="clip").astype(np.intp)
+
+    def _whole_outer(self) -> np.ndarray:
+        """The outer weights with the bias as a last row, for hidden layers that end in a one."""
+        return np.vstack([self.parts[3], self.parts[4]])
 
     def log_probabilities(self, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Of each masked place's own class."""
-        embed, inner, bias, outer, out_bias = self.parts
+        embed, inner, bias = self.parts[:3]
+        outer = self._whole_outer()
+        classes = classes.astype(np.uint8)
         # What each class adds to the hidden layer from each distance, computed once.
         tables = np.einsum("cw,swh->sch", embed, inner)
+        tables[0] += bias
         found = np.empty(len(places))
-        for a in range(0, len(places), SCORING_BATCH):
-            at = places[a : a + SCORING_BATCH]
-            around = self.context(classes, at)
-            hidden = tables[0][around[:, 0]] + bias
-            for s in range(1, 2 * SIDE):
-                hidden += tables[s][around[:, s]]
-            logits = np.tanh(hidden) @ outer
-            logits += out_bias
-            own = logits[np.arange(len(at)), classes[at]].astype(np.float64)
-            shift, sums = _exponentials(logits)
-            found[a : a + len(at)] = own - shift - np.log(sums)
+        ones = np.ones((SCORING_BATCH, HIDDEN + 1), np.float32)
+        space = np.empty((SCORING_BATCH, CLASSES), np.float32)
+        with np.errstate(over="ignore"):
+            for a in range(0, len(places), SCORING_BATCH):
+                at = places[a : a + SCORING_BATCH]
+                hidden, logits = ones[: len(at)], space[: len(at)]
+                around = self.context(classes, at)
+                added = np.take(tables[0], around[:, 0], axis=0, mode="clip")
+                for s in range(1, 2 * SIDE):
+                    added += np.take(tables[s], around[:, s], axis=0, mode="clip")
+                _tanh(added)
+                hidden[:, :HIDDEN] = added
+                np.matmul(hidden, outer, out=logits)
+                own = logits[np.arange(len(at)), classes[at]].astype(np.float64)
+                shift, sums = _exponentials(logits, hidden, outer)
+                found[a : a + len(at)] = own - shift - np.log(sums)
         return found
 
     def learn(self, classes: np.ndarray, places: np.ndarray) -> None:
         """One pass of stochastic gradient steps over the places."""
-        embed, inner, bias, outer, out_bias = self.parts
+        embed, inner, bias = self.parts[:3]
         flat_inner = inner.reshape(-1, HIDDEN)
-        for a in range(0, len(places), BATCH):
-            at = places[a : a + BATCH]
-            n = len(at)
-            step = np.float32(RATE / n)
-            around = self.context(classes, at)
-            x = embed[around].reshape(n, -1)
-            hidden = np.tanh(x @ flat_inner + bias)
-            p = hidden @ outer
-            p += out_bias
-            p *= (step / _exponentials(p)[1])[:, None]
-            p[np.arange(n), classes[at]] -= step
-            down = (p @ outer.T) * (1 - hidden * hidden)
-            back = (down @ flat_inner.T).reshape(-1, WIDTH)
-            outer -= (p.T @ hidden).T
-            out_bias -= np.ones(n, np.float32) @ p
-            flat_inner -= x.T @ down
-            bias -= down.sum(axis=0)
-            cells = around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-            embed -= np.bincount(cells.ravel(), back.ravel(), embed.size).reshape(embed.shape).astype(np.float32)
+        classes = classes.astype(np.uint8)
+        outer = np.ascontiguousarray(self._whole_outer().T)
+        ones = np.ones((BATCH, HIDDEN + 1), np.float32)
+        space = np.empty((BATCH, CLASSES), np.float32)
+        rows = np.arange(BATCH) * CLASSES
+        steady = np.ones(BATCH, np.float32)
+        with np.errstate(over="ignore"):
+            for a in range(0, len(places), BATCH):
+                at = places[a : a + BATCH]
+                n = len(at)
+                hidden, p = ones[:n], space[:n]
+                around = self.context(classes, at)
+                x = np.take(embed, around, axis=0, mode="clip").reshape(n, -1)
+                inside = x @ flat_inner
+                inside += bias
+                _tanh(inside)
+                hidden[:, :HIDDEN] = inside
+                np.matmul(hidden, outer.T, out=p)
+                sums = _exponentials(p, hidden, outer.T)[1]
+                # The rows of p are the gradients but for a factor each, which goes to the narrower side of the products.
+                p.reshape(-1)[rows[:n] + classes[at]] -= sums
+                factor = (np.float32(RATE / n) / sums)[:, None]
+                down = p @ outer[:, :HIDDEN]
+                inside *= inside
+                np.subtract(1, inside, out=inside)
+                inside *= factor
+                down *= inside
+                back = down @ flat_inner.T
+                outer -= p.T @ (hidden * factor)
+                flat_inner -= x.T @ down
+                bias -= steady[:n] @ down
+                cells = np.take(_CELLS, around.ravel(), axis=0, mode="clip").ravel()
+                embed -= np.bincount(cells, back.ravel(), embed.size).reshape(embed.shape).astype(np.float32)
+        self.parts[3][:], self.parts[4][:] = outer[:, :HIDDEN].T, outer[:, HIDDEN]
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -441,3 +441,41 @@ def test_quality_verdict_from_given_weights(spark):
     got = line_quality.judged(docs, field).collect()
     assert {r.doc_id: (r.base_failed, round(r.content_share, 9), r.kept) for r in got} == want
     assert {(False, True), (False, False), (True, False)} == {(v[0], v[2]) for v in want.values()}
+
+
+@pytest.mark.parametrize("scale", [0.3, 30])
+def test_network_equals_a_plain_one(scale):
+    """A step and the scores are those of float64 arithmetic, for logits that a float's exponential can't hold, too."""
+    rng = np.random.default_rng(4)
+    classes = rng.integers(0, pseudo_likelihood.CLASSES, 300)
+    places = np.arange(2, 2 + pseudo_likelihood.BATCH - 1)
+    net = pseudo_likelihood.Network(rng.normal(0, scale, len(pseudo_likelihood.Network().flat())))
+    embed, inner, bias, outer, out_bias = (x.astype(np.float64) for x in net.parts)
+    n, flat = len(places), inner.reshape(-1, pseudo_likelihood.HIDDEN)
+    around = np.stack([classes[places + d] for d in (-2, -1, 1, 2)], axis=1)
+    x = embed[around].reshape(n, -1)
+    hidden = np.tanh(x @ flat + bias)
+    logits = hidden @ outer + out_bias
+    logits -= logits.max(axis=1)[:, None]
+    log_p = logits - np.log(np.exp(logits).sum(axis=1))[:, None]
+    own = log_p[np.arange(n), classes[places]]
+    assert np.allclose(net.log_probabilities(classes, places), own, rtol=1e-3, atol=1e-3 * scale)
+    down = np.exp(log_p)
+    down[np.arange(n), classes[places]] -= 1
+    inside = (down @ outer.T) * (1 - hidden * hidden)
+    step = pseudo_likelihood.RATE / n
+    grown = embed.copy()
+    np.subtract.at(grown, around.ravel(), step * (inside @ flat.T).reshape(-1, pseudo_likelihood.WIDTH))
+    want = [grown, (flat - step * x.T @ inside).reshape(inner.shape), bias - step * inside.sum(axis=0),
+            outer - step * hidden.T @ down, out_bias - step * down.sum(axis=0)]
+    net.learn(classes, places)
+    for got, w in zip(net.parts, want, strict=True):
+        assert np.allclose(got, w, rtol=1e-3, atol=1e-3 * scale)
+
+
+def test_exponentials_without_a_shift():
+    """Exponentials are taken where the logits lie; a sum tells whether they could be, no pass for a maximum before."""
+    hidden, outer = np.ones((4, 3), np.float32), np.full((3, pseudo_likelihood.CLASSES), 0.5, np.float32)
+    logits = hidden @ outer
+    shift, sums = pseudo_likelihood._exponentials(logits, hidden, outer)
+    assert not shift.any() and np.allclose(logits, np.exp(1.5)) and np.allclose(sums, pseudo_likelihood.CLASSES * np.exp(1.5))
