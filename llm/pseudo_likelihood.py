@@ -22,11 +22,11 @@ conditional probability times its share in the class, which follows from the cou
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +48,8 @@ CHUNK_TOKENS = 1 << 17
 SCORING_BATCH = 2048
 #: Different words a task counts before it hands them on.
 COUNTED = 200_000
+#: Bytes of text whose words are counted at once.
+COUNTED_BYTES = 1 << 22
 
 _ONES = np.ones(CLASSES, np.float32)
 _AROUND = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
@@ -56,22 +58,25 @@ _SHAPES = ((CLASSES, WIDTH), (2 * SIDE, WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLAS
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-
-    def flush():
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
-        )
-        counts.clear()
-        return batch
-
-    for chunk in chunks(batches, "text"):
-        # A blank after each text keeps the last word of one from the first of the next.
-        texts_ = chunk.column(0).cast(pa.large_binary()).to_pylist()
-        counts.update(lowered(np.frombuffer(b" ".join(texts_), np.uint8)).tobytes().split())
-        if len(counts) > COUNTED:
-            yield flush()
-    yield flush()
+    held, rows = [], 0
+
+    def merged() -> pa.Table:
+        found = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return found.select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+    for chunk in chunks(batches, "text", COUNTED_BYTES):
+        words = pc.ascii_split_whitespace(pc.ascii_lower(chunk.column(0))).flatten()
+        found = pc.value_counts(words.filter(pc.greater(pc.binary_length(words), 0)))
+        held.append(pa.table({"word": found.field(0).cast(pa.binary()), "n": found.field(1)}))
+        rows += len(found)
+        if rows > 2 * COUNTED:
+            held = [merged()]
+            rows = held[0].num_rows
+            if rows > COUNTED:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if held:
+        yield from merged().to_batches()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -107,13 +112,34 @@ def _rare_counts(counts: DataFrame, words: list[bytes]) -> DataFrame:
     return counts.select("word", "n").mapInArrow(hashed, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+class Places:
+    """Places of hashes in a sorted array of them, found by their upper bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = len(hashes).bit_length() + 1
+        self._shift = np.uint64(64 - bits)
+        self._first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self._shift)
+        self._hashes = np.append(hashes, np.uint64(2**64 - 1))
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether the hash is there) of each; the place only counts where it is."""
+        at = self._first[(h >> self._shift).view(np.int64)]
+        there = self._hashes[at]
+        later = np.flatnonzero(there < h)
+        while len(later):
+            at[later] += 1
+            there[later] = self._hashes[at[later]]
+            later = later[there[later] < h[later]]
+        return at, (there == h) & (at < len(self._hashes) - 1)
+
+
 class Classes:
     """Class numbers of the words of many texts."""
 
     def __init__(self, words: list[bytes]):
         hashes = _word_hashes(words)
         order = np.argsort(hashes)
-        self._hashes, self._numbers = hashes[order], order
+        self._places, self._numbers = Places(hashes[order]), order
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(classes with ``SIDE`` edges before and after each text, place of each word)."""
@@ -126,9 +152,8 @@ class Classes:
         starts, ends, firsts = word_spans(values, offsets)
         h = span_hashes(prefix_sums(values), starts, ends)
         found = TOP_WORDS + (h >> np.uint64(58)).astype(np.int64)
-        if len(self._hashes):
-            at = np.minimum(np.searchsorted(self._hashes, h), len(self._hashes) - 1)
-            found = np.where(self._hashes[at] == h, self._numbers[at], found)
+        at, known = self._places(h)
+        found[known] = self._numbers[at[known]]
         return *with_edges(found, np.diff(firsts)), h
 
 
@@ -314,6 +339,7 @@ def _encode(words: list[bytes], hot):
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes_of = Classes(words)
         hot_hashes, hot_shares = hot.value
+        places_of = Places(hot_hashes)
         for chunk in chunks(batches, "text"):
             classes, places, h = classes_of.with_hashes(chunk.column(1))
             own = classes[places]
@@ -323,12 +349,12 @@ def _encode(words: list[bytes], hot):
             rare = own >= TOP_WORDS
             text, word = text_of[rare], h[rare]
             known = np.zeros(chunk.num_rows)
-            if len(hot_hashes):
-                at = np.minimum(np.searchsorted(hot_hashes, word), len(hot_hashes) - 1)
-                is_hot = hot_hashes[at] == word
-                known += np.bincount(text[is_hot], hot_shares[at[is_hot]], chunk.num_rows)
-                text, word = text[~is_hot], word[~is_hot]
-            order = np.lexsort((word, text))
+            at, is_hot = places_of(word)
+            known += np.bincount(text[is_hot], hot_shares[at[is_hot]], chunk.num_rows)
+            text, word = text[~is_hot], word[~is_hot]
+            # One key of text and the hash's upper bits: where these are equal for two words, a word may be listed twice.
+            bits = np.uint64(max(1, chunk.num_rows.bit_length()))
+            order = np.argsort((text.astype(np.uint64) << (np.uint64(64) - bits)) | (word >> bits))
             text, word = text[order], word[order]
             new = np.ones(len(word), bool)
             new[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1])

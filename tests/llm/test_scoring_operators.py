@@ -479,3 +479,31 @@ def test_exponentials_without_a_shift():
     logits = hidden @ outer
     shift, sums = pseudo_likelihood._exponentials(logits, hidden, outer)
     assert not shift.any() and np.allclose(logits, np.exp(1.5)) and np.allclose(sums, pseudo_likelihood.CLASSES * np.exp(1.5))
+
+
+def test_words_counted_in_any_pieces(monkeypatch):
+    """Counts handed on in pieces add up to those of plain Python, and few pieces repeat a word."""
+    texts = [None, "", " a\x0b\x0cB\x1c\x85  X y \x00z", "\n\n", "É A"] + [
+        " ".join(f"W{(i * k) % 97}" for i in range(40)) for k in range(1, 30)
+    ]
+    want = Counter()
+    for t in texts:
+        want.update("".join(c.lower() if c.isascii() else c for c in t or "").encode().split())
+    batches = [pa.record_batch({"text": pa.array(texts[a : a + 3])}) for a in range(0, len(texts), 3)]
+    for most in (10, 1000):
+        monkeypatch.setattr(pseudo_likelihood, "COUNTED", most)
+        got, n = Counter(), 0
+        for out in pseudo_likelihood._count(batches):
+            n += out.num_rows
+            got.update(dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)))
+        assert got == want
+    assert n == len(want)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 200])
+def test_places_of_hashes(n):
+    rng = np.random.default_rng(n)
+    hashes = np.unique(np.append(rng.integers(0, 2**64 - 1, n, dtype=np.uint64), np.array([0, 1, 2**64 - 1], np.uint64)[:n]))
+    asked = np.concatenate([hashes, hashes + np.uint64(1), rng.integers(0, 2**64 - 1, 500, dtype=np.uint64)])
+    at, there = pseudo_likelihood.Places(hashes)(asked)
+    assert (there == np.isin(asked, hashes)).all() and (hashes[at[there]] == asked[there]).all()
