@@ -72,23 +72,38 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _windows(codes: np.ndarray, width: int) -> np.ndarray:
+    """Each place's polynomial of the ``width`` codes from there on, put together from those of half the width."""
+    if width == 1:
+        return codes
+    half = width // 2
+    part = _windows(codes, half)
+    h = part[: len(part) - half] * np.uint64(pow(0x9E3779B97F4A7C15, half, 1 << 64))
+    h += part[half:]
+    if width % 2:
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15)
+        h += codes[width - 1 :]
+    return h
+
+
 def _shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, line number) of all shingles, repeats included; lines are not empty."""
     lengths = np.array([len(line) for line in lines], np.int64)
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     codes = np.concatenate([codes, np.zeros(width, np.uint64)])
     n = len(codes) - width
-    h = np.zeros(n, np.uint64)
-    for d in range(width):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += codes[d : d + n]
+    h = _windows(codes, width)[:n]
     # A line shorter than a shingle hashes whole: what follows it is not looked at.
     starts = np.cumsum(lengths) - lengths
     for i in np.flatnonzero(lengths < width):
         h[starts[i]] = np.uint64(xxhash.xxh3_64_intdigest(lines[i].encode("utf-32-le", "surrogatepass")))
-    owner = np.repeat(np.arange(len(lines)), lengths)
-    inside = np.arange(n) - starts[owner] <= np.maximum(0, lengths - width)[owner]
-    return mixed(h[inside]), owner[inside]
+    # The last places of a line begin no shingle; a shorter line has one at its start.
+    counts = np.maximum(lengths - width, 0) + 1
+    change = np.zeros(n + 1, np.int8)
+    change[starts] += 1
+    np.subtract.at(change, starts + counts, np.int8(1))
+    inside = np.cumsum(change[:-1], dtype=np.int8).view(bool)
+    return mixed(h[inside]), np.repeat(np.arange(len(lines)), counts)
 
 
 def signatures(lines: list[str], width: int = SHINGLE, bins: int = BANDS * ROWS) -> np.ndarray:

@@ -471,3 +471,23 @@ def test_language_by_direct_compression(spark):
         lang, lead = direct(t)
         want[i] = (lang, round(lead, 12), lead < language_id.NARROW or lang == "und")
     assert got == want and len({w[0] for w in want.values()}) > 2
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 8])
+def test_shingle_hashes_are_those_of_each_window(width):
+    lines = ["a", "abcdefg", "xabcdefg", "é漢🙂" * 5, "ab", "abcdefgabcdefg"]
+    h, owner = line_dedup._shingle_hashes(lines, width)
+    seen = {}
+    for i, line in enumerate(lines):
+        mine = h[owner == i].tolist()
+        windows = [line[k : k + width] for k in range(max(1, len(line) - width + 1))]
+        assert len(mine) == len(windows)
+        for window, number in zip(windows, mine, strict=True):
+            assert seen.setdefault(window, number) == number
+    assert len(set(seen.values())) == len(seen)
+    codes = np.arange(1, 30, dtype=np.uint64)
+    for at, got in enumerate(line_dedup._windows(codes, width).tolist()):
+        want = 0
+        for c in codes[at : at + width].tolist():
+            want = (want * 0x9E3779B97F4A7C15 + c) % (1 << 64)
+        assert got == want
