@@ -42,11 +42,12 @@ NEAREST = 64
 BLOCK, BLOCK_CHARS = 2048, 256
 #: Bits of a sketch; each is the parity of the shingles that fall on it.
 SKETCH_BITS = 512
-#: Lines whose shingles are sorted at once.
-_SORTED_LINES = 1 << 12
+#: Characters of lines that are hashed or sorted at once, and what a line weighs beside its own.
+PART_CHARS, _LINE_WEIGHT = 1 << 17, 32
 _SKETCH = [f"bits{i}" for i in range(SKETCH_BITS // 64)]
 #: Low bits of a band's key that order the lines of its value.
 ORDER_BITS = 16
+_NO_CODE_POINT = 0x110000
 _EMPTY = np.iinfo(np.uint64).max
 #: Lines a task remembers having signed; at the limit it starts anew and may sign some again.
 REMEMBERED = 500_000
@@ -72,16 +73,27 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _windows(codes: np.ndarray, width: int) -> np.ndarray:
+def _parts(lines: list[str]) -> Iterator[list[str]]:
+    """The lines in parts of some ``PART_CHARS``, which the processor's caches hold; a longer line is one of its own."""
+    ends = np.cumsum([len(line) + _LINE_WEIGHT for line in lines])
+    start = 0
+    while start < len(lines):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + PART_CHARS, side="right")))
+        yield lines[start:stop]
+        start = stop
+
+
+def _windows(codes: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Each place's polynomial of the ``width`` codes from there on, put together from those of half the width."""
     if width == 1:
         return codes
     half = width // 2
-    part = _windows(codes, half)
-    h = part[: len(part) - half] * np.uint64(pow(0x9E3779B97F4A7C15, half, 1 << 64))
+    part = _windows(codes, half, base)
+    h = part[: len(part) - half] * np.uint64(pow(base, half, 1 << 64))
     h += part[half:]
     if width % 2:
-        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15)
+        h = h[:-1] * np.uint64(base)
         h += codes[width - 1 :]
     return h
 
@@ -106,13 +118,78 @@ def _shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarra
     return mixed(h[inside]), np.repeat(np.arange(len(lines)), counts)
 
 
+def _pieces(codes: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of each place's ``width`` codes from there on, equal for equal ones only; codes are below 2^32."""
+    if width == 1:
+        return codes
+    half = (width + 1) // 2
+    part = _pieces(codes, half)
+    if half > 1:
+        part = np.unique(part, return_inverse=True)[1].astype(np.uint64)
+    return (part[: len(part) - (width - half)] << np.uint64(32)) | part[width - half :]
+
+
+def _numbered(lines: list[str], width: int = SHINGLE) -> list[np.ndarray]:
+    """The numbers of each line's shingles, repeats included: equal for equal shingles of these lines, and only for them."""
+    lengths = [max(len(line), width) for line in lines]
+    text = "".join(line.ljust(width, "\0") for line in lines)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    starts = (np.cumsum(lengths) - lengths).tolist()
+    for at, line in zip(starts, lines, strict=True):
+        # No code point: shorter lines equal no shingle of a longer one.
+        codes[at + len(line) : at + width] = _NO_CODE_POINT
+    there = np.zeros(int(codes.max()) + 1, bool)
+    there[codes] = True
+    ranks = np.cumsum(there, dtype=np.uint64) - np.uint64(1)
+    bits = 64 // width
+    few = int(ranks[-1]) < 1 << bits
+    # With few different code points their places among these make a number that fits 64 bits.
+    h = _windows(ranks[codes], width, 1 << bits) if few else _pieces(ranks[codes], width)
+    return [h[at : at + n - width + 1] for at, n in zip(starts, lengths, strict=True)]
+
+
+class ShingleSets:
+    """The sets of shingles of some lines, each made when it is first asked for."""
+
+    def __init__(self, lines: list[str]):
+        self._numbers = _numbered(lines)
+        self._sets: dict[int, np.ndarray] = {}
+
+    def _of(self, i: int) -> np.ndarray:
+        if i not in self._sets:
+            numbers = np.sort(self._numbers[i])
+            first = np.empty(len(numbers), bool)
+            first[0] = True
+            np.not_equal(numbers[1:], numbers[:-1], out=first[1:])
+            self._sets[i] = numbers[first]
+        return self._sets[i]
+
+    def similar(self, i: int, j: int, threshold: float) -> bool:
+        """Whether the exact Jaccard similarity of two lines is at least ``threshold``."""
+        a, b = self._of(i), self._of(j)
+        if min(len(a), len(b)) / max(len(a), len(b)) < threshold:
+            return False
+        merged = np.concatenate([a, b])
+        merged.sort(kind="stable")
+        both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+        return both / (len(merged) - both) >= threshold
+
+
 def signatures(lines: list[str], width: int = SHINGLE, bins: int = BANDS * ROWS) -> np.ndarray:
     """(lines, bins) least shingle hashes; lines are not empty."""
+    return np.concatenate([_signatures(part, width, bins) for part in _parts(lines)])
+
+
+def _signatures(lines: list[str], width: int, bins: int) -> np.ndarray:
     h, owner = _shingle_hashes(lines, width)
     bin_of = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     table = np.full(len(lines) * bins, _EMPTY, np.uint64)
     np.minimum.at(table, owner * bins + bin_of, h)
-    return _filled(table.reshape(len(lines), bins))
+    table = table.reshape(len(lines), bins)
+    # Most long lines have no empty bin.
+    gaps = np.flatnonzero((table == _EMPTY).any(axis=1))
+    table[gaps] = _filled(table[gaps])
+    return table
 
 
 def _filled(table: np.ndarray) -> np.ndarray:
@@ -166,8 +243,11 @@ def _met_in_values(docs: DataFrame) -> DataFrame:
     signed = docs.select("text").mapInArrow(_sign, "key long, id long")
     valued = signed.withColumn("value", F.shiftrightunsigned("key", ORDER_BITS))
     # Tasks that have the same line hand on the same rows, which stand together.
-    once = valued.withColumn("last", F.lag("id").over(Window.partitionBy("value").orderBy("id")))
-    once = once.filter("last IS NULL OR last != id").withColumn("n", F.count("*").over(Window.partitionBy("value")))
+    by_id = Window.partitionBy("value").orderBy("id")
+    beside = valued.select("value", "id", F.lag("id").over(by_id).alias("last"), F.lead("id").over(by_id).alias("next"))
+    # Most values have one row; those are gone before rows are counted.
+    several = beside.filter("last != id OR (last IS NULL AND next IS NOT NULL)")
+    once = several.withColumn("n", F.count("*").over(Window.partitionBy("value")))
     return cut(once.filter("n > 1").select("value", "id", "n"))
 
 
@@ -183,9 +263,10 @@ def sketches(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.nda
 
     Two sets differ in at least as many shingles as their sketches in bits.
     """
-    if len(lines) > _SORTED_LINES:
-        half = len(lines) // 2
-        return tuple(np.concatenate(x) for x in zip(sketches(lines[:half], width), sketches(lines[half:], width), strict=True))
+    return tuple(np.concatenate(x) for x in zip(*(_sketches(part, width) for part in _parts(lines)), strict=True))
+
+
+def _sketches(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     h, owner = _shingle_hashes(lines, width)
     # One sort of line number and hash together; of a hash the upper 48 bits tell the shingles of a line apart.
     keys = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
@@ -202,13 +283,7 @@ def connecting(lines: list[str], blocks: list[int], threshold: float = SIMILARIT
     bits, sizes = sketches(lines)
     block = np.array(blocks)
     apart = len(set(blocks)) > 1
-    group, sets, out = np.arange(len(lines)), {}, []
-
-    def set_of(i: int) -> set[str]:
-        if i not in sets:
-            sets[i] = shingles(lines[i])
-        return sets[i]
-
+    group, sets, out = np.arange(len(lines)), ShingleSets(lines), []
     for i in range(len(lines)):
         open_ = group[i + 1 :] != group[i]
         if apart:
@@ -220,7 +295,7 @@ def connecting(lines: list[str], blocks: list[int], threshold: float = SIMILARIT
         most = (1 - threshold) / (1 + threshold) * (sizes[others] + sizes[i]) + 1e-6
         others = others[np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most]
         for j in others.tolist():
-            if group[j] != group[i] and jaccard(set_of(i), set_of(j)) >= threshold:
+            if group[j] != group[i] and sets.similar(i, j, threshold):
                 group[group == group[j]] = group[i]
                 out.append((i, j))
     return out
@@ -323,21 +398,19 @@ def _similar(threshold: float):
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = Groups()
-        last, of_last = None, set()
-        for batch in batches:
-            out = []
-            for src, a, dst, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if groups.root(src) == groups.root(dst):
-                    continue
-                # The join leaves rows in the order of dst.
-                if last != dst:
-                    last, of_last = dst, shingles(b)
-                # A set of at most this size cannot be similar enough to a larger one.
-                if max(1, len(a) - SHINGLE + 1) < threshold * len(of_last):
-                    continue
-                if jaccard(shingles(a), of_last) >= threshold:
-                    groups.join(src, dst)
-                    out.append((src, dst))
+        for chunk in chunks(batches, "a", PART_CHARS):
+            src, a, dst, b = (c.to_pylist() for c in chunk.columns)
+            # What is connected already is left out before the shingles of the others are numbered.
+            rows = [(s, x, d, y) for s, x, d, y in zip(src, a, dst, b, strict=True) if groups.root(s) != groups.root(d)]
+            if not rows:
+                continue
+            line_of = {i: x for s, x, d, y in rows for i, x in ((s, x), (d, y))}
+            place = {i: k for k, i in enumerate(line_of)}
+            sets, out = ShingleSets(list(line_of.values())), []
+            for s, _, d, _ in rows:
+                if groups.root(s) != groups.root(d) and sets.similar(place[s], place[d], threshold):
+                    groups.join(s, d)
+                    out.append((s, d))
             columns = zip(*out, strict=True) if out else [()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["src", "dst"])
 

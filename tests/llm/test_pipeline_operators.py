@@ -491,3 +491,61 @@ def test_shingle_hashes_are_those_of_each_window(width):
         for c in codes[at : at + width].tolist():
             want = (want * 0x9E3779B97F4A7C15 + c) % (1 << 64)
         assert got == want
+
+
+def odd_lines():
+    """Pairs of near copies over few and over many code points, and lines shorter than a shingle."""
+    rng = np.random.default_rng(23)
+    few, many = list("abc é\0"), [chr(c) for c in range(0x4E00, 0x4E00 + 900)] + ["🙂", "a", "\0"]
+    lines = ["a", "ab", "ab\0", "\0", "abcdefg", "abcdef\0", "abcdefga"]
+    for letters in (few, many):
+        for _ in range(25):
+            line = [letters[i] for i in rng.integers(len(letters), size=rng.integers(8, 120))]
+            lines.append("".join(line))
+            line[rng.integers(len(line))] = "z"
+            lines.append("".join(line))
+    return lines
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_similarity_of_lines_is_exact(wide):
+    lines = [x for x in odd_lines() if wide or max(x) < "Ā"]
+    assert (len(set("".join(lines))) > 1 << 64 // line_dedup.SHINGLE) == wide
+    sets = line_dedup.ShingleSets(lines)
+    plain = [line_dedup.shingles(x) for x in lines]
+    found = 0
+    for i, j in itertools.product(range(len(lines)), repeat=2):
+        want = line_dedup.jaccard(plain[i], plain[j])
+        assert sets.similar(i, j, want)
+        assert not sets.similar(i, j, want + 1e-9)
+        found += i != j and want >= line_dedup.SIMILARITY
+    assert found > 10
+
+
+def test_candidates_are_compared_without_sets_of_texts(monkeypatch):
+    """Building a set of strings for each candidate took most of the comparison's time."""
+    lines = template_lines(200)
+    at = np.array(list(itertools.combinations(range(len(lines)), 2)))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(at[:, 0]), pa.array([lines[i] for i in at[:, 0]]), pa.array(at[:, 1]), pa.array([lines[i] for i in at[:, 1]])],
+        ["src", "a", "dst", "b"],
+    )
+    sets = [line_dedup.shingles(x) for x in lines]
+    similar = lambda i, j: line_dedup.jaccard(sets[i], sets[j]) >= line_dedup.SIMILARITY
+    want = components(len(lines), similar)
+    monkeypatch.setattr(line_dedup, "shingles", None)
+    given = [tuple(x.values()) for b in line_dedup._similar(line_dedup.SIMILARITY)([batch]) for x in b.to_pylist()]
+    blocks = line_dedup.connecting(lines, [0] * len(lines))
+    for links in (given, blocks):
+        assert all(similar(i, j) for i, j in links)
+        assert same_partition(want, components(len(lines), lambda i, j: (i, j) in links))  # noqa: B023
+    assert 1 < len(set(want)) < len(lines)
+
+
+def test_signing_in_parts_changes_nothing(monkeypatch):
+    lines = odd_lines() + template_lines(60)
+    whole = line_dedup.signatures(lines), *line_dedup.sketches(lines)
+    monkeypatch.setattr(line_dedup, "PART_CHARS", 200)
+    assert len(list(line_dedup._parts(lines))) > 20
+    parts = line_dedup.signatures(lines), *line_dedup.sketches(lines)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
