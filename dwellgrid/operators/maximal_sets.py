@@ -4,180 +4,162 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.lineage import cut
-from dwellgrid.operators.shared_groups import PAIR_BLOCK, blocked_pairs
-from dwellgrid.operators.profiles import member_blocks, profile_pairs, user_profiles
+from dwellgrid.operators.numbering import number_all
+from dwellgrid.operators.profiles import member_blocks, user_profiles
 
-# Items of a prefix class that one task searches; larger classes are split by their next item first.
+# Profiles of a prefix class that one task searches; larger classes are split by their next region first.
 CLASS_ITEMS = 2000
-# Bits of a bitmap's word: a whole number in SQL that is never negative.
-WORD = 62
 
 
-def _bitmap(places: Column, n: Column) -> Column:
-    """Words of ``WORD`` bits for places below ``n``."""
+def _numbered(profiles: DataFrame) -> DataFrame:
+    """(profile, regions) with regions as numbers, seldom ones first: classes of popular regions have few later ones."""
+    rows = profiles.select("profile", F.explode("regions").alias("cluster_id"))
+    popularity = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("popularity"))
+    numbers = number_all(popularity, ["popularity", "cluster_id"], "number").select("cluster_id", "number")
+    return rows.join(numbers, "cluster_id").groupBy("profile").agg(F.sort_array(F.collect_list("number")).alias("regions"))
 
-    def word(w):
-        mine = F.filter(places, lambda i: F.floor(i / WORD) == w)
-        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i % WORD)
-        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, i: a.bitwiseOR(bit(i)))
 
-    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / WORD).cast("int")), word)
-
-
-def _common(a: Column | str, b: Column | str) -> Column:
-    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
-
-
-def _bits(words: Column | str) -> Column:
-    return F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w))
-
-
-def _classes(profiles: DataFrame, min_support: int, block: int) -> DataFrame:
-    """(prefix, head, item, n, words, later): items that share enough regions with the one of the prefix.
-
-    Bitmaps stand for the prefix's regions. Items are ordered by their number of regions, then by name; a class
-    grows by later items only, the others tell whether a set can still be enlarged.
-    """
-    both = profile_pairs(profiles, min_support, block)
-    own = profiles.select(F.col("profile").alias("a"), F.col("regions").alias("own"), F.col("n").alias("own_n"))
-    other = profiles.select(F.col("profile").alias("b"), F.col("regions").alias("other"), "n")
-    places = F.filter(
-        F.transform("own", lambda r, i: F.when(F.array_contains("other", r), i)), lambda i: i.isNotNull()
-    )
-    everything = F.transform("own", lambda r, i: i)
-    return (
-        both.join(own, "a")
-        .join(other, "b")
-        .select(
-            F.array("a").alias("prefix"),
-            _bitmap(everything, F.col("own_n")).alias("head"),
-            F.col("b").alias("item"),
-            "n",
-            _bitmap(places, F.col("own_n")).alias("words"),
-            (F.struct("n", F.col("b").alias("i")) > F.struct(F.col("own_n").alias("n"), F.col("a").alias("i"))).alias("later"),
-        )
-    )
-
-
-def _split(classes: DataFrame, min_support: int, block: int) -> DataFrame:
-    """Classes whose prefix is longer by one of their later items."""
-    met = blocked_pairs(classes.drop("head"), ["prefix"], "item", block)
-    met = met.withColumn("common", _common("a_words", "b_words")).filter(_bits("common") >= min_support)
-    ways = F.array(
-        *[
-            F.struct(
-                F.col(f"{x}_item").alias("by"),
-                F.col(f"{x}_n").alias("by_n"),
-                F.col(f"{x}_words").alias("head"),
-                F.col(f"{x}_later").alias("by_later"),
-                F.col(f"{y}_item").alias("item"),
-                F.col(f"{y}_n").alias("n"),
-                F.col(f"{y}_later").alias("was_later"),
-            )
-            for x, y in (("a", "b"), ("b", "a"))
-        ]
-    )
-    after = F.struct("n", F.col("item").alias("i")) > F.struct(F.col("by_n").alias("n"), F.col("by").alias("i"))
-    return (
-        met.select("prefix", F.col("common").alias("words"), F.inline(ways))
-        .filter("by_later")
-        .select(
-            F.concat("prefix", F.array("by")).alias("prefix"), "head", "item", "n", "words",
-            (F.col("was_later") & after).alias("later"),
-        )
+def _divided(classes: DataFrame, length: int, min_support: int) -> DataFrame:
+    """(prefix, profile, regions) with prefixes longer by one later region, as far as ``min_support`` regions can be had."""
+    last = F.coalesce(F.try_element_at("prefix", F.lit(-1)), F.lit(0))
+    later = F.filter("regions", lambda r: r > last)
+    heads = F.slice(later, 1, F.greatest(F.lit(0), F.size(later) - (min_support - length)))
+    return classes.select("prefix", "profile", "regions", F.explode(heads).alias("head")).select(
+        F.concat("prefix", F.array("head")).alias("prefix"), "profile", "regions"
     )
 
 
-def maximal_in_class(
-    tids: int, later: list[tuple[str, int]], others: list[tuple[str, int]], least: int
-) -> Iterator[tuple[list[str], int]]:
-    """(items, bits) of the largest sets of a class that no other item enlarges, depth first.
+def closed_in_class(later: list[int], n: int, least: int) -> Iterator[tuple[int, list[int]]]:
+    """(bits, places): rows of ``n`` that have ``least`` regions of ``later`` in common, and the places of all they have.
 
-    ``tids`` has the bits of the prefix, items theirs within it, each at least ``least``.
+    ``later`` has a bit for each row with the region. Depth first over regions, each set of rows taken once; rows that have
+    enough in common are not searched further, and neither given where a row besides has ``least`` of these regions too.
     """
-    stack = [([], tids, later, others)]
+    everything = (1 << n) - 1
+    stack = [(everything, [(k, bits) for k, bits in enumerate(later) if bits], -1)]
     while stack:
-        items, tids, later, others = stack.pop()
-        # An item left out earlier goes with every set from here on: none of them is largest.
-        if any(bits == tids for _, bits in others):
+        rows, regions, core = stack.pop()
+        common = [k for k, bits in regions if bits == rows]
+        if len(common) >= least:
+            # at_least[t]: rows with t of the common regions or more
+            at_least = [everything] + [0] * least
+            for k in common if len(common) > least else ():
+                for t in range(least, 0, -1):
+                    at_least[t] |= at_least[t - 1] & later[k]
+            if not at_least[least] & ~rows:
+                yield rows, common
             continue
-        items = items + [name for name, bits in later if bits == tids]
-        later = [(name, bits) for name, bits in later if bits != tids]
-        together = tids
-        for _, bits in later:
-            together &= bits
-        if together.bit_count() >= least:
-            if not any((bits & together).bit_count() >= least for _, bits in others):
-                yield items + [name for name, _ in later], together
-            continue
-        for k, (name, own) in enumerate(later):
-            rest = [(x, b & own) for x, b in later[k + 1 :] if (b & own).bit_count() >= least]
-            left = [(x, b & own) for x, b in (*others, *later[:k]) if (b & own).bit_count() >= least]
-            stack.append((items + [name], own, rest, left))
-
+        rest = [(k, bits) for k, bits in regions if bits != rows]
+        for k, own in rest:
+            if k <= core:
+                continue
+            inner = [(x, bits & own) for x, bits in regions if bits & own]
+            # Rows that have an earlier region in common as well are found by that one.
+            if len(inner) >= least and not any(bits & own == own for x, bits in rest if x < k):
+                stack.append((own, inner, k))
 
-def _number(words: list[int]) -> int:
-    return sum(w << (WORD * i) for i, w in enumerate(words))
 
-
-def _searched(least: int):
+def _searched(min_support: int):
     def search(table: pa.Table) -> pa.Table:
-        prefix, head = table.column("prefix")[0].as_py(), _number(table.column("head")[0].as_py())
-        items = sorted(
-            zip(*(table.column(c).to_pylist() for c in ("n", "item", "words", "later")), strict=True),
-            key=lambda row: row[:2],
-        )
-        later = [(i, _number(w)) for _, i, w, after in items if after]
-        others = [(i, _number(w)) for _, i, w, after in items if not after]
-        found = list(maximal_in_class(head, later, others, least))
-        return pa.table(
-            {
-                "profiles": pa.array([sorted(prefix + names) for names, _ in found], pa.list_(pa.string())),
-                "support": pa.array([bits.bit_count() for _, bits in found], pa.int64()),
-            }
-        )
+        prefix = table.column("prefix")[0].as_py()
+        names = np.array(table.column("profile").to_pylist(), object)
+        lists = table.column("regions").combine_chunks()
+        row = np.repeat(np.arange(len(names)), lists.value_lengths().to_numpy())
+        regions, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        has = np.zeros((len(regions), len(names)), bool)
+        has[place, row] = True
+        bits = [int.from_bytes(x.tobytes(), "little") for x in np.packbits(has, axis=1, bitorder="little")]
+        begin = int(np.searchsorted(regions, prefix[-1], "right"))
+        found = {"regions": [], "prefix": [], "profiles": []}
+        for rows, common in closed_in_class(bits[begin:], len(names), min_support - len(prefix)):
+            earlier = [k for k in range(begin) if bits[k] & rows == rows]
+            everywhere = regions[[*earlier, *(begin + k for k in common)]].tolist()
+            found["regions"].append(everywhere)
+            found["prefix"].append(prefix)
+            # The class of its first regions gives the set, others only tell that nothing enlarges it.
+            mine = np.frombuffer(rows.to_bytes(len(names) // 8 + 1, "little"), np.uint8)
+            whole = np.unpackbits(mine, bitorder="little")[: len(names)].astype(bool)
+            found["profiles"].append(names[whole].tolist() if everywhere[: len(prefix)] == prefix else None)
+        kinds = {"regions": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64()), "profiles": pa.list_(pa.string())}
+        return pa.table({c: pa.array(found[c], kind) for c, kind in kinds.items()})
 
     return search
 
 
+def _of_whole_prefixes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(regions, prefix) of classes with ``min_support`` regions of prefix, and (regions, profile) where these are the first ones."""
+    size = classes.groupBy("prefix").agg(F.count(F.lit(1)).alias("size"))
+    counted = classes.select("prefix", F.explode("regions").alias("region")).groupBy("prefix", "region").agg(F.count(F.lit(1)).alias("n"))
+    found = cut(
+        counted.join(size, "prefix").filter("n = size").groupBy("prefix").agg(F.sort_array(F.collect_list("region")).alias("regions"))
+    )
+    first = found.filter(F.slice("regions", 1, F.size("prefix")) == F.col("prefix"))
+    return found.select("regions", "prefix"), classes.join(first.select("prefix", F.col("regions").alias("whole")), "prefix").select(
+        F.col("whole").alias("regions"), "profile"
+    )
+
+
 def frequent_maximal_sets(
-    pairs: DataFrame, min_support: int = 3, class_items: int = CLASS_ITEMS, block: int = PAIR_BLOCK, in_blocks: bool = False
+    pairs: DataFrame, min_support: int = 3, class_items: int = CLASS_ITEMS, block: int | None = None, in_blocks: bool = False
 ) -> DataFrame:
     """(set_id, uid, support) of the sets of users in at least ``min_support`` common regions to which none can be added.
 
-    Users with the same regions are taken as one until the end. Every class, the items that share enough regions with a prefix,
-    is searched depth first by one task, with regions as bits: the support of a set is the number of bits its items
-    have in common. A class holds what is needed to tell that a set is largest, so sets are never compared with
-    each other. Classes above ``class_items`` items are split by one more item of the prefix until they fit.
+    Users with the same regions are taken as one until the end. Such a set is all users of some ``min_support`` regions, and of
+    any so many of the regions they have in common. So regions are searched, not users: a class has the profiles with a prefix of
+    regions, and one task finds depth first, with profiles as bits, which later regions go with it. Classes above
+    ``class_items`` profiles are split by one more region of the prefix until they fit or the prefix has ``min_support`` regions.
+    A class tells of a set whether a profile of its own enlarges it; a set is largest if every class of its regions
+    tells that none does, which is counted, so sets are never compared with each other and profiles never paired.
     A user's regions are one row. With ``in_blocks`` a row has many users of a set, (set_id, uids, support), so that sets of many users
-    are not shuffled user by user. The number of sets may be exponential in the regions that users share, as the
+    are not shuffled user by user. ``block`` is taken for older callers; no pairs are made that it could divide. The number of sets may be exponential in the regions that users share, as the
     question has it.
     """
     members, profiles = user_profiles(pairs, min_support)
-    classes = cut(_classes(profiles, min_support, block))
-    alone = profiles.join(classes.select(F.col("prefix")[0].alias("profile")).distinct(), "profile", "left_anti")
-    sets = alone.select(F.array("profile").alias("profiles"), F.col("n").cast("bigint").alias("support"))
-    while True:
-        large = cut(classes.groupBy("prefix").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > class_items))
-        fit = classes.join(large, "prefix", "left_anti")
-        searched = fit.groupBy("prefix").applyInArrow(_searched(min_support), "profiles array<string>, support bigint")
-        sets = sets.unionByName(searched)
+    everybody = cut(_numbered(profiles))
+    classes = everybody.select(F.array().cast("array<bigint>").alias("prefix"), "profile", "regions")
+    told, given = [], []
+    for length in range(1, min_support + 1):
+        classes = cut(_divided(classes, length, min_support))
+        sizes = classes.groupBy("prefix").agg(F.count(F.lit(1)).alias("size"))
+        large = cut(sizes.filter(F.col("size") > class_items).select("prefix"))
+        searched = cut(
+            classes.join(large, "prefix", "left_anti")
+            .groupBy("prefix")
+            .applyInArrow(_searched(min_support), "regions array<bigint>, prefix array<bigint>, profiles array<string>")
+        )
+        told.append(searched.select("regions", "prefix"))
+        given.append(searched.filter("profiles IS NOT NULL").select("regions", F.explode("profiles").alias("profile")))
+        classes = classes.join(large, "prefix", "left_semi")
         if large.isEmpty():
             break
-        crowded = cut(classes.join(large, "prefix", "left_semi"))
-        classes = cut(_split(crowded, min_support, block))
-        # A longer prefix that nothing shares enough with is a set of its own.
-        longer = crowded.filter("later").select(
-            F.concat("prefix", F.array("item")).alias("prefix"), _bits("words").cast("bigint").alias("support")
+    else:
+        last, crowds = _of_whole_prefixes(classes)
+        told[-1] = told[-1].unionByName(last)
+        given.append(crowds)
+    largest = told[-1]
+    for length in range(len(told), 0, -1):
+        # All classes that a prefix was split into, as far as the regions of the set go, have told.
+        shorter = F.slice("prefix", 1, length - 1)
+        place = F.coalesce(F.array_position("regions", F.try_element_at("shorter", F.lit(-1))), F.lit(0))
+        largest = (
+            largest.groupBy("regions", shorter.alias("shorter"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") == F.size("regions") - min_support + length - place)
+            .select("regions", F.col("shorter").alias("prefix"))
         )
-        ended = longer.join(classes.select("prefix").distinct(), "prefix", "left_anti")
-        sets = sets.unionByName(ended.select(F.sort_array("prefix").alias("profiles"), "support"))
-    named = sets.select(F.sha2(F.array_join("profiles", ","), 256).alias("set_id"), "support", "profiles")
-    parts = named.select("set_id", "support", F.explode("profiles").alias("profile"))
-    blocks = parts.join(member_blocks(members), "profile").select("set_id", "uids", "support")
+        if length > 1:
+            largest = largest.unionByName(told[length - 2])
+    parts = given[0]
+    for more in given[1:]:
+        parts = parts.unionByName(more)
+    named = parts.join(largest.select("regions"), "regions").select(
+        F.sha2(F.array_join("regions", ","), 256).alias("set_id"), "profile", F.size("regions").cast("bigint").alias("support")
+    )
+    blocks = named.join(member_blocks(members), "profile").select("set_id", "uids", "support")
     return blocks if in_blocks else blocks.select("set_id", F.explode("uids").alias("uid"), "support")

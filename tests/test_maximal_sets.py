@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 
+from dwellgrid.operators import maximal_sets, shared_groups
 from dwellgrid.operators.maximal_sets import frequent_maximal_sets
 
 
@@ -49,3 +50,25 @@ def test_many_regions(spark):
 
 def test_no_pairs(spark):
     assert frequent_maximal_sets(spark.createDataFrame([], "cluster_id int, uid string")).collect() == []
+
+
+@pytest.mark.parametrize("class_items", [2000, 20, 1])
+def test_profiles_are_not_paired(spark, monkeypatch, class_items):
+    """Many users with region sets of their own, alike in the popular ones: what is searched are rows of a profile and a prefix."""
+    rng = random.Random(7)
+    pairs = []
+    for u in range(400):
+        mine = rng.sample(range(4), rng.choice([3, 4])) + rng.sample(range(10, 18), rng.choice([0, 2, 3]))
+        pairs += [(r, f"{u:03d}") for r in mine]
+    monkeypatch.setattr(shared_groups, "blocked_pairs", None)
+    stored = []
+    real = maximal_sets.cut
+    monkeypatch.setattr(maximal_sets, "cut", lambda df: stored.append((kept := real(df)).count()) or kept)
+    df = spark.createDataFrame(pairs, "cluster_id int, uid string").repartition(3)
+    sets = defaultdict(set)
+    for r in frequent_maximal_sets(df, 3, class_items=class_items).collect():
+        sets[r.set_id, r.support].add(r.uid)
+    want = brute(pairs, 3)
+    assert {(frozenset(v), k[1]) for k, v in sets.items()} == want and len(sets) == len(want)
+    # A profile has at most 35 prefixes of three of its up to seven regions.
+    assert len(stored) > 2 and max(stored) <= 35 * 400
