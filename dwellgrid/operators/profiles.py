@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from dwellgrid.functions.text import FIELD_SEP, LINE_ITEMS
 from dwellgrid.lineage import cut
@@ -13,6 +14,9 @@ from dwellgrid.operators.shared_groups import PAIR_BLOCK, blocked_pairs, shared_
 
 # Users of a profile that travel as one row when pairs of profiles become pairs of users.
 MEMBER_BLOCK = 500
+# Users of a profile whose pairs with as many of another are listed at once, and users of a group of such blocks.
+LIST_USERS = 125
+GROUP_USERS = 1000
 # Pairs of users that one task gives out, as long as that asks for no more than MOST_TASKS tasks.
 TASK_PAIRS = 2_000_000
 MOST_TASKS = 10_000
@@ -48,44 +52,62 @@ def profile_pairs(profiles: DataFrame, min_support: int, block: int = PAIR_BLOCK
     return found.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
 
 
-def member_blocks(members: DataFrame) -> DataFrame:
-    """(profile, block, n, n_users, uids): a profile's users in blocks of about ``MEMBER_BLOCK``, in text order."""
-    own = F.pmod(F.xxhash64("uid"), F.ceil(F.col("n_users") / MEMBER_BLOCK)).cast("int")
+def member_blocks(members: DataFrame, users: int | None = None) -> DataFrame:
+    """(profile, block, n, n_users, uids): a profile's users in blocks of about ``users``, else ``MEMBER_BLOCK``, in text order."""
+    own = F.pmod(F.xxhash64("uid"), F.ceil(F.col("n_users") / (users or MEMBER_BLOCK))).cast("int")
     return members.groupBy("profile", own.alias("block"), "n", "n_users").agg(
         F.sort_array(F.collect_list("uid")).alias("uids")
     )
 
 
+def member_groups(members: DataFrame) -> DataFrame:
+    """(profile, n, n_users, g, k, uids): blocks of about ``LIST_USERS`` users, dealt to groups of about ``GROUP_USERS`` and numbered in each by k."""
+    groups = members.count() // GROUP_USERS + 1
+    dealt = member_blocks(members, LIST_USERS).withColumn("g", F.pmod(F.xxhash64("profile", "block"), F.lit(groups)).cast("int"))
+    # A group has no more blocks than users.
+    numbered = dealt.withColumn("k", F.row_number().over(W.partitionBy("g").orderBy("profile", "block")))
+    return numbered.select("profile", "n", "n_users", "g", "k", "uids")
+
+
 def user_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
     """(uid, other_uid, support), uid < other_uid, of the users of paired profiles and of those who share one.
 
-    ``members`` are from ``user_profiles``, ``found`` from ``profile_supports``; found is read more than once. Blocks of users
-    meet, dealt to as many tasks as their pairs ask for, and each task lists the pairs of its blocks.
+    ``members`` are from ``user_profiles``, ``found`` from ``profile_supports``; found is read more than once. Users of many profiles
+    make a group, and groups meet, dealt to as many tasks as their pairs ask for: there each pair of profiles finds
+    its users by their numbers and lists them, one user with all of the other profile, so that a user does not travel once for each
+    profile that is paired with theirs.
     """
     alone = found.filter("a_users = 1 AND b_users = 1").select(F.col("a").alias("uid"), F.col("b").alias("other_uid"), "support")
-    blocks = cut(member_blocks(members.filter("n_users > 1")))
-    of_one = lambda c: F.when(F.col(f"{c}_users") == 1, F.array(c))
-    side = lambda c, i, us: blocks.select(F.col("profile").alias(c), F.col("block").alias(i), F.col("uids").alias(us))
+    blocks = cut(member_groups(members))
+    lists = blocks.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "uids"))).alias("blocks")).select("g", F.col("blocks.uids").alias("us"))
+    side = lambda c, g, k: blocks.select(F.col("profile").alias(c), F.col("g").alias(g), F.col("k").alias(k))
     across = (
-        found.filter("a_users > 1 OR b_users > 1")
-        .join(side("a", "i", "us"), "a", "left")
-        .join(side("b", "j", "vs"), "b", "left")
-        .select("a", "i", "b", "j", F.coalesce("us", of_one("a")).alias("us"), F.coalesce("vs", of_one("b")).alias("vs"), "support")
+        found.filter("a_users > 1 OR b_users > 1").select("a", "b", "support").join(side("a", "g", "k"), "a").join(side("b", "h", "l"), "b")
+    )
+    first, second = F.struct("g", "k"), F.struct(F.col("h").alias("g"), F.col("l").alias("k"))
+    links = across.select(F.least(first, second).alias("x"), F.greatest(first, second).alias("y"), "support").select(
+        F.col("x.g").alias("g"), F.col("y.g").alias("h"), F.col("x.k").alias("k"), F.col("y.k").alias("l"), "support"
     )
     within = (
-        blocks.select(F.col("profile").alias("a"), F.col("block").alias("i"), F.col("uids").alias("us"), F.col("n").cast("bigint").alias("support"))
-        .join(side("a", "j", "vs"), "a")
-        .filter("i <= j")
-        .select("a", "i", F.col("a").alias("b"), "j", "us", "vs", "support")
+        blocks.filter("n_users > 1")
+        .select(F.col("profile").alias("a"), "g", "k", F.col("n").cast("bigint").alias("support"))
+        .join(side("a", "h", "l"), "a")
+        .filter("g < h OR g = h AND k <= l")
+        .select("g", "h", "k", "l", "support")
     )
+    links = links.unionByName(within)
     n_across = found.agg(F.sum(F.col("a_users") * F.col("b_users"))).first()[0] or 0
     n_within = members.filter("n_users > 1").agg(F.sum("n_users")).first()[0] or 0
-    tasks = min((n_across + n_within // 2) // TASK_PAIRS + 1, MOST_TASKS)
-    met = across.unionByName(within).repartition(int(tasks), "a", "i", "b", "j")
+    tasks = int(min((n_across + n_within // 2) // TASK_PAIRS + 1, MOST_TASKS))
+    asked = cut(links.select("g", "h").distinct())
+    cells = asked.join(lists, "g").join(lists.select(F.col("g").alias("h"), F.col("us").alias("vs")), "h")
+    met = links.repartition(tasks, "g", "h").join(cells.repartition(tasks, "g", "h"), ["g", "h"])
     # Only a block that meets itself has a pair both ways.
-    itself = ((F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))).alias("itself")
-    listed = met.select(F.explode("us").alias("u"), "vs", itself, "support").select("u", F.explode("vs").alias("v"), "itself", "support")
-    crowds = listed.filter("NOT coalesce(itself, false) OR u < v").select(
+    itself = ((F.col("g") == F.col("h")) & (F.col("k") == F.col("l"))).alias("itself")
+    listed = met.select(F.explode(F.element_at("us", F.col("k"))).alias("u"), F.element_at("vs", F.col("l")).alias("vs"), itself, "support").select(
+        "u", F.explode("vs").alias("v"), "itself", "support"
+    )
+    crowds = listed.filter("NOT itself OR u < v").select(
         F.least("u", "v").alias("uid"), F.greatest("u", "v").alias("other_uid"), "support"
     )
     return alone.unionByName(crowds)

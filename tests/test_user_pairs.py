@@ -51,6 +51,32 @@ def test_similar_users_are_not_stored(spark, monkeypatch):
     assert not stored
 
 
+@pytest.mark.parametrize("users, group", [(125, 1000), (3, 10), (1, 1)])
+def test_groups_of_users_meet(spark, monkeypatch, users, group):
+    """A user goes to a pair of groups once, however many profiles are paired with theirs."""
+    monkeypatch.setattr(profiles, "LIST_USERS", users)
+    monkeypatch.setattr(profiles, "GROUP_USERS", group)
+    rows = crowds()
+    members, found = profiles.user_profiles(frame(spark, rows), 3)
+    units = profiles.member_groups(members).collect()
+    assert sorted(u for r in units for u in r.uids) == sorted(r.uid for r in members.collect())
+    assert all(sorted(r.k for r in units if r.g == g) == list(range(1, 1 + sum(r.g == g for r in units))) for g in {r.g for r in units})
+    got = itemsets.similar_users(itemsets.frequent_pairs(frame(spark, rows), 3)).collect()
+    want = brute.pairs([x for x in rows if None not in x], 3)
+    assert len(got) == 2 * len(want)
+    assert {(r.uid, r.other_uid): r.support for r in got} == want | {(b, a): n for (a, b), n in want.items()}
+
+
+def test_files_of_similar_users_are_small(spark, tmp_path):
+    """Rows that share a user follow each other, so that a file holds them in little room."""
+    rows = [(r, f"{u:05d}") for u in range(900) for r in range(3 + u % 3)]
+    similar = itemsets.similar_users(itemsets.frequent_pairs(frame(spark, rows), 3))
+    similar.write.parquet(str(tmp_path / "similar"))
+    files = list((tmp_path / "similar").glob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "similar")).count() == 900 * 899
+    assert sum(f.stat().st_size for f in files) < 900 * 899
+
+
 def profiled(spark, rows, least=3):
     members, found = profiles.user_profiles(frame(spark, rows), least)
     return members, profiles.profile_pairs(found, least)
