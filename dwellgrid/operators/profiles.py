@@ -17,6 +17,8 @@ MEMBER_BLOCK = 500
 # Users of a profile whose pairs with as many of another are listed at once, and users of a group of such blocks.
 LIST_USERS = 125
 GROUP_USERS = 1000
+# Every group may meet every other: more users make larger groups, so that each user still goes to so many places at most.
+MOST_GROUPS = 100
 # Pairs of users that one task gives out, as long as that asks for no more than MOST_TASKS tasks.
 TASK_PAIRS = 2_000_000
 MOST_TASKS = 10_000
@@ -61,8 +63,8 @@ def member_blocks(members: DataFrame, users: int | None = None) -> DataFrame:
 
 
 def member_groups(members: DataFrame) -> DataFrame:
-    """(profile, n, n_users, g, k, uids): blocks of about ``LIST_USERS`` users, dealt to groups of about ``GROUP_USERS`` and numbered in each by k."""
-    groups = members.count() // GROUP_USERS + 1
+    """(profile, n, n_users, g, k, uids): blocks of about ``LIST_USERS`` users, dealt to ``MOST_GROUPS`` groups at most and numbered in each by k."""
+    groups = min(members.count() // GROUP_USERS + 1, MOST_GROUPS)
     dealt = member_blocks(members, LIST_USERS).withColumn("g", F.pmod(F.xxhash64("profile", "block"), F.lit(groups)).cast("int"))
     # A group has no more blocks than users.
     numbered = dealt.withColumn("k", F.row_number().over(W.partitionBy("g").orderBy("profile", "block")))

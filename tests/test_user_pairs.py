@@ -59,6 +59,7 @@ def test_groups_of_users_meet(spark, monkeypatch, users, group):
     rows = crowds()
     members, found = profiles.user_profiles(frame(spark, rows), 3)
     units = profiles.member_groups(members).collect()
+    assert max(r.g for r in units) < 100
     assert sorted(u for r in units for u in r.uids) == sorted(r.uid for r in members.collect())
     assert all(sorted(r.k for r in units if r.g == g) == list(range(1, 1 + sum(r.g == g for r in units))) for g in {r.g for r in units})
     got = itemsets.similar_users(itemsets.frequent_pairs(frame(spark, rows), 3)).collect()
