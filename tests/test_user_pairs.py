@@ -119,6 +119,24 @@ def test_lines_of_similar_users(spark, line_items):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("line_items, names", [(1000, 7), (10, 3), (1, 5), (4, 4)])
+def test_lines_from_ranges_of_users(spark, monkeypatch, line_items, names):
+    """Ranges of users meet groups of profiles; no row of a user for each paired profile, and none is numbered."""
+    whole = sorted(map(tuple, profiles.similar_lines(*profiled(spark, crowds(users=30)), line_items).collect()))
+    monkeypatch.setattr(profiles, "RANGE_USERS", names)
+    monkeypatch.setattr(profiles, "GROUP_PROFILES", 2)
+    monkeypatch.setattr(profiles, "MEMBER_BLOCK", 4)
+    monkeypatch.setattr(profiles, "TASK_PAIRS", 20)
+    stored = []
+    real = profiles.cut
+    monkeypatch.setattr(profiles, "cut", lambda df: stored.append(real(df)) or stored[-1])
+    got = profiles.similar_lines(*profiled(spark, crowds(users=30)), line_items).collect()
+    assert sorted(map(tuple, got)) == whole
+    ranges = next(df for df in stored if df.columns == ["profile", "r", "uids", "l"]).collect()
+    assert len({r.r for r in ranges}) > 2 and max(len(r.uids) for r in ranges) <= names
+    assert all("uid" not in df.columns for df in stored[2:])
+
+
 def test_pairs_are_joined_by_as_many_tasks_as_they_ask_for(spark, monkeypatch):
     """Rows are few beside their pairs: a shuffle that goes by bytes would leave all pairs to one task."""
     monkeypatch.setattr(shared_groups, "TASK_PAIRS", 100)
